@@ -18,8 +18,8 @@ FLOORS = (0.04, 0.3, 0.6, 0.6)
 SHARE, STEPS, LEAST_ROWS = 0.75, 4, 60
 #: For 4 dimensions: consistency factors of the 75 % subset and of the reweighted rows, and the 97.5 % point of chi-square.
 RAW_FACTOR, FINAL_FACTOR, REWEIGHT_AT = 1.486, 1.0645, 11.14
-#: Rows beyond this squared distance are rejected (chi-square with 4 degrees of freedom leaves 1e-9 there).
-CUTOFF = 48.0
+#: Rows beyond this squared distance are rejected (chi-square with 4 degrees of freedom leaves 1e-4 there).
+CUTOFF = 23.5
 #: Words at which a statistic has half its full weight: means over few words are noisy.
 STEADY_WORDS = 200.0
 BINS = 24  # of a factor e of squared distance
