@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +36,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for place in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """The rows of each key, from the batches of a partition sorted by keys; what is held is one key's rows and one batch."""
+    held, key = [], None
+    for batch in batches:
+        if not len(batch):
+            continue
+        changed = (batch[keys] != batch[keys].shift()).any(axis=1).to_numpy().nonzero()[0]
+        for a, b in zip(changed, [*changed[1:], len(batch)], strict=True):
+            part = batch.iloc[a:b]
+            now = tuple(part[k].iloc[0] for k in keys)
+            if held and now != key:
+                yield key, held[0] if len(held) == 1 else pd.concat(held)
+                held = []
+            key = now
+            held.append(part)
+    if held:
+        yield key, held[0] if len(held) == 1 else pd.concat(held)
+
+
 def words(text):
     """Column of the words of a text; null gives an empty array."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")

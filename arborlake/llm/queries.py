@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, language_id, quality, secret_scan, sharding, url_filter
+from . import chat_format, language_id, ngram_join, quality, secret_scan, sharding, url_filter
 from .common import table
 
 ORACLES: dict[str, str] = {}
@@ -28,6 +28,10 @@ FROM turns GROUP BY conv_id
 """
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
