@@ -82,7 +82,7 @@ class Encoder:
     def _ids(self, chunk: bytes) -> list[int]:
         """A run of plain Latin letters is one word of the vocabulary's model; anything else takes the whole way."""
         model = self.tokenizer.model
-        if chunk.isalpha():
+        if chunk.isalpha() and chunk.islower():
             return [t.id for t in model.tokenize(chunk.decode("ascii"))]
         text = chunk.decode("utf-8")
         if text.isalpha() and max(text) < "\u0180" and text == text.lower():
