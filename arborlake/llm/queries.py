@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, language_id, ngram_join, packing, quality, secret_scan, sharding, url_filter
+from . import chat_format, language_id, lm_score, ngram_join, packing, quality, secret_scan, sharding, url_filter
 from .common import table
 
 ORACLES: dict[str, str] = {}
@@ -58,6 +58,10 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_conversations(rows).drop("rewrites")
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
