@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +66,30 @@ def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tup
         yield key, held[0] if len(held) == 1 else pd.concat(held)
 
 
+def summed_arrays(df: DataFrame, partial: Callable[[Iterator[pd.DataFrame]], np.ndarray | None], blocks: int = 64) -> np.ndarray | None:
+    """The sum of the flat arrays that partial returns for each task (None: nothing), which all have one fixed length.
+
+    Arrays are cut into blocks and summed in a shuffle, so no task and no driver holds more than one array and one batch.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = partial(batches)
+        if found is not None:
+            yield pd.DataFrame({"block": np.arange(blocks), "part": TaskContext.get().partitionId(), "x": np.array_split(found.astype(np.float32), blocks)})
+
+    def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, x in zip(batch["block"], batch["x"], strict=True):
+                sums[block] = sums.get(block, 0.0) + x.astype(np.float64)
+        yield pd.DataFrame(list(sums.items()), columns=["block", "x"])
+
+    parts = df.mapInPandas(run, "block int, part int, x array<float>")
+    summed = parts.repartition("block").sortWithinPartitions("block", "part").mapInPandas(total, "block int, x array<double>")
+    found = {r["block"]: r["x"] for r in summed.collect()}
+    return np.concatenate([found[b] for b in range(blocks)]) if found else None
+
+
 def words(text):
     """Column of the words of a text; null gives an empty array."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")

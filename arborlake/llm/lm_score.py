@@ -13,10 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import summed_arrays
+
 #: Places of the window; hidden units; classes and words in a class (their product is the number of words told apart).
 PLACES, HIDDEN, CLASSES, MEMBERS = (-2, -1, 1, 2), 16, 32, 64
 SIZE = CLASSES * MEMBERS
@@ -185,7 +186,7 @@ class Network:
 def train(docs: DataFrame, words: tuple[np.ndarray, np.ndarray], text_col: str = "text") -> np.ndarray:
     """The averaged weights after each task's one pass over all windows of its documents."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pd.DataFrame]) -> np.ndarray | None:
         net, seen = Network(), 0
         for batch in batches:
             for h, counts in _batches(batch["text"]):
@@ -193,24 +194,10 @@ def train(docs: DataFrame, words: tuple[np.ndarray, np.ndarray], text_col: str =
                 for k in range(0, len(ids), BATCH):
                     net.step(around[:, k : k + BATCH], ids[k : k + BATCH])
                 seen += len(ids)
-        if seen:
-            part = TaskContext.get().partitionId()
-            yield pd.DataFrame({"block": np.arange(BLOCKS), "part": part, "seen": seen, "x": [x.astype(np.float64) for x in np.array_split(net.flat, BLOCKS)]})
+        return np.append(net.flat.astype(np.float64) * seen, seen) if seen else None
 
-    def mean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, list] = {}
-        for batch in batches:
-            for block, seen, x in zip(batch["block"], batch["seen"], batch["x"], strict=True):
-                held = sums.setdefault(block, [0, 0.0])
-                held[0] += seen
-                held[1] = held[1] + seen * x
-        yield pd.DataFrame([(b, x / n) for b, (n, x) in sums.items()], columns=["block", "x"])
-
-    weights = docs.select(F.col(text_col).alias("text")).mapInPandas(run, "block int, part int, seen long, x array<double>")
-    # One sum for each block is all that a task holds; what reaches the driver is the size of the network.
-    summed = weights.repartition("block").sortWithinPartitions("block", "part").mapInPandas(mean, "block int, x array<double>")
-    found = {r["block"]: r["x"] for r in summed.collect()}
-    return np.concatenate([found[b] for b in range(BLOCKS)]).astype(np.float32) if found else Network().flat
+    found = summed_arrays(docs.select(F.col(text_col).alias("text")), partial, BLOCKS)
+    return Network().flat if found is None else (found[:-1] / found[-1]).astype(np.float32)
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: np.ndarray | None = None, words: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:

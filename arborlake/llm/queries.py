@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, language_id, lm_score, ngram_join, packing, quality, secret_scan, sharding, url_filter
+from . import chat_format, decontaminate, language_id, lm_score, ngram_join, packing, quality, secret_scan, sharding, url_filter
 from .common import table
 
 ORACLES: dict[str, str] = {}
@@ -40,6 +40,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_documents(table(spark, sf_dir, "documents")).drop("layers")
 
