@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import summed_arrays
+from .hashing import word_batches
 
 #: Places of the window; hidden units; classes and words in a class (their product is the number of words told apart).
 PLACES, HIDDEN, CLASSES, MEMBERS = (-2, -1, 1, 2), 16, 32, 64
@@ -24,69 +25,8 @@ SIZE = CLASSES * MEMBERS
 #: Words with a number of their own; the others share the rest.
 KNOWN = SIZE // 2
 BATCH, RATE = 4096, 0.2
-#: Bytes of text numbered at a time, and blocks that the weights are averaged in.
-CHUNK, BLOCKS = 1 << 20, 64
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-
-
-class _Powers:
-    """Powers of an odd number modulo 2 ** 64, and their inverses, by place in a chunk."""
-
-    up = down = np.ones(0, dtype=np.uint64)
-
-    @classmethod
-    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            inverse = np.uint64(pow(int(_ODD), -1, 1 << 64))
-            cls.up = np.cumprod(np.full(n, _ODD, dtype=np.uint64))
-            cls.down = np.cumprod(np.full(n, inverse, dtype=np.uint64))
-        return cls.up[:n], cls.down[:n]
-
-
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-
-
-def word_hashes(text: bytes) -> np.ndarray:
-    """64-bit hashes of the words (runs without ASCII white space, A-Z in lower case) of a text, in order.
-
-    Texts are read in chunks that end at white space; a word of more than CHUNK bytes counts as several.
-    """
-    out, at = [], 0
-    text = text.lower()
-    while at < len(text):
-        end = at + CHUNK
-        if end < len(text):
-            cut = max(text.rfind(b" ", at, end), text.rfind(b"\n", at, end))
-            end = cut if cut > at else end
-        b = np.frombuffer(text[at:end], dtype=np.uint8)
-        at = end
-        space = _SPACE[b]
-        edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).astype(np.int8)))
-        first, last = edge[::2], edge[1::2]
-        if not len(first):
-            continue
-        up, down = _Powers.upto(max(len(b), 1))
-        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up)])
-        h = (sums[last] - sums[first]) * down[first]
-        h ^= h >> np.uint64(32)
-        h *= _ODD
-        out.append(h ^ (h >> np.uint64(29)))
-    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
-
-
-def _batches(texts, size: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(hashes of the words, number of words of each text) of a few texts at a time."""
-    held, n = [], 0
-    for text in texts:
-        raw = (text or "").encode("utf-8", "surrogatepass")
-        held.append(word_hashes(raw))
-        n += len(raw)
-        if n >= size:
-            yield np.concatenate(held), np.array([len(h) for h in held], dtype=np.int64)
-            held, n = [], 0
-    if held:
-        yield np.concatenate(held), np.array([len(h) for h in held], dtype=np.int64)
+#: Blocks that the weights are averaged in.
+BLOCKS = 64
 
 
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -94,7 +34,7 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [h for h, _ in _batches(batch["text"])]
+            found = [h for h, _ in word_batches(batch["text"])]
             h, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
             yield pd.DataFrame({"h": h.view(np.int64), "n": n.astype(np.int64)})
 
@@ -189,7 +129,7 @@ def train(docs: DataFrame, words: tuple[np.ndarray, np.ndarray], text_col: str =
     def partial(batches: Iterator[pd.DataFrame]) -> np.ndarray | None:
         net, seen = Network(), 0
         for batch in batches:
-            for h, counts in _batches(batch["text"]):
+            for h, counts in word_batches(batch["text"]):
                 around, ids = net.windows(numbers(h, words), counts)
                 for k in range(0, len(ids), BATCH):
                     net.step(around[:, k : k + BATCH], ids[k : k + BATCH])
@@ -214,7 +154,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         net = Network(weights.copy())
         for batch in batches:
             counts, sums = [], []
-            for h, n in _batches(batch["text"]):
+            for h, n in word_batches(batch["text"]):
                 around, ids = net.windows(numbers(h, words), n)
                 got = [net.predicted(around[:, k : k + BATCH], ids[k : k + BATCH])[0] for k in range(0, len(ids), BATCH)]
                 total = np.concatenate([[0.0], np.cumsum(np.concatenate(got), dtype=np.float64)]) if got else np.zeros(1)

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from arborlake.llm import lm_score
+from arborlake.llm import hashing, lm_score
 
 
 def rows(n=120):
@@ -20,12 +20,12 @@ def test_word_hashes_tell_words_apart_and_cross_chunks(monkeypatch):
     texts = ["", " a", "A b\tc\x0bd\x0c e\r\n", "ñ Ñ é", "x" * 50 + " y " + "x" * 50, "a a a"]
     known = {}
     for size in (1 << 20, 16):
-        monkeypatch.setattr(lm_score, "CHUNK", size)
+        monkeypatch.setattr(hashing, "CHUNK", size)
         for t in texts:
             w = [x for x in slow_words(t)]
             if size == 16 and any(len(x) > 16 for x in w):
                 continue
-            h = lm_score.word_hashes(t.encode()).tolist()
+            h = hashing.word_hashes(t.encode().lower()).tolist()
             assert len(h) == len(w)
             for a, b in zip(w, h, strict=True):
                 assert known.setdefault(a, b) == b
@@ -65,7 +65,7 @@ def test_scores_sum_over_words_and_know_context(spark):
     got = {r["doc_id"]: r for r in lm_score.score_documents(frame, weights=weights, words=words).collect()}
     net = lm_score.Network(weights)
     for doc_id, text in data:
-        h = lm_score.word_hashes((text or "").encode())
+        h = hashing.word_hashes((text or "").encode().lower())
         ids, pad = lm_score.numbers(h, words), lm_score.SIZE
         total = 0.0
         for k in range(len(ids)):
@@ -86,7 +86,7 @@ def test_counts_cover_all_documents(spark):
     expected = {}
     for _, t in data:
         for w in slow_words(t):
-            h = lm_score.word_hashes(w).view(np.int64)[0]
+            h = hashing.word_hashes(w).view(np.int64)[0]
             expected[h] = expected.get(h, 0) + 1
     assert {r["h"]: r["n"] for r in lm_score.count_words(frame).collect()} == expected
 
