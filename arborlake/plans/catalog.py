@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def queries() -> dict:
-    return dict(QUERIES)
+from . import catalog_forest
 
+PARTS = [catalog_forest]
 
-def oracle_sql() -> dict:
-    return dict(ORACLES)
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: v for part in PARTS for k, v in part.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: v for part in PARTS for k, v in part.ORACLES.items()}
