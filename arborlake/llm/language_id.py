@@ -41,7 +41,7 @@ def _gram_vectors() -> dict:
     """Letter vectors rotated by place, and a lazily filled table of n-gram vectors (at most SYMBOLS ** GRAM rows)."""
     letters = np.random.default_rng(20240229).choice(np.array([-1, 1], dtype=np.int8), size=(SYMBOLS, DIM))
     rotated = [np.roll(letters, GRAM - 1 - k, axis=1) for k in range(GRAM)]
-    return {"rotated": rotated, "row": np.full(SYMBOLS**GRAM, -1, dtype=np.int32), "table": np.zeros((0, DIM), dtype=np.float32)}
+    return {"rotated": rotated, "row": np.full(SYMBOLS**GRAM, -1, dtype=np.int32), "table": np.zeros((0, DIM), dtype=np.int8)}
 
 
 def _vectors_of(grams: np.ndarray) -> np.ndarray:
@@ -53,7 +53,7 @@ def _vectors_of(grams: np.ndarray) -> np.ndarray:
         for k, vectors in enumerate(held["rotated"]):
             bound *= vectors[new // SYMBOLS ** (GRAM - 1 - k) % SYMBOLS]
         held["row"][new] = len(held["table"]) + np.arange(len(new), dtype=np.int32)
-        held["table"] = np.concatenate([held["table"], bound.astype(np.float32)])
+        held["table"] = np.concatenate([held["table"], bound])
     return held["row"][grams]
 
 
@@ -71,7 +71,7 @@ def profile(text: str | None) -> np.ndarray | None:
             grams = s[:-2] * SYMBOLS**2 + s[1:-1] * SYMBOLS + s[2:]
             grams, counts = np.unique(grams, return_counts=True)
             rows = _vectors_of(grams)
-            total += counts.astype(np.float32) @ _gram_vectors()["table"][rows]
+            total += counts.astype(np.float32) @ _gram_vectors()["table"][rows].astype(np.float32)
         carry = s[-2:]
     norm = np.linalg.norm(total)
     if not lettered or norm == 0:
