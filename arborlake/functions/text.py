@@ -30,14 +30,16 @@ def tokens(label: Column) -> Column:
 
 def derived_id(tag: str, *segments: Column) -> Column:
     """tag and the first 16 bytes of the SHA-256 of the joined segments, in lower-case base32 (26 characters)."""
+    def letters(digits: Column) -> Column:
+        out = [F.lit(tag)]
+        for k in range(26):
+            first, shift = divmod(5 * k, 4)
+            two = F.conv(F.substring(digits, first + 1, 2), 16, 10).cast("int")
+            out.append(F.substring(F.lit(ALPHABET), F.shiftright(two, 3 - shift).bitwiseAND(F.lit(31)) + 1, F.lit(1)))
+        return F.concat(*out)
+
     digits = F.concat(F.substring(F.sha2(F.concat_ws(SEPARATOR, *segments), 256), 1, 32), F.lit("0"))
-    out = [F.lit(tag)]
-    for k in range(26):
-        first, shift = divmod(5 * k, 4)
-        two = F.conv(F.substring(digits, first + 1, 2), 16, 10).cast("int")
-        value = F.shiftright(two, 3 - shift).bitwiseAND(F.lit(31))
-        out.append(F.substring(F.lit(ALPHABET), value + 1, F.lit(1)))
-    return F.concat(*out)
+    return F.get(F.transform(F.array(digits), letters), 0)  # the digits are computed once, not for each letter
 
 
 def fnv1a(c: Column) -> Column:
