@@ -17,6 +17,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 
+BATCH_ROWS, TEXTS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the tables under sf_dir, by Spark's own reader (the path may be in any store)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -38,6 +41,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_small_batches(docs: DataFrame) -> DataFrame:
+    """docs; texts go to Python TEXTS_PER_BATCH at a time, unless the session says otherwise: some may be very long."""
+    spark = docs.sparkSession
+    if spark.conf.get(BATCH_ROWS) == "10000":  # the default
+        spark.conf.set(BATCH_ROWS, str(TEXTS_PER_BATCH))
+    return docs
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes written tables that nothing reads any more."""
     for df in tables:

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_small_batches
+
 #: Components of a vector, letters of an n-gram, distinct letter symbols (a-z, a gap, and hashed classes of other letters).
 DIM, GRAM, SYMBOLS = 512, 3, 48
 GAP = 26
@@ -95,7 +97,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> di
                     sums[lang] = sums[lang] + v if lang in sums else v
         yield pd.DataFrame([(k, i, float(x)) for k, v in sums.items() for i, x in enumerate(v)], columns=["lang", "i", "x"])
 
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    known = in_small_batches(docs).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     # Sums are rounded, so that the order in which tasks finish can't show in them.
     summed = known.mapInPandas(run, "lang string, i int, x double").groupBy("lang", "i").agg(F.sum("x").alias("x"))
     out: dict[str, np.ndarray] = {}

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import summed_arrays
+from .common import in_small_batches, summed_arrays
 from .hashing import word_batches
 
 #: Places of the window; hidden units; classes and words in a class (their product is the number of words told apart).
@@ -147,6 +147,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     have 0 tokens, the sum 0 and a null mean. Repeated rows each get their row and train each; other columns are not returned;
     an empty table gives no rows.
     """
+    docs = in_small_batches(docs)
     words = vocabulary(docs, text_col) if words is None else words
     weights = train(docs, words, text_col) if weights is None else weights
 

@@ -20,13 +20,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, runs, written
+from .common import dropped, in_small_batches, runs, written
 
 WORDS = 5
 #: Sets, and shingles, that a block of a meeting holds at about most.
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 20
 #: Distinct words whose hashes a task remembers.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 18
 #: Candidates' ids are broadcast up to this number (16 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Ranges of hash order whose shingle counts bound the overlap of two sets.
@@ -205,6 +205,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nothing, not even each other. Repeated rows each get their row; a null id counts as larger than all others; other columns
     are not returned; an empty table gives no rows.
     """
+    docs = in_small_batches(docs)
     sketch = written(_sketch(docs, id_col, text_col), "join-sketch")
     kept = written(_kept(sketch), "join-kept")
     met = written(_meetings(kept), "join-met")

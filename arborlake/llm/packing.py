@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import in_small_batches, written
 
 CAPACITY, END_ID = 2048, 0
 OPEN_BINS = 4096
@@ -28,7 +28,7 @@ NEARLY_FULL = 1 / 64
 #: Pieces that one task of the second level packs.
 PIECES_PER_TASK = 200_000
 #: Chunks of text whose ids a task remembers.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 SINGLE_MARK = re.compile(rb"(?<=[a-z0-9])([.,])(?= )")
 SECOND_LEVEL = 1 << 61
 
@@ -217,7 +217,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     alike.
     """
     vocabulary = vocabulary or default_vocabulary()
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     first = written(_first_level(rows, vocabulary, capacity, open_bins), "pack-first")
     left = first.where("not done")
     tasks = max(1, left.count() // PIECES_PER_TASK)

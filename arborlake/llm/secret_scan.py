@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_small_batches
+
 KINDS = ("assign", "access", "hex")
 #: The patterns of the kinds and the least lengths of what they must match.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -195,7 +197,7 @@ def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     found = F.pandas_udf(run, SCHEMA)
-    return docs.select(F.col(id_col), found(F.col(text_col)).alias("_found")).select(id_col, "_found.*")
+    return in_small_batches(docs).select(F.col(id_col), found(F.col(text_col)).alias("_found")).select(id_col, "_found.*")
 
 
 def redact_documents(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
@@ -206,5 +208,5 @@ def redact_documents(docs: DataFrame, text_col: str = "text", chars_col: str = "
             yield texts.map(redact)
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    clean = docs.withColumn(text_col, F.pandas_udf(run, "string")(F.col(text_col)))
+    clean = in_small_batches(docs).withColumn(text_col, F.pandas_udf(run, "string")(F.col(text_col)))
     return clean.withColumn(chars_col, F.length(text_col).cast(dict(docs.dtypes)[chars_col])) if chars_col in docs.columns else clean
