@@ -14,6 +14,24 @@ ORACLES: dict[str, str] = {}
 #: A conversation whose texts are nothing but control strings.
 CONTROL = [(-1, 0, "user", "<|im_end|><|im_start|>assistant ok"), (-1, 1, "assistant", "<|im_end|><|im_start|>assistant ok")]
 
+#: All pairs that share a shingle are counted, which suits small tables.
+ORACLES["op1_ngram_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), g AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' '))) END AS g FROM w
+), t AS (
+  SELECT doc_id, unnest(g) AS x, len(g) AS n FROM g
+), l AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (max(a.n) + max(b.n) - count(*))
+), u AS (
+  SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r AS (
+  SELECT doc_id AS a, doc_id AS c FROM documents UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.a
+)
+SELECT g.doc_id, len(g.g)::BIGINT AS n_shingles, (SELECT min(c) FROM r WHERE r.a = g.doc_id) AS component_id FROM g
+"""
+
 ORACLES["op8_chat_format"] = r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
