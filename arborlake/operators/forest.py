@@ -23,12 +23,12 @@ def derived_roots(space: Space) -> DataFrame:
     return space.graphs.select("id").join(space.nodes.select(F.col("detail_graph").alias("id")), "id", "left_anti")
 
 
-def forest(space: Space, measures: bool = True) -> DataFrame:
+def forest(space: Space, measures: bool = True, levels: int = MAX_DEPTH) -> DataFrame:
     """Every node that is reachable from a root: graph_id, id, kind, label, detail_graph, depth, path, parent, is_leaf, and with
     measures also leaves, size (of its subtree, itself included) and children.
 
     Levels are joined one after the other, each on the edge of the last; cycles are never entered from a root. A node is a leaf if
-    its detail graph is missing or has no node.
+    its detail graph is missing or has no node. levels limits how deep the forest is read.
     """
     nodes = space.nodes.select("graph_id", "id", "kind", "label", "detail_graph")
     filled = nodes.groupBy(F.col("graph_id").alias("detail_graph")).agg(F.count("*").alias("children"))
@@ -36,12 +36,12 @@ def forest(space: Space, measures: bool = True) -> DataFrame:
     holders = containment_index(space).select(F.col("graph").alias("held_graph"), F.col("node").alias("held_by"))
     level = nodes.join(derived_roots(space).select(F.col("id").alias("graph_id")), "graph_id", "left_semi").withColumns({"path": F.array("id"), "parent": F.lit(None).cast("string")})
     out, depth = None, 0
-    while depth < MAX_DEPTH:
+    while depth < levels:
         # Written level by level: none is computed twice, however deep the forest.
         level = written(level.withColumn("depth", F.lit(depth).cast("long")), "forest-level")
-        if out is not None and level.isEmpty():
-            break
         out = level if out is None else out.unionByName(level)
+        if depth + 1 == levels or level.where("children > 0").isEmpty():
+            break
         inner = level.where("children > 0").select(F.col("detail_graph").alias("graph_id"), F.col("id").alias("parent"), F.col("path").alias("above"))
         inner = inner.join(holders, (F.col("graph_id") == F.col("held_graph")) & (F.col("parent") == F.col("held_by")), "left_semi")
         level = nodes.join(inner, "graph_id").withColumn("path", F.concat("above", F.array("id"))).drop("above")

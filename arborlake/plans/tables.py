@@ -69,6 +69,6 @@ def space(spark: SparkSession, sf_dir: str, links: bool = True) -> Space:
 
     found = Space(graphs(spark, sf_dir), nodes(spark, sf_dir), precedes(spark, sf_dir))
     if links:
-        up = rebase(forest(found, measures=False).where("depth <= 1"), supplies(spark, sf_dir))
+        up = rebase(forest(found, measures=False, levels=2), supplies(spark, sf_dir))
         found = found.with_(edges=found.edges.unionByName(up.select("graph_id", "id", "src", "dst", "kind", "weight")))
     return found.with_(edges=found.edges.withColumns({"attrs": F.lit(None).cast("map<string,string>"), "origin": F.lit("derived")}))
