@@ -8,7 +8,6 @@ again together with the like of the other tasks.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,7 +28,6 @@ NEARLY_FULL = 1 / 64
 PIECES_PER_TASK = 200_000
 #: Chunks of text whose ids a task remembers.
 REMEMBERED = 600_000
-SINGLE_MARK = re.compile(rb"(?<=[a-z0-9])([.,])(?= )")
 SECOND_LEVEL = 1 << 61
 
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, done boolean"
@@ -64,6 +62,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.by_chunks = self._drops_space()
         self.characters = _byte_characters()
+        self.marks = {m: self.tokenizer.encode(m.decode(), add_special_tokens=False).ids for m in (b",", b".")}
         self._forget()
 
     def _drops_space(self) -> bool:
@@ -80,14 +79,16 @@ class Encoder:
         self.flat = np.zeros(0, dtype=np.uint32)
 
     def _ids(self, chunk: bytes) -> list[int]:
-        """A run of plain Latin letters is one word of the vocabulary's model; anything else takes the whole way."""
+        """A run of plain Latin letters is one word of the vocabulary's model, a lone comma or full stop after it another; anything
+        else takes the whole way."""
+        word, mark = (chunk[:-1], self.marks[chunk[-1:]]) if chunk[-1:] in self.marks else (chunk, [])
         model = self.tokenizer.model
-        if chunk.isalpha() and chunk.islower():
-            return [t.id for t in model.tokenize(chunk.decode("ascii"))]
-        text = chunk.decode("utf-8")
+        if word.isalpha() and word.islower():
+            return [t.id for t in model.tokenize(word.decode("ascii"))] + mark
+        text = word.decode("utf-8")
         if text.isalpha() and max(text) < "\u0180" and text == text.lower():
-            return [t.id for t in model.tokenize("".join(self.characters[b] for b in chunk))]
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+            return [t.id for t in model.tokenize("".join(self.characters[b] for b in word))] + mark
+        return self.tokenizer.encode(chunk.decode("utf-8"), add_special_tokens=False).ids
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         clean = [(t or "").encode("utf-8", "replace") for t in texts]
@@ -108,9 +109,9 @@ class Encoder:
 
     @staticmethod
     def _chunks(text: bytes) -> list[bytes]:
-        """Chunks between ASCII white space, A-Z in lower case; a lone comma or full stop after a letter is a chunk of its own,
-        as the vocabulary never joins the two. Control tokens are written in lower case, so texts with such are left as they are."""
-        return (text if b"<|" in text else SINGLE_MARK.sub(rb" \1", text.lower())).split()
+        """Chunks between ASCII white space, A-Z in lower case. Control tokens are written in lower case, so texts with such are
+        left as they are."""
+        return (text if b"<|" in text else text.lower()).split()
 
     def _gather(self, codes: np.ndarray) -> np.ndarray:
         start = self.at[codes]
