@@ -1,7 +1,8 @@
 """Masked pseudo-likelihood: every word is predicted from the words on both sides; the log-probabilities add up to a score.
 
-Words are numbered by a vocabulary that is counted over all documents: the most frequent ones each get a number, all others
-share numbers by a hash. The network has an embedding of the words at each place of the window, one hidden layer, and an output
+Words are numbered by a vocabulary that is counted over all documents: words above a count that grows with the root of the
+corpus each get a number, all others share numbers (buckets) by a hash. The counts of the latter stay a table; such a word's
+log-probability is that of its bucket, by the network, plus the log of its share of the bucket's count. The network has an embedding of the words at each place of the window, one hidden layer, and an output
 in two steps (a class of words, then the word within it), so that a prediction costs far less than a number for each word.
 It is written in numpy. Each task trains on all windows of the documents that it reads, from the same start; the weights are
 averaged, by the words that each task saw, in a shuffle.
@@ -10,20 +11,23 @@ averaged, by the words that each task saw, in a shuffle.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_small_batches, summed_arrays
+from .common import in_small_batches, summed_arrays, written
 from .hashing import word_batches
 
-#: Places of the window; hidden units; classes and words in a class (their product is the number of words told apart).
+#: Places of the window; hidden units; the least number of classes, which grows with the vocabulary, and numbers in a class.
 PLACES, HIDDEN, CLASSES, MEMBERS = (-2, -1, 1, 2), 16, 32, 64
 SIZE = CLASSES * MEMBERS
-#: Words with a number of their own; the others share the rest.
-KNOWN = SIZE // 2
+#: A vocabulary of up to so many words gets a number for each. In a larger one, words that occur at least LEAST times the root of
+#: the number of all words have one; the network has twice as many numbers as that or more, and the others share the rest.
+KNOWN, LEAST = SIZE // 2, 0.5
 BATCH, RATE = 4096, 0.2
 #: Blocks that the weights are averaged in.
 BLOCKS = 64
@@ -41,45 +45,80 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.col(text_col).alias("text")).mapInPandas(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the KNOWN most frequent words, and their numbers (0 for the most frequent)."""
-    top = count_words(docs, text_col).orderBy(F.desc("n"), "h").limit(KNOWN).collect()
+class Vocabulary(NamedTuple):
+    """Sorted hashes of the words with a number of their own, those numbers (0 for the most frequent), and (h, n) of the others."""
+
+    h: np.ndarray
+    number: np.ndarray
+    others: DataFrame | None = None
+
+
+def vocabulary(docs: DataFrame, text_col: str = "text") -> Vocabulary:
+    """The words of all documents; those without a number of their own stay a table, however many they are."""
+    counts = written(count_words(docs, text_col), "lm-words")
+    distinct, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    least = 1 if distinct <= KNOWN else LEAST * total**0.5
+    top = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "h").collect()
     h = np.array([r["h"] for r in top], dtype=np.int64).view(np.uint64)
     order = np.argsort(h)
-    return h[order], order.astype(np.int64)
+    return Vocabulary(h[order], order.astype(np.int64), counts.where(F.col("n") < least))
+
 
+def classes_for(words: tuple) -> int:
+    return max(CLASSES, -(-2 * len(words[0]) // MEMBERS))
 
-def numbers(h: np.ndarray, words: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    other = (KNOWN + h % np.uint64(SIZE - KNOWN)).astype(np.int64)
+
+def _buckets(words: tuple) -> tuple[int, int]:
+    """The first bucket's number, and how many there are."""
+    size = classes_for(words) * MEMBERS
+    return size // 2, size - size // 2
+
+
+def _numbered(h: np.ndarray, words: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each word, and whether it is its own."""
+    first, n = _buckets(words)
+    other = first + (h % np.uint64(n)).astype(np.int64)
     if not len(words[0]):
-        return other
+        return other, np.zeros(len(h), dtype=bool)
     at = np.minimum(np.searchsorted(words[0], h), len(words[0]) - 1)
-    return np.where(words[0][at] == h, words[1][at], other)
+    own = words[0][at] == h
+    return np.where(own, words[1][at], other), own
+
+
+def numbers(h: np.ndarray, words: tuple) -> np.ndarray:
+    return _numbered(h, words)[0]
+
+
+def _bucket(h: Column, n: int) -> Column:
+    """h % n, for h as an unsigned number."""
+    return (F.shiftrightunsigned(h, 1) % n * 2 + h.bitwiseAND(F.lit(1))) % n
 
 
 class Network:
     """Weights in one flat array: an embedding for each place of the window, and the two output layers."""
 
-    def __init__(self, flat: np.ndarray | None = None, seed: int = 7) -> None:
-        shapes = {"e": (len(PLACES), SIZE + 1, HIDDEN), "w": (HIDDEN, CLASSES + MEMBERS), "c": (CLASSES,), "m": (CLASSES, MEMBERS)}
+    def __init__(self, flat: np.ndarray | None = None, seed: int = 7, classes: int = CLASSES) -> None:
+        if flat is not None:  # all but the last term grow with the classes
+            classes = (len(flat) - HIDDEN * (len(PLACES) + MEMBERS)) // (len(PLACES) * MEMBERS * HIDDEN + HIDDEN + 1 + MEMBERS)
+        self.classes, self.size = classes, classes * MEMBERS
+        shapes = {"e": (len(PLACES), self.size + 1, HIDDEN), "w": (HIDDEN, classes + MEMBERS), "c": (classes,), "m": (classes, MEMBERS)}
         n = sum(int(np.prod(s)) for s in shapes.values())
         if flat is None:
             flat = np.zeros(n, dtype=np.float32)
             rng = np.random.default_rng(seed)
             flat[: int(np.prod(shapes["e"]))] = rng.normal(0, 0.3, int(np.prod(shapes["e"])))
-        self.flat, at = flat, 0
+        self.flat, self.squares, at = flat, np.full(n, 0.1, dtype=np.float32), 0
         for name, shape in shapes.items():
             k = int(np.prod(shape))
             setattr(self, name, flat[at : at + k].reshape(shape))
+            setattr(self, name + "_squares", self.squares[at : at + k].reshape(shape))
             at += k
-        self.squares = np.full(n, 0.1, dtype=np.float32)
 
-    @staticmethod
-    def windows(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def windows(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Words around each word, by place; outside of its own text a word of its own stands."""
         pad = max(PLACES)
         places = np.arange(len(ids)) + pad * (1 + np.repeat(np.arange(len(counts)), counts))
-        line = np.full(len(ids) + pad * (len(counts) + 1), SIZE, dtype=np.int64)
+        line = np.full(len(ids) + pad * (len(counts) + 1), self.size, dtype=np.int64)
         line[places] = ids
         return np.stack([line[places + k] for k in PLACES]), ids
 
@@ -91,43 +130,50 @@ class Network:
         np.tanh(hidden, out=hidden)
         c, m = np.divmod(ids, MEMBERS)
         z = hidden @ self.w
-        z[:, :CLASSES] += self.c
-        z[:, CLASSES:] += self.m[c]
+        z[:, : self.classes] += self.c
+        z[:, self.classes :] += self.m[c]
         row = np.arange(len(ids))
-        picked = z[row, c] + z[row, CLASSES + m]
+        picked = z[row, c] + z[row, self.classes + m]
         np.minimum(z, 60, out=z)
         np.exp(z, out=z)
-        a, b = z[:, :CLASSES].sum(axis=1), z[:, CLASSES:].sum(axis=1)
+        a, b = z[:, : self.classes].sum(axis=1), z[:, self.classes :].sum(axis=1)
         return picked - np.log(a) - np.log(b), (hidden, z, a, b, c, m, row)
 
     def step(self, around: np.ndarray, ids: np.ndarray) -> None:
         """One step of gradient ascent with a rate for each weight that falls with its squared gradients (Adagrad)."""
         _, (hidden, z, a, b, c, m, row) = self.predicted(around, ids)
-        z[:, :CLASSES] /= -a[:, None]
-        z[:, CLASSES:] /= -b[:, None]
+        k = self.classes
+        z[:, :k] /= -a[:, None]
+        z[:, k:] /= -b[:, None]
         z[row, c] += 1
-        z[row, CLASSES + m] += 1
+        z[row, k + m] += 1
         z /= np.float32(len(ids))
         back = (z @ self.w.T) * (1 - hidden * hidden)
-        grad = np.zeros_like(self.flat)
-        g = Network(grad)
-        g.w[:] = hidden.T @ z
-        g.c[:] = z[:, :CLASSES].sum(axis=0)
-        onto = np.zeros((CLASSES, len(ids)), dtype=np.float32)
-        onto[c, row] = 1
-        g.m[:] = onto @ z[:, CLASSES:]
+        seen, at = np.unique(c, return_inverse=True)
+        onto = np.zeros((len(seen), len(ids)), dtype=np.float32)
+        onto[at, row] = 1
+        self._climb("w", slice(None), hidden.T @ z, len(ids))
+        self._climb("c", slice(None), z[:, :k].sum(axis=0), len(ids))
+        self._climb("m", seen, onto @ z[:, k:], len(ids))
         units = np.arange(HIDDEN)
-        for k in range(len(PLACES)):
-            g.e[k][:] = np.bincount((around[k][:, None] * HIDDEN + units).ravel(), back.ravel(), (SIZE + 1) * HIDDEN).reshape(SIZE + 1, HIDDEN)
-        self.squares += grad * grad * np.float32(len(ids))
-        self.flat += np.float32(RATE) * grad * np.sqrt(np.float32(len(ids))) / np.sqrt(self.squares)
+        for p in range(len(PLACES)):  # only the words that occur change
+            seen, at = np.unique(around[p], return_inverse=True)
+            grad = np.bincount((at[:, None] * HIDDEN + units).ravel(), back.ravel(), len(seen) * HIDDEN).reshape(-1, HIDDEN)
+            self._climb("e", (p, seen), grad.astype(np.float32), len(ids))
+
+    def _climb(self, name: str, rows: object, grad: np.ndarray, n: int) -> None:
+        squares = getattr(self, name + "_squares")
+        squares[rows] += grad * grad * np.float32(n)
+        getattr(self, name)[rows] += np.float32(RATE) * grad * np.sqrt(np.float32(n)) / np.sqrt(squares[rows])
 
 
-def train(docs: DataFrame, words: tuple[np.ndarray, np.ndarray], text_col: str = "text") -> np.ndarray:
+def train(docs: DataFrame, words: tuple, text_col: str = "text") -> np.ndarray:
     """The averaged weights after each task's one pass over all windows of its documents."""
 
+    classes, words = classes_for(words), tuple(words[:2])
+
     def partial(batches: Iterator[pd.DataFrame]) -> np.ndarray | None:
-        net, seen = Network(), 0
+        net, seen = Network(classes=classes), 0
         for batch in batches:
             for h, counts in word_batches(batch["text"]):
                 around, ids = net.windows(numbers(h, words), counts)
@@ -137,36 +183,51 @@ def train(docs: DataFrame, words: tuple[np.ndarray, np.ndarray], text_col: str =
         return np.append(net.flat.astype(np.float64) * seen, seen) if seen else None
 
     found = summed_arrays(docs.select(F.col(text_col).alias("text")), partial, BLOCKS)
-    return Network().flat if found is None else (found[:-1] / found[-1]).astype(np.float32)
+    return Network(classes=classes).flat if found is None else (found[:-1] / found[-1]).astype(np.float32)
+
 
+SCORED = "row long, id long, n_tokens long, s double, others array<long>"
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: np.ndarray | None = None, words: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: np.ndarray | None = None, words: tuple | None = None) -> DataFrame:
     """id_col, n_tokens, log_likelihood (the sum over all words) and mean_log_likelihood of every row.
 
     Vocabulary and network come from all the documents themselves unless given. Null and empty texts, and such without a word,
     have 0 tokens, the sum 0 and a null mean. Repeated rows each get their row and train each; other columns are not returned;
-    an empty table gives no rows.
+    an empty table gives no rows. A word that a given vocabulary hasn't counts as one that occurred once more in its bucket.
     """
     docs = in_small_batches(docs)
     words = vocabulary(docs, text_col) if words is None else words
     weights = train(docs, words, text_col) if weights is None else weights
+    counts, n_buckets, words = words[2] if len(words) > 2 else None, _buckets(words)[1], tuple(words[:2])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        net = Network(weights.copy())
+        net, done = Network(weights.copy()), TaskContext.get().partitionId() << 40
         for batch in batches:
-            counts, sums = [], []
+            counts, sums, others = [], [], []
             for h, n in word_batches(batch["text"]):
-                around, ids = net.windows(numbers(h, words), n)
+                number, own = _numbered(h, words)
+                around, ids = net.windows(number, n)
                 got = [net.predicted(around[:, k : k + BATCH], ids[k : k + BATCH])[0] for k in range(0, len(ids), BATCH)]
                 total = np.concatenate([[0.0], np.cumsum(np.concatenate(got), dtype=np.float64)]) if got else np.zeros(1)
                 ends = np.cumsum(n)
                 counts.append(n)
                 sums.append(total[ends] - total[ends - n])
+                before = np.concatenate([[0], np.cumsum(~own)])
+                others += np.split(h[~own].view(np.int64), before[ends][:-1])
             n, s = np.concatenate(counts), np.concatenate(sums)
             s[n == 0] = 0.0
-            mean = pd.Series(s / np.maximum(n, 1)).astype(object).where(n > 0, None)
-            yield pd.DataFrame({"id": batch["id"], "n_tokens": n, "log_likelihood": s, "mean_log_likelihood": mean})
+            yield pd.DataFrame({"row": done + np.arange(len(n)), "id": batch["id"], "n_tokens": n, "s": s, "others": others})
+            done += len(n)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "id long, n_tokens long, log_likelihood double, mean_log_likelihood double").withColumnRenamed("id", id_col)
-
+    scored = written(rows.mapInPandas(run, SCORED), "lm-scored")
+    if counts is None:
+        counts = docs.sparkSession.createDataFrame([], "h long, n long")
+    in_bucket = counts.groupBy(_bucket(F.col("h"), n_buckets).alias("bucket")).agg(F.sum("n").alias("all"))
+    pairs = scored.select("row", F.explode("others").alias("h")).join(counts, "h", "left").withColumn("bucket", _bucket(F.col("h"), n_buckets))
+    share = F.log(F.coalesce("n", F.lit(1))) - F.log(F.coalesce("all", F.lit(0)) + 1)
+    shares = pairs.join(F.broadcast(in_bucket), "bucket", "left").groupBy("row").agg(F.sum(share).alias("share"))
+    total = F.col("s") + F.coalesce("share", F.lit(0.0))
+    found = scored.drop("others").join(shares, "row", "left")
+    return found.select(F.col("id").alias(id_col), "n_tokens", total.alias("log_likelihood"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_likelihood"))

@@ -93,3 +93,41 @@ def test_counts_cover_all_documents(spark):
 
 def test_empty_table(spark):
     assert lm_score.score_documents(spark.createDataFrame([], "doc_id long, text string, n_tokens int")).collect() == []
+
+
+def test_rare_words_are_scored_by_their_own_counts(spark):
+    rng = random.Random(6)
+    texts = ["often " * 50 + " ".join(f"w{rng.randrange(60) ** 2 + rng.randrange(40)}" for _ in range(60)) for _ in range(150)]
+    frame = spark.createDataFrame(list(enumerate([*texts, "unheard", ""])), "doc_id long, text string").repartition(3)
+    words = lm_score.vocabulary(frame)
+    weights = lm_score.train(frame, words)
+    counts = {}
+    for t in [*texts, "unheard"]:
+        for w in slow_words(t):
+            counts[w] = counts.get(w, 0) + 1
+    assert len(counts) > lm_score.KNOWN
+    hashes = {w: hashing.word_hashes(w) for w in counts}
+    own = {w for w, h in hashes.items() if h[0] in words.h}
+    assert own == {w for w, n in counts.items() if n >= lm_score.LEAST * sum(counts.values()) ** 0.5}
+    number = {w: int(lm_score.numbers(h, words)[0]) for w, h in hashes.items()}
+    bucket = {}
+    for w in counts.keys() - own:
+        bucket[number[w]] = bucket.get(number[w], 0) + counts[w]
+    net, pad = lm_score.Network(weights), lm_score.classes_for(words) * lm_score.MEMBERS
+    some = sorted(counts.keys() - own, key=number.get)[:40] + [b"often"]
+    single = spark.createDataFrame([(i, w.decode()) for i, w in enumerate([*some, b"neverseen"])], "doc_id long, text string")
+    got = [r["log_likelihood"] for r in lm_score.score_documents(single, weights=weights, words=words).orderBy("doc_id").collect()]
+    for w, x in zip([*some, b"neverseen"], got, strict=True):
+        k = int(lm_score.numbers(hashing.word_hashes(w), words)[0])
+        expected = float(net.predicted(np.full((4, 1), pad), np.array([k]))[0][0])
+        if w not in own:
+            expected += np.log(counts.get(w, 1)) - np.log(bucket.get(k, 0) + 1)
+        assert abs(x - expected) < 1e-4 * abs(expected)
+
+
+def test_classes_grow_with_the_vocabulary():
+    words = (np.arange(5000, dtype=np.uint64), np.arange(5000))
+    net = lm_score.Network(classes=lm_score.classes_for(words))
+    assert net.size >= 10000 and lm_score.Network(net.flat).size == net.size
+    found = lm_score.numbers(np.arange(20000, dtype=np.uint64), words)
+    assert found[:5000].tolist() == list(range(5000)) and found[5000:].min() >= 5000 and found.max() < net.size
