@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_small_batches, summed_arrays, written
@@ -28,11 +28,9 @@ ITEMS, FEATURES = 2000, 8192
 #: Latent dimensions, and more for the random start.
 RANK, MORE = 192, 8
 #: Words in more than this share of the passages carry no weight, but for the LEAST_WORDS rarest of each item.
-COMMON, LEAST_WORDS = 0.0005, 5
-#: Candidates: least cosine in the latent space, and least share of the weight of a part of an item, there and in all.
-COSINE, SHARE = 0.5, 0.35
-#: And least share of an item's words that carry weight, in common order.
-MARKED = 0.4
+COMMON, LEAST_WORDS = 0.02, 5
+#: Candidates: least cosine in the latent space, and least share of the weight of a part of an item there.
+COSINE, SHARE = 0.4, 0.35
 #: Leaks: share of the item's words in common order; less is enough where the answer's words stand there too.
 WHOLE, PARAPHRASE, ANSWER = 0.75, 0.5, 0.8
 #: Candidates' keys are broadcast up to this number (8 bytes each); beyond it they are joined by a shuffle.
@@ -73,10 +71,15 @@ def answer_of(text: str) -> list[bytes]:
 
 def matched(found: list, item: list, answer: list, start: int) -> float | None:
     """Share of the item that stands around a passage in common order, or None if that is no leak."""
-    n, best, ends = len(item), 0, 0
-    for a in range(max(0, start - n), start + WIDTH, max(1, n // 4)):
-        part = found[a : a + n + n // 2 + 1]
-        common = lcs(item, part)
+    n, best, ends, words = len(item), 0, 0, set(item)
+    first = max(0, start - n)
+    known = np.cumsum([0] + [w in words for w in found[first : start + WIDTH + n + n // 2 + 1]])
+    for a in range(first, start + WIDTH, max(1, n // 4)):
+        b = a + n + n // 2 + 1
+        # No more words than these are in common order.
+        if known[min(b - first, len(known) - 1)] - known[min(a - first, len(known) - 1)] < PARAPHRASE * n:
+            continue
+        common = lcs(item, found[a:b])
         if common > best:
             best, ends = common, a
     if best >= WHOLE * n:
@@ -154,12 +157,12 @@ def _counted(docs: DataFrame, block: Block) -> tuple[np.ndarray, float]:
     return (np.zeros(block.size), 0.0) if found is None else (found[:-1], float(found[-1]))
 
 
-PASSAGES = "key long, at array<int>, f array<int>, passage array<int>, word array<int>, times array<int>"
+PASSAGES = "key long, passage array<int>, word array<int>, times array<int>"
 
 
 def _weighted(docs: DataFrame, block: Block, weight: np.ndarray, least: float) -> DataFrame:
-    """For each document with a passage of at least some weight: places and numbers of its words that carry weight, and those
-    passages' (overlapping ones') words, with how often each occurs."""
+    """For each document with a passage of at least some weight: those passages' (overlapping ones') words that carry weight, with
+    how often each occurs."""
     wide = 1 << 24
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -181,8 +184,7 @@ def _weighted(docs: DataFrame, block: Block, weight: np.ndarray, least: float) -
                     owner = passage // wide
                     for k in np.unique(owner):
                         a, b = np.searchsorted(owner, [k, k + 1])
-                        c, d = np.searchsorted(text, [k, k + 1])
-                        rows.append((batch["key"].iloc[done + k], place[c:d].astype(np.int32), f[c:d], (passage[a:b] % wide).astype(np.int32), word[a:b].astype(np.int32), times[a:b].astype(np.int32)))
+                        rows.append((batch["key"].iloc[done + k], (passage[a:b] % wide).astype(np.int32), word[a:b].astype(np.int32), times[a:b].astype(np.int32)))
                 done += len(n)
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in PASSAGES.split(", ")])
 
@@ -238,18 +240,11 @@ def latent_basis(weighted: DataFrame, block: Block, weight: np.ndarray, rank: in
     return (q @ vectors[:, top]).astype(np.float32), np.sqrt(np.maximum(values[top], 0))
 
 
-def _candidates(weighted: DataFrame, block: Block, weight: np.ndarray, basis: np.ndarray, queries: tuple) -> DataFrame:
-    """(key, item, passage) of the passages near a part of an item, by cosine in the latent space, where the words that carry
-    weight have enough of the item's in common order, too."""
+def _candidates(weighted: DataFrame, weight: np.ndarray, basis: np.ndarray, queries: tuple) -> DataFrame:
+    """(key, item, passage) of the passages near a part of an item, by cosine in the latent space."""
     owner, vectors, _ = queries
     vectors = vectors.astype(np.float32)
     norms = np.linalg.norm(vectors, axis=1)
-    marked = [w[weight[w] > 0].tolist() for w in block.words]
-    lengths = [len(w) for w in block.words]
-
-    def in_order(at: np.ndarray, f: np.ndarray, item: int, passage: int) -> bool:
-        a, b = np.searchsorted(at, [passage * STRIDE - lengths[item], passage * STRIDE + WIDTH + lengths[item]])
-        return lcs(marked[item], f[a:b].tolist()) >= max(min(2, len(marked[item])), MARKED * len(marked[item]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part, text, word, x, first in _rows(batches, weight):
@@ -259,8 +254,8 @@ def _candidates(weighted: DataFrame, block: Block, weight: np.ndarray, basis: np
             row, query = np.nonzero(near)
             passage = np.concatenate(part["passage"].to_list())[first]
             out = {(int(text[first[a]]), int(owner[b]), int(passage[a])) for a, b in zip(row, query, strict=True)}
-            at, f, key = part["at"].to_list(), part["f"].to_list(), part["key"].to_list()
-            yield pd.DataFrame([(key[d], i, p) for d, i, p in sorted(out) if in_order(at[d], f[d], i, p)], columns=["key", "item", "passage"])
+            key = part["key"].to_list()
+            yield pd.DataFrame([(key[d], i, p) for d, i, p in sorted(out)], columns=["key", "item", "passage"])
 
     return weighted.mapInPandas(run, "key long, item int, passage int")
 
@@ -271,22 +266,22 @@ def _verified(docs: DataFrame, near: DataFrame, block: Block) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for id_, text, pairs in zip(batch["id"].astype("object").where(batch["id"].notna(), None), batch["text"], batch["near"], strict=True):
+            for id_, key, text, pairs in zip(batch["id"].astype("object").where(batch["id"].notna(), None), batch["key"], batch["text"], batch["near"], strict=True):
                 found, best = words_of(text), {}
                 for pair in pairs:
                     item_id, item, answer = items[pair["item"]]
                     share = matched(found, item, answer, pair["passage"] * STRIDE)
                     if share is not None:
                         best[item_id] = max(share, best.get(item_id, 0))
-                out += [(id_, i, s) for i, s in best.items()]
-            frame = pd.DataFrame(out, columns=["id", "item_id", "overlap"])
-            yield frame.astype({"id": "Int64", "item_id": "Int64"})
+                out += [(id_, key, i, s) for i, s in best.items()]
+            frame = pd.DataFrame(out, columns=["id", "key", "item_id", "overlap"])
+            yield frame.astype({"id": "Int64", "key": "int64", "item_id": "Int64"})
 
     near = written(near.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("item", "passage"))).alias("near")), "leak-near")
     small = near.count() <= BROADCAST_KEYS
     keys = near.select("key")
     rows = docs.join(F.broadcast(keys) if small else keys, "key", "left_semi").join(near, "key")
-    return rows.select("id", "text", "near").mapInPandas(run, "id long, item_id long, overlap double")
+    return rows.select("id", "key", "text", "near").mapInPandas(run, "id long, key long, item_id long, overlap double")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -296,21 +291,30 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     or without a word match nothing. A null document id is kept, as one; other columns are not returned. If either table is
     empty there are no rows.
     """
+    found = _leaks(docs, benchmark, id_col, text_col, item_col, item_text_col)
+    return found.groupBy("id", "item_id").agg(F.max("overlap").alias("overlap")).withColumnRenamed("id", id_col)
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """id, key (of the id and the text), item_id and overlap of every leak."""
     spark = docs.sparkSession
-    rows = in_small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key")).where("text is not null")
+    rows = in_small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), _key(id_col, text_col).alias("key")).where("text is not null")
     items = benchmark.where(F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).distinct()
-    out = spark.createDataFrame([], "id long, item_id long, overlap double")
+    out = spark.createDataFrame([], "id long, key long, item_id long, overlap double")
     for part in _blocks(items):
         block = Block(part)
         df, n = _counted(rows, block)
         weight = block.weigh(df, n)
-        mass = block.queries(weight, np.zeros((block.size, 1)))[2]
-        least = SHARE * float(mass[mass > 0].min()) if (mass > 0).any() else np.inf  # lighter passages are no candidates
-        weighted = _weighted(rows, block, weight, least)
+        # A part's latent norm has no lower bound before there is a basis, so no passage is too light.
+        weighted = _weighted(rows, block, weight, 0.0)
         basis, _ = latent_basis(weighted, block, weight)
-        near = _candidates(weighted, block, weight, basis, block.queries(weight, basis))
+        near = _candidates(weighted, weight, basis, block.queries(weight, basis))
         out = out.unionByName(_verified(rows, near, block))
-    return out.groupBy("id", "item_id").agg(F.max("overlap").alias("overlap")).withColumnRenamed("id", id_col)
+    return out
+
+
+def _key(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
 def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -328,5 +332,5 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, with all their columns, in which no benchmark item was found."""
-    leaks = written(find_leaks(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("_leak")).distinct(), "leak-ids")
-    return docs.join(leaks, docs[id_col].eqNullSafe(leaks["_leak"]), "left_anti")
+    leaks = written(_leaks(docs, benchmark, id_col, text_col).select(F.col("id").alias("_leak"), F.col("key").alias("_key")).distinct(), "leak-ids")
+    return docs.join(leaks, docs[id_col].cast("long").eqNullSafe(leaks["_leak"]) & (F.xxhash64(docs[id_col], docs[text_col]) == leaks["_key"]), "left_anti")

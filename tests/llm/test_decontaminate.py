@@ -95,3 +95,33 @@ def test_nulls_repeats_and_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert d.find_leaks(empty, bench).collect() == []
     assert d.find_leaks(docs, spark.createDataFrame([], "item_id long, text string")).collect() == []
+
+
+def test_loose_paraphrases_are_found(spark):
+    rng = random.Random(3)
+    zipf = lambda: "z" + str(int(1.0003 ** (rng.random() * 25000)))
+    items = [(i, " ".join([zipf() for _ in range(rng.choice([16, 24, 30]))]) + ". " + " ".join(zipf() for _ in range(5)) + ".") for i in range(40)]
+    docs = []
+    for i in range(300):
+        text = [zipf() for _ in range(rng.choice([40, 200]))]
+        words = d.words_of(items[i % 40][1])
+        gone = set(rng.sample(range(len(words) - 5), int(len(words) * rng.uniform(0.25, 0.5))))
+        at = rng.randrange(len(text))
+        text[at:at] = [f"q{rng.randrange(10**6)}" if k in gone else w.decode() for k, w in enumerate(words)]
+        docs.append((i, " ".join(text)))
+    expected = set()
+    for i, text in docs:
+        words, (item_id, item) = d.words_of(text), items[i % 40]
+        want, answer = d.words_of(item), d.answer_of(item)
+        if any(d.lcs(want, words[a : a + len(want)]) >= d.PARAPHRASE * len(want) and d.lcs(answer, words[a : a + len(want)]) == len(answer) for a in range(len(words))):
+            expected.add((i, item_id))
+    got = {(r["doc_id"], r["item_id"]) for r in d.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    print("recall", len(got & expected), len(expected))
+    assert len(expected) > 200 and len(got & expected) >= 0.9 * len(expected)
+
+
+def test_other_documents_of_a_leaks_id_stay(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    docs = spark.createDataFrame([(None, item), (None, "clean one"), (1, item), (1, "clean two")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert sorted(r["text"] for r in d.without_leaks(docs, bench).collect()) == ["clean one", "clean two"]
