@@ -1,8 +1,8 @@
 """Secret scans with a recursive decoding worklist.
 
 Each text is scanned; encoded stretches in it (percent escapes, Unicode and hex escapes, base64, and compressed data inside
-base64) are unwrapped into layers of their own, which are scanned and unwrapped in turn until nothing new comes out. A layer
-whose content was seen before in the same document is not followed again, so cycles end. What is found in a layer is mapped
+base64) are unwrapped into layers of their own, which are scanned and unwrapped in turn until nothing new comes out. What
+was found in a content is replayed wherever it occurs again; a content that recurs within itself is not followed, so cycles end. What is found in a layer is mapped
 back to the stretch of the original text that it came from.
 """
 
@@ -10,11 +10,11 @@ from __future__ import annotations
 
 import base64
 import binascii
-import gzip
+import codecs
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -33,9 +33,11 @@ LEAST_ASSIGNED = 6
 URL_RUN, VISIBLE_RUN = re.compile(r"[A-Za-z0-9_.~+%-]+"), re.compile(r"[\x21-\x7e]+")
 PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
 ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|U([0-9A-Fa-f]{8}))")
-BASE64 = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2}")
-#: A compressed layer may grow to so many bytes; the rest of a larger one is not unpacked (such bombs hold no secrets of use).
-LEAST_SHARE_TEXT, MOST_UNPACKED = 0.95, 64 << 20
+#: Base64 in each alphabet: a line of it, and a shorter last line.
+BASE64 = [(re.compile(r"[A-Za-z0-9+/]{16,}={0,2}"), re.compile(r"([A-Za-z0-9+/]{1,15}={0,2})")), (re.compile(r"[A-Za-z0-9_-]{16,}={0,2}"), re.compile(r"([A-Za-z0-9_-]{1,15}={0,2})"))]
+BREAK = re.compile(r"[ \t]*\r?\n[ \t]*")
+#: A compressed layer is unpacked and scanned so many bytes at a time, with so many characters of the piece before.
+LEAST_SHARE_TEXT, PIECE, OVERLAP = 0.95, 16 << 20, 1 << 20
 REDACTED = "[REDACTED]"
 
 SCHEMA = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, layers int"
@@ -50,22 +52,57 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def _readable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    shown = sum(c.isprintable() or c in "\n\r\t" for c in text)
-    return text if text and shown >= LEAST_SHARE_TEXT * len(text) else None
+def _shown(text: str) -> bool:
+    return bool(text) and sum(c.isprintable() or c in "\n\r\t" for c in text) >= LEAST_SHARE_TEXT * len(text)
+
+
+def _packed(raw: bytes) -> bool:
+    return raw[:2] == b"\x1f\x8b" or (raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0)
 
 
-def _unpacked(raw: bytes) -> bytes | None:
-    if raw[:2] == b"\x1f\x8b" or (raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0):
+def _unpacked(raw: bytes) -> Iterator[bytes]:
+    """The pieces of all members of compressed data, as far as they can be read."""
+    try:
+        while _packed(raw):
+            member = zlib.decompressobj(47)
+            while not member.eof:
+                piece = member.decompress(raw, PIECE)
+                raw = member.unconsumed_tail
+                if not piece:
+                    break
+                yield piece
+            raw = member.unused_data if member.eof else b""
+    except zlib.error:
+        return
+
+
+def _texts(raw: bytes) -> Iterator[str]:
+    """The readable texts of decoded bytes: one, or the overlapping pieces of a large compressed one."""
+    if not _packed(raw):
         try:
-            return zlib.decompressobj(47).decompress(raw, MOST_UNPACKED)
-        except (zlib.error, gzip.BadGzipFile, EOFError):
-            return None
-    return None
+            text = raw.decode("utf-8")
+        except UnicodeDecodeError:
+            return
+        if _shown(text):
+            yield text
+        return
+    reader, before, plain = codecs.getincrementaldecoder("utf-8")(), "", True
+    try:
+        for piece in _unpacked(raw):
+            plain = False
+            text = reader.decode(piece)
+            if _shown(text):
+                yield before + text
+            before = text[-OVERLAP:]
+    except UnicodeDecodeError:
+        return
+    if plain:  # it only looked compressed
+        try:
+            text = raw.decode("utf-8")
+        except UnicodeDecodeError:
+            return
+        if _shown(text):
+            yield text
 
 
 def _percent(part: str) -> tuple[str, list[int]]:
@@ -112,53 +149,86 @@ def unwrap(text: str) -> Iterator[tuple[int, int, str, list[int] | None]]:
         for m in VISIBLE_RUN.finditer(text):
             if "\\" in m[0] and ESCAPE.search(m[0]):
                 yield m.start(), m.end(), *_escapes(m[0])
-    for m in BASE64.finditer(text):
-        part = m[0].rstrip("=")
-        if part.isalpha() and (part.islower() or part.isupper() or part.istitle()):
-            continue  # a word
-        part = part.replace("-", "+").replace("_", "/")
-        try:
-            raw = base64.b64decode(part[: len(part) - (len(part) % 4 == 1)] + "=" * (-len(part) % 4 if len(part) % 4 != 1 else 0))
-        except (binascii.Error, ValueError):
-            continue
-        decoded = _readable(_unpacked(raw) or raw)
-        if decoded is not None:
-            yield m.start(), m.end(), decoded, None
+    for k, (line, last) in enumerate(BASE64):
+        if k == 0 or "-" in text or "_" in text:
+            for start, end, part in _runs(text, line, last):
+                if k and "-" not in part and "_" not in part:
+                    continue  # the same in either alphabet
+                for decoded in _decoded(part):
+                    yield start, end, decoded, None
+
+
+def _runs(text: str, line: re.Pattern, last: re.Pattern) -> Iterator[tuple[int, int, str]]:
+    """(start, end, characters) of each line of base64, and of lines that follow each other as one, with and without the last."""
+    held: list[tuple[int, int, str]] = []
+
+    def whole() -> Iterator[tuple[int, int, str]]:
+        if held:
+            lines = list(held)
+            gap = BREAK.match(text, lines[-1][1])
+            short = last.match(text, gap.end()) if gap and not lines[-1][2].endswith("=") else None
+            if short:
+                lines.append((short.start(), short.end(), short[0]))
+            for n in {len(lines), len(lines) - 1} - {0, 1}:
+                yield lines[0][0], lines[n - 1][1], "".join(x for _, _, x in lines[:n])
+
+    for m in line.finditer(text):
+        yield m.start(), m.end(), m[0]
+        gap = BREAK.match(text, held[-1][1]) if held else None
+        if not gap or gap.end() != m.start() or held[-1][2].endswith("="):
+            yield from whole()
+            held.clear()
+        held.append((m.start(), m.end(), m[0]))
+    yield from whole()
+
+
+def _decoded(part: str) -> Iterator[str]:
+    part = part.rstrip("=")
+    if part.isalpha() and (part.islower() or part.isupper() or part.istitle()):
+        return  # a word
+    part = part.replace("-", "+").replace("_", "/")
+    try:
+        raw = base64.b64decode(part[: len(part) - (len(part) % 4 == 1)] + "=" * (-len(part) % 4 if len(part) % 4 != 1 else 0))
+    except (binascii.Error, ValueError):
+        return
+    yield from _texts(raw)
+
+
+def _onto(found: Iterable[tuple[int, int, int]], start: int, end: int, places: list[int] | None) -> set[tuple[int, int, int]]:
+    """Spans of a decoded text as spans of the text around its stretch."""
+    if places is None:
+        return {(start, kind, end) for _, kind, _ in found}
+    return {(start + places[s], kind, start + places[e] if e < len(places) else end) for s, kind, e in found}
 
 
 def scan_layers(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
-    """(base matches, all matches mapped onto the text, number of layers)."""
+    """(base matches, all matches mapped onto the text, number of different layers)."""
+    digest = lambda t: hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest()
     base = scan(text)
-    found = set(base)
-    seen = {hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()}
-    # Each entry: a layer, and how its places map onto the original: (start, end) of a whole stretch, or a list of places and the end.
-    work: list[tuple[str, object]] = [(text, None)]
-    layers = 0
-
-    def onto(outer: object, start: int, end: int) -> tuple[int, int]:
-        if outer is None:
-            return start, end
-        if isinstance(outer, tuple):
-            return outer
-        places, stop = outer["at"], outer["end"]
-        return places[start], places[end] if end < len(places) else stop
-
-    while work:
-        layer, outer = work.pop()
-        layers += 1
-        if layers > 1:
-            found |= {(a, kind, b) for s, kind, e in scan(layer) for a, b in [onto(outer, s, e)]}
-        for start, end, decoded, places in unwrap(layer):
-            key = hashlib.blake2b(decoded.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-            a, b = onto(outer, start, end)
-            again = key in seen
-            seen.add(key)
-            inner = (a, b) if places is None or isinstance(outer, tuple) else {"at": [onto(outer, start + p, start + p + 1)[0] for p in places], "end": b}
-            if again:  # its own layers were followed before; a copy elsewhere is still reported
-                found |= {(x, kind, y) for s, kind, e in scan(decoded) for x, y in [onto(inner, s, e)]}
+    done: dict[bytes, set[tuple[int, int, int]]] = {}
+    # The layers from the text down to the one being read: key, spans found so far, the stretches left, and the one below.
+    path: list[list] = [[digest(text), set(base), unwrap(text), None]]
+    within = {path[0][0]}
+    while True:
+        key, found, parts, _ = path[-1]
+        for start, end, decoded, places in parts:
+            inner = digest(decoded)
+            if inner in done:
+                found |= _onto(done[inner], start, end, places)
+            elif inner in within:
+                found |= _onto(scan(decoded), start, end, places)
             else:
-                work.append((decoded, inner))
-    return base, sorted(found), layers
+                path[-1][3] = start, end, places
+                path.append([inner, set(scan(decoded)), unwrap(decoded), None])
+                within.add(inner)
+                break
+        else:
+            path.pop()
+            within.discard(key)
+            done[key] = found
+            if not path:
+                return base, sorted(found), len(done)
+            path[-1][1].update(_onto(found, *path[-1][3]))
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:

@@ -82,3 +82,38 @@ def test_query_rows(spark):
     assert kept.columns == frame.columns
     assert sorted((r["text"] or "") for r in kept.collect()) == ["", "", s.REDACTED, s.REDACTED, "clean"]
     assert s.scan_documents(frame.limit(0)).collect() == []
+
+
+def test_nested_copies_are_all_found():
+    two = base64.b64encode(base64.b64encode(SECRET.encode())).decode()
+    assert two not in s.redact(f"{two} and {two} again")
+    assert s.redact(f"{two} and {two} again").count(s.REDACTED) == 2
+
+
+def test_url_safe_layers_are_read_whole():
+    rng = random.Random(2)
+    for _ in range(200):
+        noise = "".join(rng.choice("abcdefghij klmnop") for _ in range(60))
+        one = base64.urlsafe_b64encode(zlib.compress(f"{noise} {SECRET}".encode())).decode()
+        if one[0] in "-_":
+            continue
+        assert one not in s.redact(f"see {one} end"), one
+
+
+def test_layers_wrapped_over_lines():
+    rng = random.Random(7)
+    noise = "".join(rng.choice("abcdefghij klmnop") for _ in range(300))
+    for raw in (zlib.compress(f"{noise} {SECRET}".encode()), f"{noise} {SECRET}".encode()):
+        for end in ("\n", "\n  ", "\r\n"):
+            code = base64.b64encode(raw).decode()
+            lines = end.join(code[k : k + 38] for k in range(0, len(code), 38))
+            out = s.redact(f"see\n{lines}\nThen more")
+            assert out == f"see\n{s.REDACTED}\nThen more"
+
+
+def test_all_of_a_large_or_split_compressed_layer(monkeypatch):
+    monkeypatch.setattr(s, "PIECE", 1000)
+    monkeypatch.setattr(s, "OVERLAP", 100)
+    for raw in (gzip.compress(b"word " * 1998 + SECRET.encode()), gzip.compress(b"first member") + gzip.compress(SECRET.encode())):
+        one = base64.b64encode(raw).decode()
+        assert one not in s.redact(f"see {one} end")
