@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -33,8 +34,9 @@ COMMON, LEAST_WORDS = 0.02, 5
 COSINE, SHARE = 0.4, 0.35
 #: Leaks: share of the item's words in common order; less is enough where the answer's words stand there too.
 WHOLE, PARAPHRASE, ANSWER = 0.75, 0.5, 0.8
-#: Candidates' keys are broadcast up to this number (8 bytes each); beyond it they are joined by a shuffle.
-BROADCAST_KEYS = 2_000_000
+#: Documents with candidates are broadcast up to this number (some ten bytes each, and eight for each candidate); beyond it they
+#: are joined by a shuffle.
+BROADCAST_KEYS = 500_000
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 
 
@@ -102,6 +104,7 @@ class Block:
         self.near = np.zeros(1 << 16, dtype=bool)
         self.near[(every >> np.uint64(48)).astype(np.int64)] = True
         self.words = [self.numbers[np.searchsorted(every, h)] for h in hashes]
+        self.answers = [self.numbers[np.searchsorted(every, word_hashes(b" ".join(a)))] for _, _, a in self.items]
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places, among some words, of those that occur in the block, and their numbers there."""
@@ -138,126 +141,216 @@ def _places(n: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return text, at - (ends - n)[text]
 
 
-def _counted(docs: DataFrame, block: Block) -> tuple[np.ndarray, float]:
-    """Passages with each word of the block, and all passages; passages don't overlap here."""
+UNITS = "key long, passages long, unit array<int>, word array<short>, times array<short>"
 
-    def partial(batches: Iterator[pd.DataFrame]) -> np.ndarray:
-        out = np.zeros(block.size + 1)
+
+def _units(docs: DataFrame, block: Block) -> DataFrame:
+    """For each document: its number of passages (not overlapping ones), and the block's words in each unit of STRIDE words, with
+    how often each occurs there. A passage is two units. This is the only pass over the texts but for the candidates'."""
+    wide = 1 << 24
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            units, words, times, passages = [], [], [], []
             for h, n in word_batches(batch["text"], _prepared):
                 at, f = block.find(h)
                 text, place = _places(n, at)
-                passages = -(-n // WIDTH)
-                passage = (np.cumsum(passages) - passages)[text] + place // WIDTH
-                out[-1] += passages.sum()
-                out[: block.size] += np.bincount(np.unique(passage * FEATURES + f) % FEATURES, minlength=block.size)
-        return out
+                entry, count = np.unique((text * wide + place // STRIDE) * FEATURES + f, return_counts=True)
+                unit, word = entry // FEATURES, (entry % FEATURES).astype(np.int16)
+                ends = np.searchsorted(unit, np.arange(1, len(n)) * wide)
+                units += np.split((unit % wide).astype(np.int32), ends)
+                words += np.split(word, ends)
+                times += np.split(np.minimum(count, np.iinfo(np.int16).max).astype(np.int16), ends)
+                passages.append(-(-n // WIDTH))
+            yield pd.DataFrame({"key": batch["key"], "passages": np.concatenate(passages), "unit": units, "word": words, "times": times})
 
-    found = summed_arrays(docs.select("text"), partial)
-    return (np.zeros(block.size), 0.0) if found is None else (found[:-1], float(found[-1]))
+    return written(docs.select("key", "text").mapInPandas(run, UNITS), "leak-units")
 
 
-PASSAGES = "key long, passage array<int>, word array<int>, times array<int>"
+class _Entries(NamedTuple):
+    """The block's words in some hundred documents: line tells apart units (those of different documents are far from each other)."""
 
+    part: pd.DataFrame
+    line: np.ndarray
+    word: np.ndarray
+    times: np.ndarray
 
-def _weighted(docs: DataFrame, block: Block, weight: np.ndarray, least: float) -> DataFrame:
-    """For each document with a passage of at least some weight: those passages' (overlapping ones') words that carry weight, with
-    how often each occurs."""
-    wide = 1 << 24
+    def only(self, kept: np.ndarray) -> _Entries:
+        return _Entries(self.part, self.line[kept], self.word[kept], self.times[kept])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            done, rows = 0, []
-            for h, n in word_batches(batch["text"], _prepared):
-                at, f = block.find(h)
-                at, f = at[weight[f] > 0], f[weight[f] > 0]
-                text, place = _places(n, at)
-                p = place // STRIDE
-                before = p > 0
-                key, times = np.unique(np.concatenate([(text * wide + p) * FEATURES + f, ((text * wide + p - 1) * FEATURES + f)[before]]), return_counts=True)
-                passage, word = key // FEATURES, key % FEATURES
-                if len(key):
-                    first = np.flatnonzero(np.diff(passage, prepend=-1))
-                    x = weight[word] * times
-                    heavy = np.repeat(np.add.reduceat(x * x, first) >= least, np.diff(np.append(first, len(x))))
-                    passage, word, times = passage[heavy], word[heavy], times[heavy]
-                    owner = passage // wide
-                    for k in np.unique(owner):
-                        a, b = np.searchsorted(owner, [k, k + 1])
-                        rows.append((batch["key"].iloc[done + k], (passage[a:b] % wide).astype(np.int32), word[a:b].astype(np.int32), times[a:b].astype(np.int32)))
-                done += len(n)
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PASSAGES.split(", ")])
-
-    return written(docs.select("key", "text").mapInPandas(run, PASSAGES), "leak-passages")
-
-
-def _rows(batches: Iterator[pd.DataFrame], weight: np.ndarray) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(documents, document, words, values, first index of each passage) of some hundred documents at a time."""
+
+#: Numbers of line between the first units of two documents.
+APART = 1 << 25
+#: Pairs of a passage and an item that are counted at a time, and what rounding may take from a bound.
+PAIRS, SLACK = 1 << 13, 1e-9
+
+
+def _entries(batches: Iterator[pd.DataFrame], weight: np.ndarray | None = None) -> Iterator[_Entries]:
+    """The entries of the units, some hundred documents at a time; only words that carry weight, if that is given."""
     for batch in batches:
         for k in range(0, len(batch), 256):
             part = batch.iloc[k : k + 256]
             n = np.array([len(w) for w in part["word"]], dtype=np.int64)
-            word = np.concatenate(part["word"].to_list())
-            passage = np.concatenate(part["passage"].to_list()).astype(np.int64)
-            text = np.repeat(np.arange(len(part)), n)
-            first = np.flatnonzero((np.diff(passage, prepend=-1) != 0) | (np.diff(text, prepend=-1) != 0))
-            yield part, text, word, (weight[word] * np.concatenate(part["times"].to_list())).astype(np.float32), first
+            line = np.repeat(np.arange(len(part), dtype=np.int64) * APART, n) + np.concatenate(part["unit"].to_list())
+            word, times = np.concatenate(part["word"].to_list()).astype(np.int64), np.concatenate(part["times"].to_list()).astype(np.int64)
+            found = _Entries(part, line, word, times)
+            found = found if weight is None else found.only(weight[word] > 0)
+            if len(found.word):
+                yield found
+
+
+def _counted(units: DataFrame, block: Block) -> tuple[np.ndarray, float]:
+    """Passages with each word of the block, and all passages; passages don't overlap here."""
+
+    def partial(batches: Iterator[pd.DataFrame]) -> np.ndarray:
+        out = np.zeros(block.size)
+        for e in _entries(batches):
+            out += np.bincount(np.unique(e.line // 2 * FEATURES + e.word) % FEATURES, minlength=block.size)
+        return out
 
+    found = summed_arrays(units.select("unit", "word", "times"), partial)
+    n = units.agg(F.sum("passages")).first()[0] or 0
+    return np.zeros(block.size) if found is None else found, float(n)
 
-def latent_basis(weighted: DataFrame, block: Block, weight: np.ndarray, rank: int = RANK, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """Right singular vectors (words by rank) and singular values of the passages' TF-IDF matrix A, by a randomised SVD.
+
+def latent_basis(units: DataFrame, block: Block, weight: np.ndarray, rank: int = RANK, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """Right singular vectors (words by rank) and singular values of the TF-IDF matrix A of all passages, by a randomised SVD.
 
     A'A times a random matrix is summed over all passages; its orthonormal basis Q is then rotated by the eigenvectors of
-    (AQ)'(AQ), again summed over all passages. Both sums are of fixed size.
+    Q'A'AQ, again summed over all passages. A task adds up its own passages' part of A'A by pairs of words that stand
+    together, and sends only the product, so both sums are of fixed size.
     """
     size, wide = block.size, min(block.size, rank + MORE)
     start = np.random.default_rng(seed).normal(size=(size, wide)).astype(np.float32)
-    passages = weighted.select("passage", "word", "times")
+    entries = units.select("unit", "word", "times")
 
     def spread(batches: Iterator[pd.DataFrame]) -> np.ndarray:
-        out = np.zeros((size, wide))
-        for _, _, word, x, first in _rows(batches, weight):
-            y = np.add.reduceat(start[word] * x[:, None], first)
-            back = np.repeat(y, np.diff(np.append(first, len(x))), axis=0) * x[:, None]
-            order = np.argsort(word, kind="stable")
-            each, at = np.unique(word[order], return_index=True)
-            out[each] += np.add.reduceat(back[order], at)
-        return out.ravel()
-
-    summed = summed_arrays(passages, spread)
+        return _gram_times(batches, weight, start).ravel()
+
+    summed = summed_arrays(entries, spread)
     q = np.linalg.qr(np.zeros((size, wide)) if summed is None else summed.reshape(size, wide))[0].astype(np.float32)
 
     def inner(batches: Iterator[pd.DataFrame]) -> np.ndarray:
-        out = np.zeros((wide, wide))
-        for _, _, word, x, first in _rows(batches, weight):
-            y = np.add.reduceat(q[word] * x[:, None], first)
-            out += y.T @ y
-        return out.ravel()
+        return (q.T @ _gram_times(batches, weight, q)).ravel()
 
-    gram = summed_arrays(passages, inner)
+    gram = summed_arrays(entries, inner)
     values, vectors = np.linalg.eigh(np.zeros((wide, wide)) if gram is None else gram.reshape(wide, wide))
     top = np.argsort(-values)[:rank]
     return (q @ vectors[:, top]).astype(np.float32), np.sqrt(np.maximum(values[top], 0))
 
 
-def _candidates(weighted: DataFrame, weight: np.ndarray, basis: np.ndarray, queries: tuple) -> DataFrame:
-    """(key, item, passage) of the passages near a part of an item, by cosine in the latent space."""
+def _gram_times(batches: Iterator[pd.DataFrame], weight: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """A'A x for the passages of a task."""
+    size = len(weight)
+    own, pairs = np.zeros(size), np.zeros(size * size, dtype=np.float32)
+    for e in _entries(batches, weight):
+        value = (weight[e.word] * e.times).astype(np.float32)
+        both = np.where(e.line % APART > 0, 2, 1).astype(np.float32)  # a unit is in two passages, but for the first one
+        own += np.bincount(e.word, both * value * value, size)
+        for lag in range(1, len(value)):
+            gap = e.line[lag:] - e.line[:-lag]
+            at = np.flatnonzero(gap <= 1)
+            if not len(at):
+                break
+            np.add.at(pairs, e.word[at] * size + e.word[at + lag], np.where(gap[at] == 0, both[at], 1) * value[at] * value[at + lag])
+    pairs = pairs.reshape(size, size)
+    return pairs @ x + pairs.T @ x + own[:, None].astype(np.float32) * x
+
+
+def _candidates(units: DataFrame, block: Block, weight: np.ndarray, basis: np.ndarray, queries: tuple) -> DataFrame:
+    """(key, item, passage) of the passages near a part of an item, by cosine in the latent space.
+
+    Pairs that can't be a leak by the number of the item's (and its answer's) words around the passage are left out at once.
+    """
     owner, vectors, _ = queries
-    vectors = vectors.astype(np.float32)
     norms = np.linalg.norm(vectors, axis=1)
+    seen = norms > 1e-9
+    owner, norms = owner[seen], norms[seen]
+    toward = (vectors[seen] / norms[:, None]).astype(np.float32).T
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part, text, word, x, first in _rows(batches, weight):
-            z = np.add.reduceat(basis[word] * x[:, None], first)
-            dots = z @ vectors.T
-            near = (dots >= COSINE * np.linalg.norm(z, axis=1)[:, None] * norms) & (dots >= SHARE * norms**2) & (norms > 1e-9)
-            row, query = np.nonzero(near)
-            passage = np.concatenate(part["passage"].to_list())[first]
-            out = {(int(text[first[a]]), int(owner[b]), int(passage[a])) for a, b in zip(row, query, strict=True)}
-            key = part["key"].to_list()
-            yield pd.DataFrame([(key[d], i, p) for d, i, p in sorted(out)], columns=["key", "item", "passage"])
+        possible = _Possible(block, weight)
+        for every in _entries(batches):
+            e = every.only(weight[every.word] > 0)
+            if not len(owner) or not len(e.word):
+                continue
+            first = np.flatnonzero(np.diff(e.line, prepend=-1))
+            line = e.line[first]
+            z = np.add.reduceat(basis[e.word] * (weight[e.word] * e.times).astype(np.float32)[:, None], first)
+            # A passage is a unit and the next one; one that starts a unit earlier, where no weighted word stands, is that unit alone.
+            alone = np.flatnonzero((np.diff(line, prepend=-2) > 1) & (line % APART > 0))
+            follows = np.flatnonzero(np.diff(line) == 1)
+            single = z[alone]
+            z[follows] += z[follows + 1]
+            z = np.concatenate([z, single])
+            line = np.concatenate([line, line[alone] - 1])
+            length = np.linalg.norm(z, axis=1)
+            heavy = np.flatnonzero(length >= SHARE * norms.min())  # no passage of less weight passes the test on shares below
+            cosine = z[heavy] @ toward
+            row, query = np.nonzero(cosine >= COSINE * length[heavy][:, None])
+            enough = cosine[row, query] >= SHARE * norms[query]
+            pair = np.unique(heavy[row[enough]] * len(block.items) + owner[query[enough]])
+            passage, item = np.divmod(pair, len(block.items))
+            at = line[passage]
+            kept = possible.by_weighted(e, at, item)
+            at, item = at[kept], item[kept]
+            kept = possible.by_all(every, at, item)
+            at, item = at[kept], item[kept]
+            keys = e.part["key"].to_numpy()
+            yield pd.DataFrame({"key": keys[at // APART], "item": item.astype(np.int32), "passage": (at % APART).astype(np.int32)})
+
+    return units.select("key", "unit", "word", "times").mapInPandas(run, "key long, item int, passage int")
+
+
+class _Possible:
+    """Whether a passage can hold a leak of an item: true bounds of what matched() accepts, from the words around the passage.
+
+    A leak leaves out at most a share of the item's words (and of its answer's), hence at most so many of the weighted ones.
+    Those are counted first, by place; what is left is counted again over all words, each at most as often as the item has it.
+    """
 
-    return weighted.mapInPandas(run, "key long, item int, passage int")
+    def __init__(self, block: Block, weight: np.ndarray) -> None:
+        shape = len(block.items), block.size
+        self.words, self.answers = np.zeros(shape, dtype=np.int16), np.zeros(shape, dtype=np.int16)
+        for k, (w, a) in enumerate(zip(block.words, block.answers, strict=True)):
+            np.add.at(self.words[k], w, 1)
+            np.add.at(self.answers[k], a, 1)
+        held = weight > 0
+        self.n = np.array([len(w) for w in block.words])
+        weighted = self.words[:, held].sum(axis=1)
+        self.whole, self.half = weighted - (1 - WHOLE) * self.n, weighted - (1 - PARAPHRASE) * self.n
+        self.in_answer = np.array([len(a) for a in block.answers])
+        self.answer = self.answers[:, held].sum(axis=1) - (1 - ANSWER) * self.in_answer
+
+    def _around(self, e: _Entries, line: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The entries around each passage that a match may reach, and which passage each is for."""
+        lo = np.searchsorted(e.line, line - -(-self.n[item] // STRIDE) - 1)
+        hi = np.searchsorted(e.line, line + 3 + -(-(2 * self.n[item] + 1) // STRIDE))
+        many = hi - lo
+        return np.repeat(lo - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum()), np.repeat(np.arange(len(item)), many)
+
+    def by_weighted(self, e: _Entries, line: np.ndarray, item: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(item), dtype=bool)
+        for k in range(0, len(item), PAIRS):
+            i = item[k : k + PAIRS]
+            at, owner = self._around(e, line[k : k + PAIRS], i)
+            word, times, of = e.word[at], e.times[at], i[owner]
+            common = np.bincount(owner, np.minimum(times, self.words[of, word]), len(i))
+            answer = np.bincount(owner, np.minimum(times, self.answers[of, word]), len(i))
+            out[k : k + PAIRS] = (common >= self.whole[i] - SLACK) | ((common >= self.half[i] - SLACK) & (answer >= self.answer[i] - SLACK))
+        return out
+
+    def by_all(self, e: _Entries, line: np.ndarray, item: np.ndarray) -> np.ndarray:
+        out, size = np.zeros(len(item), dtype=bool), self.words.shape[1]
+        for k in range(0, len(item), PAIRS):
+            i = item[k : k + PAIRS]
+            at, owner = self._around(e, line[k : k + PAIRS], i)
+            both, of = np.unique(owner * size + e.word[at], return_inverse=True)
+            times, (owner, word) = np.bincount(of, e.times[at], len(both)), np.divmod(both, size)
+            common = np.bincount(owner, np.minimum(times, self.words[i[owner], word]), len(i))
+            answer = np.bincount(owner, np.minimum(times, self.answers[i[owner], word]), len(i))
+            out[k : k + PAIRS] = (common >= WHOLE * self.n[i] - SLACK) | ((common >= PARAPHRASE * self.n[i] - SLACK) & (answer >= ANSWER * self.in_answer[i] - SLACK))
+        return out
 
 
 def _verified(docs: DataFrame, near: DataFrame, block: Block) -> DataFrame:
@@ -278,9 +371,7 @@ def _verified(docs: DataFrame, near: DataFrame, block: Block) -> DataFrame:
             yield frame.astype({"id": "Int64", "key": "int64", "item_id": "Int64"})
 
     near = written(near.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("item", "passage"))).alias("near")), "leak-near")
-    small = near.count() <= BROADCAST_KEYS
-    keys = near.select("key")
-    rows = docs.join(F.broadcast(keys) if small else keys, "key", "left_semi").join(near, "key")
+    rows = docs.join(F.broadcast(near) if near.count() <= BROADCAST_KEYS else near, "key")
     return rows.select("id", "key", "text", "near").mapInPandas(run, "id long, key long, item_id long, overlap double")
 
 
@@ -303,12 +394,10 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, it
     out = spark.createDataFrame([], "id long, key long, item_id long, overlap double")
     for part in _blocks(items):
         block = Block(part)
-        df, n = _counted(rows, block)
-        weight = block.weigh(df, n)
-        # A part's latent norm has no lower bound before there is a basis, so no passage is too light.
-        weighted = _weighted(rows, block, weight, 0.0)
-        basis, _ = latent_basis(weighted, block, weight)
-        near = _candidates(weighted, weight, basis, block.queries(weight, basis))
+        units = _units(rows, block)
+        weight = block.weigh(*_counted(units, block))
+        basis, _ = latent_basis(units, block, weight)
+        near = _candidates(units, block, weight, basis, block.queries(weight, basis))
         out = out.unionByName(_verified(rows, near, block))
     return out
 

@@ -52,9 +52,9 @@ def test_basis_matches_a_dense_svd(spark):
     docs, items, _ = made()
     rows = spark.createDataFrame([(i, t, i) for i, t in docs], "id long, text string, key long").repartition(3)
     block = d.Block(items)
-    df, n = d._counted(rows, block)
-    weight = block.weigh(df, n)
-    basis, values = d.latent_basis(d._weighted(rows, block, weight, 0.0), block, weight, rank=60)
+    units = d._units(rows, block)
+    weight = block.weigh(*d._counted(units, block))
+    basis, values = d.latent_basis(units, block, weight, rank=60)
     number = dict(zip(block.hashes.tolist(), block.numbers.tolist(), strict=True))
     dense = []
     for _, text in docs:
