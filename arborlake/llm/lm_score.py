@@ -1,11 +1,14 @@
 """Masked pseudo-likelihood: every word is predicted from the words on both sides; the log-probabilities add up to a score.
 
 Words are numbered by a vocabulary that is counted over all documents: words above a count that grows with the root of the
-corpus each get a number, all others share numbers (buckets) by a hash. The counts of the latter stay a table; such a word's
-log-probability is that of its bucket, by the network, plus the log of its share of the bucket's count. The network has an embedding of the words at each place of the window, one hidden layer, and an output
-in two steps (a class of words, then the word within it), so that a prediction costs far less than a number for each word.
-It is written in numpy. Each task trains on all windows of the documents that it reads, from the same start; the weights are
-averaged, by the words that each task saw, in a shuffle.
+corpus each get a number, all others share numbers (buckets) by a hash. The counts of the latter stay a table, however many
+they are; such a word's log-probability is that of its bucket, by the network, plus the log of its share of the bucket's count.
+The more frequent of them are looked up in the tasks, the rest by a join; that only divides the work.
+
+The network has an embedding of the words at each place of the window, one hidden layer, and an output in two steps (a class of
+words, then the word within it), so that a prediction costs far less than a number for each word. It is written in numpy. It is
+trained in rounds: each round has a share of the documents, and every task trains on those it reads, from the weights that the
+tasks of the round before came to, averaged by the words that each saw in a shuffle. All rounds together read every document once.
 """
 
 from __future__ import annotations
@@ -28,7 +31,9 @@ SIZE = CLASSES * MEMBERS
 #: A vocabulary of up to so many words gets a number for each. In a larger one, words that occur at least LEAST times the root of
 #: the number of all words have one; the network has twice as many numbers as that or more, and the others share the rest.
 KNOWN, LEAST = SIZE // 2, 0.5
-BATCH, RATE = 4096, 0.2
+BATCH, RATE, ROUNDS = 4096, 0.2, 4
+#: Counts of at most so many other words are held in the tasks (16 bytes each); the rest are joined.
+HELD = 1_000_000
 #: Blocks that the weights are averaged in.
 BLOCKS = 64
 
@@ -53,15 +58,31 @@ class Vocabulary(NamedTuple):
     others: DataFrame | None = None
 
 
+def _arrays(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """h, as unsigned numbers in order, and n."""
+    found = counts.select("h", "n").toArrow()
+    h, n = (found[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("h", "n"))
+    order = np.argsort(h.view(np.uint64))
+    return h.view(np.uint64)[order], n[order]
+
+
 def vocabulary(docs: DataFrame, text_col: str = "text") -> Vocabulary:
     """The words of all documents; those without a number of their own stay a table, however many they are."""
     counts = written(count_words(docs, text_col), "lm-words")
     distinct, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     least = 1 if distinct <= KNOWN else LEAST * total**0.5
-    top = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "h").collect()
-    h = np.array([r["h"] for r in top], dtype=np.int64).view(np.uint64)
-    order = np.argsort(h)
-    return Vocabulary(h[order], order.astype(np.int64), counts.where(F.col("n") < least))
+    h, n = _arrays(counts.where(F.col("n") >= least))
+    number = np.empty(len(h), dtype=np.int64)
+    number[np.lexsort((h.view(np.int64), -n))] = np.arange(len(h))
+    return Vocabulary(h, number, counts.where(F.col("n") < least))
+
+
+def _held(others: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """The counts of the more frequent of the other words, at most HELD, and the least count among them."""
+    least = 2
+    while others.where(F.col("n") >= least).count() > HELD:
+        least *= 2
+    return *_arrays(others.where(F.col("n") >= least)), least
 
 
 def classes_for(words: tuple) -> int:
@@ -97,7 +118,7 @@ def _bucket(h: Column, n: int) -> Column:
 class Network:
     """Weights in one flat array: an embedding for each place of the window, and the two output layers."""
 
-    def __init__(self, flat: np.ndarray | None = None, seed: int = 7, classes: int = CLASSES) -> None:
+    def __init__(self, flat: np.ndarray | None = None, seed: int = 7, classes: int = CLASSES, squares: np.ndarray | None = None) -> None:
         if flat is not None:  # all but the last term grow with the classes
             classes = (len(flat) - HIDDEN * (len(PLACES) + MEMBERS)) // (len(PLACES) * MEMBERS * HIDDEN + HIDDEN + 1 + MEMBERS)
         self.classes, self.size = classes, classes * MEMBERS
@@ -107,7 +128,7 @@ class Network:
             flat = np.zeros(n, dtype=np.float32)
             rng = np.random.default_rng(seed)
             flat[: int(np.prod(shapes["e"]))] = rng.normal(0, 0.3, int(np.prod(shapes["e"])))
-        self.flat, self.squares, at = flat, np.full(n, 0.1, dtype=np.float32), 0
+        self.flat, self.squares, at = flat, np.full(n, 0.1, dtype=np.float32) if squares is None else squares, 0
         for name, shape in shapes.items():
             k = int(np.prod(shape))
             setattr(self, name, flat[at : at + k].reshape(shape))
@@ -167,23 +188,30 @@ class Network:
         getattr(self, name)[rows] += np.float32(RATE) * grad * np.sqrt(np.float32(n)) / np.sqrt(squares[rows])
 
 
-def train(docs: DataFrame, words: tuple, text_col: str = "text") -> np.ndarray:
-    """The averaged weights after each task's one pass over all windows of its documents."""
+def train(docs: DataFrame, words: tuple, text_col: str = "text", rounds: int = ROUNDS) -> np.ndarray:
+    """The weights after one pass over all windows, averaged over the tasks after each of the rounds.
 
-    classes, words = classes_for(words), tuple(words[:2])
-
-    def partial(batches: Iterator[pd.DataFrame]) -> np.ndarray | None:
-        net, seen = Network(classes=classes), 0
-        for batch in batches:
-            for h, counts in word_batches(batch["text"]):
-                around, ids = net.windows(numbers(h, words), counts)
-                for k in range(0, len(ids), BATCH):
-                    net.step(around[:, k : k + BATCH], ids[k : k + BATCH])
-                seen += len(ids)
-        return np.append(net.flat.astype(np.float64) * seen, seen) if seen else None
-
-    found = summed_arrays(docs.select(F.col(text_col).alias("text")), partial, BLOCKS)
-    return Network(classes=classes).flat if found is None else (found[:-1] / found[-1]).astype(np.float32)
+    Texts are dealt to the rounds by a hash. The sums of squared gradients, which set the rates, are averaged and kept too.
+    """
+    texts = docs.select(F.col(text_col).alias("text")).where("text is not null")
+    classes, words, start = classes_for(words), tuple(words[:2]), None
+    for k in range(rounds):
+
+        def partial(batches: Iterator[pd.DataFrame]) -> np.ndarray | None:
+            net = Network(classes=classes) if start is None else Network(start[0].copy(), squares=start[1].copy())  # noqa: B023
+            seen = 0
+            for batch in batches:
+                for h, counts in word_batches(batch["text"]):
+                    around, ids = net.windows(numbers(h, words), counts)
+                    for k in range(0, len(ids), BATCH):
+                        net.step(around[:, k : k + BATCH], ids[k : k + BATCH])
+                    seen += len(ids)
+            return np.concatenate([net.flat.astype(np.float64) * seen, net.squares.astype(np.float64) * seen, [seen]]) if seen else None
+
+        found = summed_arrays(texts.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k), partial, BLOCKS)
+        if found is not None:
+            start = np.split((found[:-1] / found[-1]).astype(np.float32), 2)
+    return Network(classes=classes).flat if start is None else start[0]
 
 
 SCORED = "row long, id long, n_tokens long, s double, others array<long>"
@@ -199,7 +227,15 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = in_small_batches(docs)
     words = vocabulary(docs, text_col) if words is None else words
     weights = train(docs, words, text_col) if weights is None else weights
-    counts, n_buckets, words = words[2] if len(words) > 2 else None, _buckets(words)[1], tuple(words[:2])
+    (first, n_buckets), others = _buckets(words), words[2] if len(words) > 2 else None
+    if others is None:
+        others = docs.sparkSession.createDataFrame([], "h long, n long")
+    words, (held, held_n, least) = tuple(words[:2]), _held(others)
+    in_bucket = np.zeros(n_buckets, dtype=np.int64)
+    for r in others.groupBy(_bucket(F.col("h"), n_buckets).alias("bucket")).agg(F.sum("n").alias("n")).collect():
+        in_bucket[r["bucket"]] = r["n"]
+    in_bucket = np.log(in_bucket + 1)
+    held_n = np.log(held_n)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         net, done = Network(weights.copy()), TaskContext.get().partitionId() << 40
@@ -209,25 +245,29 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 number, own = _numbered(h, words)
                 around, ids = net.windows(number, n)
                 got = [net.predicted(around[:, k : k + BATCH], ids[k : k + BATCH])[0] for k in range(0, len(ids), BATCH)]
-                total = np.concatenate([[0.0], np.cumsum(np.concatenate(got), dtype=np.float64)]) if got else np.zeros(1)
-                ends = np.cumsum(n)
+                each = np.concatenate([*got, np.zeros(0)]).astype(np.float64)
+                other = np.flatnonzero(~own)
+                each[other] -= in_bucket[number[other] - first]
+                if len(held):
+                    at = np.minimum(np.searchsorted(held, h[other]), len(held) - 1)
+                    hit = held[at] == h[other]
+                    each[other[hit]] += held_n[at[hit]]
+                    other = other[~hit]
+                total, ends = np.concatenate([[0.0], np.cumsum(each)]), np.cumsum(n)
                 counts.append(n)
                 sums.append(total[ends] - total[ends - n])
-                before = np.concatenate([[0], np.cumsum(~own)])
-                others += np.split(h[~own].view(np.int64), before[ends][:-1])
+                others += np.split(h[other].view(np.int64), np.searchsorted(other, ends)[:-1])
             n, s = np.concatenate(counts), np.concatenate(sums)
             s[n == 0] = 0.0
             yield pd.DataFrame({"row": done + np.arange(len(n)), "id": batch["id"], "n_tokens": n, "s": s, "others": others})
             done += len(n)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    scored = written(rows.mapInPandas(run, SCORED), "lm-scored")
-    if counts is None:
-        counts = docs.sparkSession.createDataFrame([], "h long, n long")
-    in_bucket = counts.groupBy(_bucket(F.col("h"), n_buckets).alias("bucket")).agg(F.sum("n").alias("all"))
-    pairs = scored.select("row", F.explode("others").alias("h")).join(counts, "h", "left").withColumn("bucket", _bucket(F.col("h"), n_buckets))
-    share = F.log(F.coalesce("n", F.lit(1))) - F.log(F.coalesce("all", F.lit(0)) + 1)
-    shares = pairs.join(F.broadcast(in_bucket), "bucket", "left").groupBy("row").agg(F.sum(share).alias("share"))
-    total = F.col("s") + F.coalesce("share", F.lit(0.0))
-    found = scored.drop("others").join(shares, "row", "left")
-    return found.select(F.col("id").alias(id_col), "n_tokens", total.alias("log_likelihood"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_likelihood"))
+    scored = rows.mapInPandas(run, SCORED)
+    total = F.col("s")
+    if least > 2:  # words between once, whose logarithm is 0, and the least count that is held
+        scored = written(scored, "lm-scored")
+        rest = others.where(F.col("n").between(2, least - 1)).select("h", F.log("n").alias("share"))
+        shares = scored.select("row", F.explode("others").alias("h")).join(rest, "h").groupBy("row").agg(F.sum("share").alias("share"))
+        scored, total = scored.join(shares, "row", "left"), total + F.coalesce("share", F.lit(0.0))
+    return scored.select(F.col("id").alias(id_col), "n_tokens", total.alias("log_likelihood"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_likelihood"))

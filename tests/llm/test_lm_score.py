@@ -131,3 +131,34 @@ def test_classes_grow_with_the_vocabulary():
     assert net.size >= 10000 and lm_score.Network(net.flat).size == net.size
     found = lm_score.numbers(np.arange(20000, dtype=np.uint64), words)
     assert found[:5000].tolist() == list(range(5000)) and found[5000:].min() >= 5000 and found.max() < net.size
+
+
+def test_words_that_are_joined_score_like_those_held_in_the_tasks(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(f"w{int(1.002 ** rng.randrange(4500))}" for _ in range(rng.randrange(80))) for _ in range(120)]
+    frame = spark.createDataFrame([*enumerate(texts), (500, None)], "doc_id long, text string").repartition(3)
+    words = lm_score.vocabulary(frame)
+    weights = lm_score.train(frame, words)
+    score = lambda: [r["log_likelihood"] for r in lm_score.score_documents(frame, weights=weights, words=words).orderBy("doc_id").collect()]
+    held = score()
+    monkeypatch.setattr(lm_score, "HELD", 20)
+    assert lm_score._held(words.others)[2] > 2
+    assert np.allclose(held, score(), rtol=1e-6, atol=1e-6)
+
+
+def test_words_of_the_corpus_score_above_strange_ones(spark):
+    rng = random.Random(9)
+    twice = [" ".join(f"t{k}x{j}" for j in range(40)) for k in range(30)]
+    once = [" ".join(f"o{rng.randrange(10**9)}" for _ in range(40)) for _ in range(60)]
+    common = [" ".join(f"c{rng.randrange(50)}" for _ in range(100)) for _ in range(200)]
+    rows = [*enumerate(twice), *enumerate(twice, 100), *enumerate(once, 200), *enumerate(common, 300)]
+    got = {r["doc_id"]: r["mean_log_likelihood"] for r in lm_score.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    mean = lambda low, high: float(np.mean([s for i, s in got.items() if low <= i < high]))
+    assert mean(0, 130) > mean(200, 260) + 0.4 and mean(300, 500) > mean(0, 130) + 2
+
+
+def test_rounds_go_on_from_the_averaged_weights(spark):
+    frame = spark.createDataFrame(rows(400), "doc_id long, text string").repartition(4)
+    words = lm_score.vocabulary(frame)
+    mean = lambda n: lm_score.score_documents(frame, weights=lm_score.train(frame, words, rounds=n), words=words).selectExpr("avg(mean_log_likelihood)").first()[0]
+    assert mean(4) > mean(1)
