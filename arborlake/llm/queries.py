@@ -29,7 +29,7 @@ WITH RECURSIVE w AS (
 ), r AS (
   SELECT doc_id AS a, doc_id AS c FROM documents UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.a
 )
-SELECT g.doc_id, len(g.g)::BIGINT AS n_shingles, (SELECT min(c) FROM r WHERE r.a = g.doc_id) AS component_id FROM g
+SELECT g.doc_id, len(g.g)::BIGINT AS n_shingles, (SELECT min(c) FROM r WHERE r.a = g.doc_id) AS component_id, (SELECT count(*) FROM u WHERE u.a = g.doc_id) AS n_links FROM g
 """
 
 ORACLES["op8_chat_format"] = r"""
