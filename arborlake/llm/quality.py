@@ -1,7 +1,9 @@
 """Quality rules: text statistics, and outliers by minimum-covariance-determinant estimates for each language and source.
 
-All of it is DataFrame functions. The estimates are found by concentration steps from a deterministic start (medians and
-median absolute deviations): keep the rows nearest to the present estimate, estimate again from these, repeat.
+All of it is DataFrame functions. An estimate is found from several deterministic starts (medians and median absolute
+deviations; means and covariances of all rows; the same of rows drawn in towards the medians). From each, concentration steps
+are taken until the determinant no longer falls: keep the share of rows nearest to the present estimate, estimate again from
+these. The start that ends at the smallest determinant wins, and rows far from it are left out of a last estimate.
 """
 
 from __future__ import annotations
@@ -13,16 +15,25 @@ from .common import words, written
 
 N = 5  # words in a window
 DIMS = ("x1", "x2", "x3", "x4")
+#: An estimate is of a group, from a start.
+KEYS = ("grp", "start")
 #: Smallest deviations told apart: log mean word length, and log(1 + percent) of symbols, repeated lines and repeated words.
 FLOORS = (0.04, 0.3, 0.6, 0.6)
-SHARE, STEPS, LEAST_ROWS = 0.75, 4, 60
+SHARE, LEAST_ROWS = 0.75, 60
+#: Concentration ends when no logarithm of a determinant moves by more than this, or after so many steps.
+STILL, MOST_STEPS = 1e-6, 40
 #: For 4 dimensions: consistency factors of the 75 % subset and of the reweighted rows, and the 97.5 % point of chi-square.
 RAW_FACTOR, FINAL_FACTOR, REWEIGHT_AT = 1.486, 1.0645, 11.14
 #: Rows beyond this squared distance are rejected (chi-square with 4 degrees of freedom leaves 1e-4 there).
 CUTOFF = 23.5
 #: Words at which a statistic has half its full weight: means over few words are noisy.
 STEADY_WORDS = 200.0
-BINS = 24  # of a factor e of squared distance
+#: Bins of a factor e of squared distance, and parts of the bin that holds the subset's edge: ranks are told to about 1e-5.
+BINS, PARTS = 32, 4096
+#: Deviations from the median to which values are drawn in for the third start.
+DRAWN_IN = 2.0
+#: Tables with a row for each group are broadcast up to this number (some 200 bytes each); beyond it they are joined by a shuffle.
+BROADCAST_GROUPS = 50_000
 
 
 def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -66,7 +77,7 @@ def _cholesky(est: DataFrame) -> DataFrame:
         for i in range(j, len(DIMS) + 1):
             rest = cov[i, j] - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(1, j)), F.lit(0.0))
             est = est.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(FLOORS[i - 1] ** 2 / 2))) if i == j else rest / F.col(f"l{j}{j}"))
-    return est.select("grp", "n", *[f"m{i}" for i in d], *[f"l{i}{j}" for i in d for j in d if j <= i])
+    return est.select(*KEYS, "n", *[f"m{i}" for i in d], *[f"l{i}{j}" for i in d for j in d if j <= i])
 
 
 def _distance() -> Column:
@@ -80,20 +91,48 @@ def _distance() -> Column:
 def _moments(near: DataFrame) -> DataFrame:
     d = range(1, len(DIMS) + 1)
     sums = [F.sum(f"x{i}").alias(f"s{i}") for i in d] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i in d for j in d if j <= i]
-    return _cholesky(near.groupBy("grp").agg(F.count("*").alias("n"), *sums))
+    return _cholesky(near.groupBy(*KEYS).agg(F.count("*").alias("n"), *sums))
 
 
-def _nearest(rows: DataFrame, share: float) -> DataFrame:
-    """The rows (grp, d2) of the smallest distances that make up at least share of their group, whole bins of distance.
+def _reached(counts: DataFrame, by: str, share: Column) -> DataFrame:
+    """For each estimate the bin at which the counts, added up in order, reach a number, and how many come before it."""
+    here = Window.partitionBy(*KEYS)
+    upto = counts.withColumns({"cum": F.sum("c").over(here.orderBy(by)), "all": F.sum("c").over(here)}).where(F.col("cum") >= share)
+    return upto.groupBy(*KEYS).agg(F.min(F.struct(by, (F.col("cum") - F.col("c")).alias("before"), "all")).alias("e")).select(*KEYS, "e.*")
 
-    Counting bins instead of ranking rows keeps any group, however large, out of a single task, and ties together.
+
+def _nearest(rows: DataFrame, few: bool) -> DataFrame:
+    """The rows (grp, start, d2) of the smallest distances that make up SHARE of their group; ties with the last one count.
+
+    Rows are counted by bins of distance, and those of the bin that holds the edge by parts of it: no group, however large, is
+    ranked in one task.
     """
-    binned = rows.withColumn("bin", F.floor(F.log(F.col("d2") + 1e-9) * BINS).cast("int"))
-    counts = binned.groupBy("grp", "bin").agg(F.count("*").alias("c"))  # some hundred bins for each group
-    by = Window.partitionBy("grp")
-    upto = counts.select("grp", "bin", F.sum("c").over(by.orderBy("bin")).alias("cum"), F.sum("c").over(by).alias("all"))
-    edge = upto.where(F.col("cum") >= share * F.col("all")).groupBy("grp").agg(F.min("bin").alias("edge"))
-    return binned.join(edge, "grp").where(F.col("bin") <= F.col("edge"))
+    scale = F.log(F.col("d2") + 1e-12) * BINS
+    binned = rows.withColumns({"bin": F.floor(scale).cast("int"), "part": F.floor((scale - F.floor(scale)) * PARTS).cast("int")})
+    edge = _reached(binned.groupBy(*KEYS, "bin").agg(F.count("*").alias("c")), "bin", F.ceil(SHARE * F.col("all")))
+    edge = edge.select(*KEYS, F.col("bin").alias("edge"), (F.ceil(SHARE * F.col("all")) - F.col("before")).alias("missing"))
+    edge = _hinted(written(edge, "quality-edge"), few)
+    inside = binned.join(edge, list(KEYS)).where("bin = edge").groupBy(*KEYS, "part", "missing").agg(F.count("*").alias("c"))
+    last = _reached(inside, "part", F.col("missing")).select(*KEYS, F.col("part").alias("last"))
+    edges = _hinted(written(edge.join(last, list(KEYS)).select(*KEYS, "edge", "last"), "quality-edges"), few)
+    return binned.join(edges, list(KEYS)).where("bin < edge or bin = edge and part <= last")
+
+
+def _hinted(df: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(df) if few else df
+
+
+def _starts(vectors: DataFrame, few: bool) -> DataFrame:
+    d = range(1, len(DIMS) + 1)
+    mid = _hinted(written(vectors.groupBy("grp").agg(*[F.percentile_approx(x, 0.5, 10000).alias(f"m{i}") for i, x in enumerate(DIMS, 1)]), "quality-mid"), few)
+    off = vectors.join(mid, "grp").groupBy("grp").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in d], *[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 10000).alias(f"a{i}") for i in d])
+    spread = [F.sqrt(F.pow(1.4826 * F.col(f"a{i}"), 2) + FLOORS[i - 1] ** 2) for i in d]
+    plain = written(off.select("grp", *[f"m{i}" for i in d], *[c.alias(f"a{i}") for i, c in zip(d, spread, strict=True)]), "quality-start")
+    first = plain.select("grp", F.lit(0).alias("start"), F.lit(0).cast("long").alias("n"), *[f"m{i}" for i in d], *[(F.col(f"a{i}") if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in d for j in d if j <= i])
+    far = DRAWN_IN
+    drawn = [F.greatest(F.least(F.col(f"x{i}"), F.col(f"m{i}") + far * F.col(f"a{i}")), F.col(f"m{i}") - far * F.col(f"a{i}")).alias(f"x{i}") for i in d]
+    third = vectors.join(_hinted(plain, few), "grp").select("grp", F.lit(2).alias("start"), *drawn)
+    return first.unionByName(_moments(vectors.withColumn("start", F.lit(1)))).unionByName(_moments(third))
 
 
 def covariance_estimates(vectors: DataFrame) -> DataFrame:
@@ -101,17 +140,26 @@ def covariance_estimates(vectors: DataFrame) -> DataFrame:
 
     FLOORS are added to the variances, so that a statistic that is constant in the subset doesn't make it singular.
     """
-    d = range(1, len(DIMS) + 1)
-    mid = vectors.groupBy("grp").agg(*[F.percentile_approx(x, 0.5, 10000).alias(f"m{i}") for i, x in enumerate(DIMS, 1)])
-    off = vectors.join(mid, "grp").groupBy("grp").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in d], *[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 10000).alias(f"a{i}") for i in d])
-    now = off.select("grp", F.lit(0).cast("long").alias("n"), *[f"m{i}" for i in d], *[(F.sqrt(F.pow(1.4826 * F.col(f"a{i}"), 2) + FLOORS[i - 1] ** 2) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in d for j in d if j <= i])
-    for step in range(STEPS):
-        now = written(now, f"quality-step{step}")
-        rows = vectors.join(now.drop("n"), "grp").select("grp", *DIMS, _distance().alias("d2"))
-        now = _moments(_nearest(rows, SHARE))
-    now = written(now, "quality-raw")
-    kept = vectors.join(now.drop("n"), "grp").where(_distance() <= REWEIGHT_AT * RAW_FACTOR).select("grp", *DIMS)
-    return _moments(kept)
+    few = vectors.select("grp").distinct().count() <= BROADCAST_GROUPS
+    det = 2 * sum((F.log(f"l{i}{i}") for i in range(1, len(DIMS) + 1)), F.lit(0.0))
+    now = written(_starts(vectors, few).withColumn("det", F.lit(float("inf"))), "quality-starts")
+    done: list[DataFrame] = []
+    for step in range(MOST_STEPS):
+        rows = vectors.join(_hinted(now.drop("n", "det"), few), "grp").select(*KEYS, *DIMS, _distance().alias("d2"))
+        was = now.select(*KEYS, F.col("det").alias("was"))
+        now = written(_moments(_nearest(rows, few)).withColumn("det", det).join(_hinted(was, few), list(KEYS)), f"quality-step{step}")
+        moving = F.col("was") - F.col("det") > STILL
+        done.append(now.where(~moving).drop("was"))
+        now = now.where(moving).drop("was")
+        if now.isEmpty():
+            break
+    found = now
+    for part in done:
+        found = found.unionByName(part)
+    columns = [c for c in found.columns if c not in ("start", "n")]
+    best = written(found.groupBy("grp").agg(F.min(F.struct("det", "start", *[c for c in columns if c not in ("grp", "det")])).alias("b")).select("grp", "b.*"), "quality-raw")
+    kept = vectors.join(_hinted(best, few), "grp").where(_distance() <= REWEIGHT_AT * RAW_FACTOR).select(*KEYS, *DIMS)
+    return _moments(kept.withColumn("start", F.lit(0))).drop("start")
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -119,10 +167,10 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     base_failed: under 10 words, or over 20 % of the words in five-word windows that occur twice or more. The others get a
     vector of four statistics, shrunk towards their language's median for short texts; it is rejected if its squared
-    Mahalanobis distance from the robust estimate of its language and source exceeds CUTOFF. Sources with fewer than LEAST_ROWS such
-    documents are judged with their language, languages with fewer with all documents. Null languages and sources are
-    groups of their own. Null and empty texts have no words and fail. Repeated rows each get their row; other columns are
-    not returned. An empty table gives no rows.
+    Mahalanobis distance from the robust estimate of its language and source exceeds CUTOFF. Where fewer than LEAST_ROWS rows
+    have that language and source, the estimate is that of all rows of the language, and where these are fewer too, that of
+    all rows. Null languages and sources are groups of their own. Null and empty texts have no words and fail. Repeated rows
+    each get their row; other columns are not returned. An empty table gives no rows.
     """
     stats = text_statistics(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.coalesce(F.col(lang_col), F.lit("")).alias("_lang"), F.coalesce(F.col(source_col), F.lit("")).alias("_source")), "_text")
     failed = (F.col("_words") < 10) | (100 * F.col("_repeat_words") > 20 * F.col("_words"))
@@ -135,16 +183,27 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "quality-statistics",
     )
     good = plain.where(~F.col("_failed"))
-    by_lang = good.groupBy("_lang").agg(F.count("*").alias("_n_lang"), *[F.percentile_approx(f"r{i}", 0.5, 10000).alias(f"c{i}") for i in range(1, 5)])
-    by_both = good.groupBy("_lang", "_source").agg(F.count("*").alias("_n_both"))
+    by_both = written(good.groupBy("_lang", "_source").agg(F.count("*").alias("_n_both")), "quality-groups")
+    few = by_both.count() <= BROADCAST_GROUPS
+    by_lang = by_both.groupBy("_lang").agg(F.sum("_n_both").alias("_n_lang"), (F.min("_n_both") < LEAST_ROWS).alias("_some"))
+    medians = good.groupBy("_lang").agg(*[F.percentile_approx(f"r{i}", 0.5, 10000).alias(f"c{i}") for i in range(1, 5)])
+    by_lang = written(by_lang.join(medians, "_lang"), "quality-languages")
+    all_needed = not by_lang.where(F.col("_n_lang") < LEAST_ROWS).isEmpty()
     steady = F.sqrt(F.col("_words") / (F.col("_words") + STEADY_WORDS))
-    grp = F.when(F.col("_n_both") >= LEAST_ROWS, F.struct("_lang", "_source")).when(F.col("_n_lang") >= LEAST_ROWS, F.struct("_lang", F.lit(None).cast("string").alias("_source"))).otherwise(F.struct(F.lit(None).cast("string").alias("_lang"), F.lit(None).cast("string").alias("_source")))
-    key = F.to_json(grp)
+    none = F.lit(None).cast("string")
+    name = lambda lang, source: F.to_json(F.struct(lang.alias("lang"), source.alias("source")))
+    of_both, of_lang, of_all = name(F.col("_lang"), F.col("_source")), name(F.col("_lang"), none), name(none, none)
+    enough, enough_lang = F.col("_n_both") >= LEAST_ROWS, F.col("_n_lang") >= LEAST_ROWS
     vectors = written(
-        good.join(by_lang, "_lang").join(by_both, ["_lang", "_source"]).select("_id", "_words", "_word_chars", "_symbols", "_dup_lines", "_repeat_words", key.alias("grp"), *[(steady * (F.col(f"r{i}") - F.col(f"c{i}"))).alias(f"x{i}") for i in range(1, 5)]),
+        good.join(_hinted(by_both, few), ["_lang", "_source"]).join(_hinted(by_lang, few), "_lang").select(
+            "_id", "_words", "_word_chars", "_symbols", "_dup_lines", "_repeat_words", F.when(enough, of_both).when(enough_lang, of_lang).otherwise(of_all).alias("grp"),
+            # Every estimate that some row is judged by is made from all rows of its language and source, of its language, or of all.
+            F.array_compact(F.array(F.when(enough, of_both), F.when(F.col("_some") & enough_lang, of_lang), of_all if all_needed else none)).alias("_in"),
+            *[(steady * (F.col(f"r{i}") - F.col(f"c{i}"))).alias(f"x{i}") for i in range(1, 5)],
+        ),
         "quality-vectors",
-    )
-    estimates = written(covariance_estimates(vectors.select("grp", *DIMS)), "quality-estimates")
+    )
+    estimates = _hinted(written(covariance_estimates(vectors.select(F.explode("_in").alias("grp"), *DIMS)), "quality-estimates"), few)
     named = [F.col("_id").alias(id_col), F.col("_words").alias("n_words"), F.col("_word_chars").alias("word_chars"), F.col("_symbols").alias("n_symbols"), F.col("_dup_lines").alias("n_dup_lines"), F.col("_repeat_words").alias("n_repeat_words")]
     distance = _distance() / FINAL_FACTOR
     judged = vectors.join(estimates.drop("n"), "grp", "left").select(*named, F.lit(False).alias("base_failed"), F.coalesce(distance <= CUTOFF, F.lit(True)).alias("kept"), distance.alias("distance2"))

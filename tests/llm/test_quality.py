@@ -73,6 +73,58 @@ def test_estimates_equal_numpy(spark):
     assert np.allclose(low @ low.T, np.cov(good.T), atol=1.0)
 
 
+def plain_mcd(x, starts):
+    """Means and covariance of the best subset by concentration from each start, then of the rows near it."""
+    floors, best = np.diag(np.square(quality.FLOORS)), (np.inf, None, None)
+    far = lambda m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+    estimate = lambda y: (y.mean(axis=0), np.cov(y.T, bias=True) + floors)
+    for m, c in starts:
+        last = np.inf
+        while True:
+            m, c = estimate(x[np.argsort(far(m, c), kind="stable")[: int(np.ceil(quality.SHARE * len(x)))]])
+            det = np.linalg.slogdet(c)[1]
+            if last - det <= quality.STILL:
+                break
+            last = det
+        best = min(best, (det, m, c), key=lambda b: b[0])
+    return best[0], *estimate(x[far(*best[1:]) <= quality.REWEIGHT_AT * quality.RAW_FACTOR])
+
+
+def test_estimates_are_those_of_a_plain_mcd(spark):
+    rng = np.random.default_rng(5)
+    groups = {}
+    for k, share in enumerate((0.0, 0.1, 0.24)):
+        good = rng.multivariate_normal([0, 1, 2, 3], [[4, 1, 0, 1], [1, 3, 1, 0], [0, 1, 2, 1], [1, 0, 1, 2]], 800)
+        bad = rng.multivariate_normal([8, -6, 7, 1], np.eye(4), int(800 * share / (1 - share)))
+        groups[f"g{k}"] = np.vstack([good, bad])
+    rows = [(g, *map(float, x)) for g, xs in groups.items() for x in xs]
+    got = quality.covariance_estimates(spark.createDataFrame(rows, "grp string, x1 double, x2 double, x3 double, x4 double").repartition(4))
+    for est in got.collect():
+        x = groups[est["grp"]]
+        floors = np.diag(np.square(quality.FLOORS))
+        mid = np.median(x, axis=0)
+        mad = np.sqrt((1.4826 * np.median(np.abs(x - mid), axis=0)) ** 2 + np.diag(floors))
+        drawn = np.clip(x, mid - quality.DRAWN_IN * mad, mid + quality.DRAWN_IN * mad)
+        starts = [(mid, np.diag(mad**2)), (x.mean(axis=0), np.cov(x.T, bias=True) + floors), (drawn.mean(axis=0), np.cov(drawn.T, bias=True) + floors)]
+        det, m, c = plain_mcd(x, starts)
+        low = np.array([[est[f"l{i}{j}"] if j <= i else 0.0 for j in range(1, 5)] for i in range(1, 5)])
+        assert np.allclose([est[f"m{i}"] for i in range(1, 5)], m, atol=1e-3)
+        assert np.allclose(low @ low.T, c, atol=1e-2)
+        chosen = [x[rng.choice(len(x), 5, replace=False)] for _ in range(100)]
+        assert det <= plain_mcd(x, [(y.mean(axis=0), np.cov(y.T, bias=True) + floors) for y in chosen])[0] + 1e-3
+
+
+def test_small_sources_are_judged_with_their_whole_language(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 8)))
+    rows = [(i, " ".join(word() for _ in range(200)), "en", "large") for i in range(400)]
+    rows += [(1000 + i, " ".join(word() + "#$%" for _ in range(200)), "en", "small") for i in range(40)]
+    rows += [(2000 + i, " ".join(word() + "#$%" for _ in range(200)), "xx", None) for i in range(20)]
+    rows += [(3000 + i, " ".join(word() for _ in range(200)), "yy", "s") for i in range(20)]
+    got = {r["doc_id"]: r["kept"] for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i] for i in got if i < 1000 or i >= 3000) and not any(got[i] for i in got if 1000 <= i < 2000)
+
+
 def test_repeated_rows_clashing_columns_and_empty(spark):
     frame = spark.createDataFrame([(1, "a b c d e f g h i j k", "en", "s", 1.0)] * 2, "doc_id long, text string, lang string, source string, kept double")
     assert [r["kept"] for r in quality.quality_rules(frame).collect()] == [True, True]
