@@ -1,14 +1,15 @@
 """Chat formatting by incremental black-box rendering.
 
-A template is any function from a list of turns to a string. It is rendered on successive prefixes of a conversation; where
-an output merely extends the one before, the added part is that turn's span. A template whose later output changes what it
-wrote before rewrites history: no span can be trusted, so the conversation is rendered whole and gets no loss mask.
+A template is any function from a list of turns to a string. It is rendered on every prefix of a conversation, whole; where an
+output merely extends the one before, the added part is that turn's span. A template whose later output changes what it wrote
+before rewrites history: no span can be trusted, so the conversation's text is given whole and gets no loss mask.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,10 +21,6 @@ Template = Callable[[list[Turn]], str]
 START, END, ESCAPE = "<|im_start|>", "<|im_end|>", "<|"
 #: Inside a text "<|" becomes "<\\|", and "<\\" becomes "<\\\\", so that no control string can occur there.
 SHIELDED = "<\\"
-#: Turns before the new one that are rendered with it, besides the first. Prefixes of up to so many turns are rendered whole;
-#: beyond, this bounds the work, and a template that changes what is further back than that isn't noticed.
-WINDOW = 64
-
 TURNS = "conv_id long, n int, role string, span string, start long, in_loss boolean, rewrites boolean"
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewrites boolean"
 
@@ -41,9 +38,14 @@ def unescape(text: str) -> str:
     return "".join(out) + text[at:]
 
 
+@lru_cache(4096)
+def _marked(role: str, text: str) -> str:
+    return f"{START}{escape(role)}\n{escape(text)}{END}\n"
+
+
 def chat_markup(turns: list[Turn]) -> str:
     """The production template: every turn between a start and an end mark."""
-    return "".join(f"{START}{escape(role)}\n{escape(text)}{END}\n" for role, text in turns)
+    return "".join([_marked(role, text) for role, text in turns])
 
 
 def read_turn(span: str) -> Turn | None:
@@ -54,41 +56,6 @@ def read_turn(span: str) -> Turn | None:
     return unescape(role), unescape(text)
 
 
-class Rendered:
-    """One conversation while its turns come in: the next turn's span, and whether history was rewritten.
-
-    Only the first turn and the last WINDOW turns are kept: the prefix for a new turn is rendered on these.
-    """
-
-    def __init__(self, template: Template = chat_markup) -> None:
-        self.template = template
-        self.head: list[Turn] = []
-        self.tail: list[Turn] = []
-        self.n = self.end = 0
-        self.rewrites = False
-        self.last, self.kept = template([]), 0
-
-    def add(self, role: str, text: str) -> str | None:
-        """Renders one more turn and returns its span, or None once history is rewritten."""
-        known = self.head + self.tail
-        before = self.last if self.kept == len(known) else self.template(known)
-        after = self.template([*known, (role, text)])
-        self.n += 1
-        self.rewrites |= not after.startswith(before)
-        if not self.head:
-            self.head = [(role, text)]
-        else:
-            self.tail.append((role, text))
-        self.last, self.kept = after, len(self.head) + len(self.tail)
-        if len(self.tail) > WINDOW:
-            self.tail.pop(0)
-            self.kept = -1
-        if self.rewrites:
-            return None
-        self.end += len(after) - len(before)
-        return after[len(before) :]
-
-
 def spans(conversation: list[Turn], template: Template = chat_markup) -> list[tuple[int, int]] | None:
     """Start and end of each turn in template(conversation); None if the template rewrites history."""
     out, before = [], template([])
@@ -103,30 +70,43 @@ def spans(conversation: list[Turn], template: Template = chat_markup) -> list[tu
 
 def render_turns(conversations: DataFrame, template: Template = chat_markup) -> DataFrame:
     """One row for each turn: conv_id, n (from 0), role, its span of the formatted text and where that starts, and whether it
-    is under the loss mask (an assistant's turn). From the turn on where the template changes what it wrote before, rewrites is
-    true, span and start are null and nothing is under the mask.
+    is under the loss mask (an assistant's turn). Where the template writes something before the first turn, that belongs to
+    the first span. If it changes what it wrote before, at whatever turn, rewrites is true in all the conversation's rows,
+    nothing is under the mask, and the formatted text stands whole in the first row (n 0); the others' span and start are null.
 
     conversations: conv_id, turn, role, text; other columns are ignored. Turns are taken by turn (null first), equal ones by
     role and text; repeated rows are turns of their own. A null role or text is empty; rows of a null conv_id form one
     conversation. An empty table gives no rows. The formatted text of a conversation is its spans, one after the other.
 
-    Turns are dealt by conversation and sorted; a task streams over them and keeps one conversation's first turn and last
-    WINDOW turns, so a conversation may be as long as it likes.
+    Turns are dealt by conversation and sorted; a task holds one conversation at a time, which a template needs whole. All
+    prefixes are rendered, so the work grows with the square of a conversation's length.
     """
     turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
+    def rendered(conv_id: object, talk: list[Turn]) -> Iterator[tuple]:
+        found, whole = spans(talk, template), template(talk)
+        for n, (role, _) in enumerate(talk):
+            if found is None:
+                yield conv_id, n, role, None if n else whole, None if n else 0, False, True
+            else:
+                start, end = found[n] if n else (0, found[0][1])
+                yield conv_id, n, role, whole[start:end], start, role == "assistant", False
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = object(), None
+        current, talk = object(), []
         for batch in batches:
             out = []
             for conv_id, role, text in zip(_ids(batch), batch["role"], batch["text"], strict=True):
-                if state is None or conv_id != current:
-                    current, state = conv_id, Rendered(template)
-                start = state.end
-                span = state.add(role, text)
-                out.append((conv_id, state.n - 1, role, span, None if span is None else start, span is not None and role == "assistant", state.rewrites))
-            yield _frame(out, TURNS)
+                if talk and conv_id != current:
+                    out += rendered(current, talk)
+                    talk = []
+                current = conv_id
+                talk.append((role, text))
+            if out:
+                yield _frame(out, TURNS)
+        if talk:
+            yield _frame(list(rendered(current, talk)), TURNS)
 
     return ordered.mapInPandas(run, TURNS)
 
@@ -135,7 +115,8 @@ def digests(turns: DataFrame, read: Callable[[str], Turn | None] = read_turn) ->
     """One row for each conversation of render_turns(), with what can be read back from its spans.
 
     turns must come as render_turns() deals them: a conversation's turns in one task, in order. loss_* cover every text under
-    the mask once. Where the template rewrites history, turns_sha256 and formatted_chars are null and nothing is under the mask.
+    the mask once. Where the template rewrites history, turns_sha256 is null, nothing is under the mask, and formatted_chars is
+    that of the whole text.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,7 +128,7 @@ def digests(turns: DataFrame, read: Callable[[str], Turn | None] = read_turn) ->
                     if held is not None:
                         done.append(held.row(current))
                     current, held = conv_id, _Digest()
-                held.add(None if rewrites else read(span), in_loss, 0 if rewrites else len(span), rewrites)
+                held.add(None if rewrites else read(span), in_loss, len(span or ""), rewrites)
             if done:
                 yield _frame(done, DIGESTS)
         if held is not None:
@@ -174,7 +155,7 @@ class _Digest:
 
     def row(self, conv_id: object) -> tuple:
         if self.rewrites:
-            return conv_id, self.n, None, 0, hashlib.sha256().hexdigest(), None, True
+            return conv_id, self.n, None, 0, hashlib.sha256().hexdigest(), self.chars, True
         return conv_id, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, False
 
 

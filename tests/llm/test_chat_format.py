@@ -48,10 +48,32 @@ def test_templates_that_rewrite_history_are_noticed(spark, template, rewrites):
     assert (c.spans(turns, template) is None) == rewrites
     frame = spark.createDataFrame([(1, k, r, t) for k, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
     row = c.format_conversations(frame, template, lambda span: None).collect()[0]
-    assert row["rewrites"] == rewrites and row["loss_chars"] == 0 and (row["formatted_chars"] is None) == rewrites
-    if rewrites:
-        marked = c.render_turns(frame, template).collect()
-        assert not any(r["in_loss"] for r in marked if r["rewrites"])
+    assert row["rewrites"] == rewrites and row["loss_chars"] == 0 and row["formatted_chars"] == len(template(turns))
+    marked = sorted(c.render_turns(frame, template).collect(), key=lambda r: r["n"])
+    assert "".join(r["span"] or "" for r in marked) == template(turns)
+    assert any(r["in_loss"] for r in marked) != rewrites
+
+
+def numbered():
+    """A template that numbers its turns, and takes none but those of user and assistant in turn."""
+
+    def template(turns):
+        assert all(r == ("user", "assistant")[k % 2] for k, (r, _) in enumerate(turns))
+        return "<s>" + "".join(f"[{k}] {r}: {t}\n" for k, (r, t) in enumerate(turns))
+
+    return template
+
+
+@pytest.mark.parametrize(("template", "rewrites"), [(numbered(), False), (lambda t: "".join(x for _, x in t[-100:]), True), (lambda t: "".join(f"{x}|" for _, x in t) if len(t) < 150 else "".join(f"{x};" for _, x in t), True)])
+def test_long_conversations_are_rendered_whole_at_every_turn(spark, template, rewrites):
+    turns = [(("user", "assistant")[k % 2], f"t{k}") for k in range(180)]
+    frame = spark.createDataFrame([(k % 2, k // 2, r, t) for k, (r, t) in enumerate([x for t in turns for x in (t, t)])], "conv_id long, turn long, role string, text string")
+    for conv in (0, 1):
+        got = sorted(c.render_turns(frame.where(f"conv_id = {conv}"), template).collect(), key=lambda r: r["n"])
+        assert "".join(r["span"] or "" for r in got) == template(turns) and len(got) == 180
+        assert all(r["rewrites"] == rewrites and r["in_loss"] == (not rewrites and r["role"] == "assistant") for r in got)
+        if not rewrites:
+            assert got[75]["span"] == "[75] assistant: t75\n" and got[0]["span"] == "<s>[0] user: t0\n"
 
 
 def test_ties_repeats_and_empty(spark):
