@@ -20,22 +20,34 @@ DIM, GRAM, SYMBOLS = 512, 3, 48
 GAP = 26
 #: Characters that are turned into n-grams at a time: bounds memory for long texts.
 CHUNK = 1 << 20
-#: Texts of so many characters or more count as of no known language below this cosine; shorter ones tell too little.
-LEAST_COSINE, LEAST_CHARS = 0.15, 200
+#: Texts count as of no known language below this cosine. Less is asked of short ones, whose cosines are low by nature: the
+#: share (n - FEW) / (n + SHORT) of it at n characters, and nothing up to FEW.
+LEAST_COSINE, SHORT, FEW = 0.15, 200, 20
 UNKNOWN = "und"
 GUESS = "_language_guess"
 
 
+def _symbol(code: int) -> int:
+    """Symbol of a character: case is folded, all but letters are gaps."""
+    if not chr(code).isalpha():
+        return GAP
+    low = ord(chr(code).lower()[0])
+    return low - 97 if 97 <= low <= 122 else GAP + 1 + (low * 2654435761 % 2**32 >> 11) % (SYMBOLS - GAP - 1)
+
+
 @lru_cache(1)
-def _symbols() -> np.ndarray:
-    """Symbol of each character of the basic plane; others are folded onto it. Case is folded, all but letters are gaps."""
-    table = np.full(65536, GAP, dtype=np.int64)
-    for c in range(65536):
-        ch = chr(c)
-        if ch.isalpha():
-            low = ord(ch.lower()[0])
-            table[c] = low - 97 if 97 <= low <= 122 else GAP + 1 + (low * 2654435761 % 2**32 >> 11) % (SYMBOLS - GAP - 1)
-    return table
+def _basic_plane() -> np.ndarray:
+    return np.array([_symbol(c) for c in range(1 << 16)], dtype=np.int64)
+
+
+def symbols(codes: np.ndarray) -> np.ndarray:
+    """Symbols of characters, by code point, of all planes."""
+    beyond = codes > 0xFFFF
+    out = _basic_plane()[np.where(beyond, 0, codes)]
+    if beyond.any():
+        each, at = np.unique(codes[beyond], return_inverse=True)
+        out[beyond] = np.array([_symbol(int(c)) for c in each], dtype=np.int64)[at]
+    return out
 
 
 @lru_cache(1)
@@ -66,7 +78,7 @@ def profile(text: str | None) -> np.ndarray | None:
     total, lettered, carry = np.zeros(DIM, dtype=np.float64), False, np.array([GAP], dtype=np.int64)
     for at in range(0, len(text), CHUNK):
         codes = np.frombuffer(text[at : at + CHUNK].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        s = np.concatenate([carry, _symbols()[codes & 0xFFFF], *([[GAP]] if at + CHUNK >= len(text) else [])])
+        s = np.concatenate([carry, symbols(codes), *([[GAP]] if at + CHUNK >= len(text) else [])])
         s = s[np.concatenate([[True], (s[1:] != GAP) | (s[:-1] != GAP)])]
         lettered |= bool((s != GAP).any())
         if len(s) >= GRAM:
@@ -151,9 +163,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The documents, with all their columns, whose text is in one of the learned languages.
 
-    Rejected are texts without a letter (or null), and those of LEAST_CHARS or more whose best cosine is below LEAST_COSINE.
+    Rejected are texts without a letter (or null), and those whose best cosine is below what is asked at their length.
     """
     prototypes = learn(docs.where(fold(id_col) != 1), text_col, lang_col)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
-    known = (F.col("lang_pred") != UNKNOWN) & ((F.col("score") >= LEAST_COSINE) | (F.length("text") < LEAST_CHARS))
+    n = F.length("text")
+    known = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_COSINE * F.greatest(n - FEW, F.lit(0)) / (n + SHORT))
     return predict(rows, prototypes, "text").where(known).select("row.*")

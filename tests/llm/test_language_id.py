@@ -65,3 +65,20 @@ def test_empty_and_clashing_columns(spark):
     assert len(l.identify(frame).collect()) == 2
     assert l.identify(frame.limit(0)).collect() == []
     assert l.known_language(frame).columns == frame.columns
+
+
+def test_letters_of_all_planes_and_nothing_else_count(spark):
+    rows = [(1, "aeiou lmn aeiou", "aa"), (3, "krt szp vgk", "bb"), (10, "\U0001f916 \U0001f916", None), (11, "\U00020000\U00020001", None), (12, "\U0001d400 \U0001f600", None), (13, "\u4e2d\u6587", None), (14, "\U0001f600a", None)]
+    got = {r["doc_id"]: r["lang_pred"] for r in l.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[10] == "und" and all(got[i] != "und" for i in (11, 12, 13, 14))
+    every = np.array([ord(c) for c in "aZ\u00e9\u4e2d\U00010428 9\U0001f916\U00020000"], dtype=np.uint32)
+    assert [x == l.GAP for x in l.symbols(every)] == [not chr(c).isalpha() for c in every]
+    assert l.symbols(np.array([0x10400, 0x10428])).tolist()[0] == l.symbols(np.array([0x10428]))[0]
+
+
+def test_what_is_asked_grows_with_length(spark):
+    rng = random.Random(2)
+    text = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(n))
+    rows = [(i, text("aeioulmn", 60), "aa") for i in range(30)] + [(100, "ae", "aa"), (101, "12 34", "aa"), (102, None, "aa"), (103, text("qxyw", 300), None), (104, text("aeioulmn", 1), None)]
+    kept = {r["doc_id"] for r in l.known_language(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert kept == {*range(30), 100, 104}
