@@ -18,6 +18,8 @@ RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example
 FEATURES = ["url_length", "host_length", "path_length", "host_labels", "depth", "digit_ratio", "dash_count", "entropy", "parameters", "fragment", "extension", "secure", "suffix_rate", "suffix_weight", "segment_rate", "segment_weight"]
 #: Labelled rows that the trees see at most (picked by a hash), trees, depth, and the rows that a suffix's prior counts as.
 TRAIN_ROWS, TREES, DEPTH, PRIOR = 200_000, 16, 4, 20.0
+#: Parts of the labelled rows: none of them is given suffix statistics that its own labels are in.
+FOLDS = 5
 
 
 def ascii_lower(c: Column) -> Column:
@@ -63,17 +65,24 @@ def lexical(df: DataFrame) -> DataFrame:
 
 
 def _with_rates(df: DataFrame, key: str, name: str) -> DataFrame:
-    """Share of blocked among the labelled rows of a key, drawn to the overall share, and how many rows that rests on.
+    """Share of blocked among the labelled rows of a key, drawn to an even share, and how many rows that rests on.
 
-    The small statistics table is joined as Spark sees fit by its size; a hot key is summed before it is shuffled.
+    A labelled row is given the rates of the other folds, so its own label isn't in them, and in fold 0 it is given none, as if
+    its key had never been seen, so that the trees learn to judge such URLs too. The small tables are joined as Spark sees fit by
+    their size; a hot key is summed before it is shuffled.
     """
-    labelled = df.where(F.col("_label").isNotNull())
-    rates = labelled.groupBy(F.col(key)).agg(F.sum("_label").alias("_s"), F.count("*").alias("_c"))
+    labelled = F.col("_label").isNotNull()
+    by_fold = df.where(labelled).groupBy(F.col(key), F.col("_fold").alias("_of")).agg(F.sum("_label").alias("_fs"), F.count("*").alias("_fc"))
+    rates = by_fold.groupBy(key).agg(F.sum("_fs").alias("_s"), F.sum("_fc").alias("_c"))
+    seen = F.when(labelled & (F.col("_fold") == 0), 0.0).otherwise(1.0)
+    own = lambda c: F.when(labelled, F.coalesce(c, F.lit(0))).otherwise(F.lit(0))
+    blocked, count = (seen * (F.coalesce(F.col(all_), F.lit(0)) - own(F.col(fold))) for all_, fold in (("_s", "_fs"), ("_c", "_fc")))
     return (
         df.join(rates, key, "left")
-        .withColumn(f"{name}_rate", (F.coalesce("_s", F.lit(0.0)) + PRIOR * 0.5) / (F.coalesce("_c", F.lit(0)) + PRIOR))
-        .withColumn(f"{name}_weight", F.log1p(F.coalesce("_c", F.lit(0)).cast("double")))
-        .drop("_s", "_c")
+        .join(by_fold.withColumnRenamed(key, "_key"), (F.col(key) == F.col("_key")) & (F.col("_fold") == F.col("_of")), "left")
+        .withColumn(f"{name}_rate", (blocked + PRIOR * 0.5) / (count + PRIOR))
+        .withColumn(f"{name}_weight", F.log1p(count.cast("double")))
+        .drop("_s", "_c", "_key", "_of", "_fs", "_fc")
     )
 
 
@@ -89,6 +98,7 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     base = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url")).withColumn("host", host).withColumn("path", path)
     name, verdict = matched_rule(F.col("host"), F.col("path"), rules)
     base = base.withColumn("rule", name).withColumn("_verdict", verdict).withColumn("_label", F.when(F.col("_verdict") == "block", 1.0).when(F.col("_verdict") == "allow", 0.0))
+    base = base.withColumn("_fold", F.pmod(F.xxhash64("_id", "_url"), F.lit(FOLDS)))
     rows = written(_with_rates(_with_rates(lexical(base), "_suffix", "suffix"), "_segment", "segment").select("_id", "_url", "host", "path", "rule", "_verdict", "_label", *FEATURES), "url-features")
     labelled = rows.where(F.col("_label").isNotNull())
     seen = {r["_label"]: r["n"] for r in labelled.groupBy("_label").agg(F.count("*").alias("n")).collect()}

@@ -56,3 +56,26 @@ def test_one_kind_of_label_and_empty(spark):
 def test_entropy(spark):
     df = spark.createDataFrame([("aabb", "", ""), ("", "", "")], "_url string, host string, path string")
     assert [r["e"] for r in u.lexical(df).select(F.round("entropy", 6).alias("e")).collect()] == [1.0, 0.0]
+
+
+def test_no_labelled_row_is_given_its_own_label(spark):
+    rows = [(k, f"k{k}", float(k % 2), k % u.FOLDS) for k in range(40)] + [(100 + k, "hot", 1.0, k % u.FOLDS) for k in range(50)] + [(200, "hot", None, 0), (201, "k3", None, 1), (202, "new", None, 2)]
+    got = {r["_id"]: r for r in u._with_rates(spark.createDataFrame(rows, "_id long, key string, _label double, _fold long"), "key", "x").collect()}
+    assert len(got) == len(rows)
+    assert all(got[k]["x_rate"] == 0.5 and got[k]["x_weight"] == 0 for k in [*range(40), 202])
+    for k in range(50):  # forty rows of the other folds, or none in fold 0
+        assert abs(got[100 + k]["x_rate"] - (50 / 60 if k % u.FOLDS else 0.5)) < 1e-9
+    assert abs(got[200]["x_rate"] - 60 / 70) < 1e-9 and abs(got[201]["x_rate"] - 11 / 21) < 1e-9
+
+
+def test_trees_judge_suffixes_that_no_rule_knows(spark):
+    import random
+
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    clean, bad = (lambda s: f"https://{word(6)}.{s}/{word(5)}"), (lambda s: f"http://{word(6)}.{s}/es/{'/'.join(str(rng.randrange(10**6)) for _ in range(5))}?a=1&b=2&c={rng.randrange(10**9)}")
+    rows = [clean("com") for _ in range(300)] + [bad("net") for _ in range(300)]
+    rows += [clean("org") for _ in range(60)] + [bad("info") for _ in range(60)]
+    got = {r["page_id"]: r["verdict"] for r in u.filter_urls(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")).collect()}
+    right = sum(got[k] == "allow" for k in range(600, 660)) + sum(got[k] == "block" for k in range(660, 720))
+    assert right >= 108
