@@ -25,6 +25,7 @@ class _Powers:
         return cls.up[:n], cls.down[:n]
 
 
+_SPACES = (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -32,14 +33,14 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 def word_hashes(text: bytes) -> np.ndarray:
     """Hashes of the words (runs without ASCII white space) of a text, in order.
 
-    Texts are read in chunks that end at white space; a word of more than CHUNK bytes counts as several.
+    Texts are read in chunks of about CHUNK bytes that end at white space, or of a word that is longer.
     """
     out, at = [], 0
     while at < len(text):
         end = at + CHUNK
         if end < len(text):
-            cut = max(text.rfind(b" ", at, end), text.rfind(b"\n", at, end))
-            end = cut if cut > at else end
+            cut = max(text.rfind(c, at, end) for c in _SPACES)
+            end = cut if cut > at else min((k for c in _SPACES if (k := text.find(c, end)) >= 0), default=len(text))
         b = np.frombuffer(text[at:end], dtype=np.uint8)
         at = end
         space = _SPACE[b]

@@ -17,14 +17,12 @@ def slow_words(text):
 
 
 def test_word_hashes_tell_words_apart_and_cross_chunks(monkeypatch):
-    texts = ["", " a", "A b\tc\x0bd\x0c e\r\n", "ñ Ñ é", "x" * 50 + " y " + "x" * 50, "a a a"]
+    texts = ["", " a", "A b\tc\x0bd\x0c e\r\n", "ñ Ñ é", "a\tb\x0cc\rd\x0be " * 9, "x" * 50 + " y " + "x" * 50, "a a a"]
     known = {}
     for size in (1 << 20, 16):
         monkeypatch.setattr(hashing, "CHUNK", size)
         for t in texts:
             w = [x for x in slow_words(t)]
-            if size == 16 and any(len(x) > 16 for x in w):
-                continue
             h = hashing.word_hashes(t.encode().lower()).tolist()
             assert len(h) == len(w)
             for a, b in zip(w, h, strict=True):
