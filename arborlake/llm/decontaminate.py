@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import in_small_batches, summed_arrays, written
 from .hashing import word_batches, word_hashes
 
-#: Words of a passage and from one to the next; benchmark items are cut alike, but more closely.
-WIDTH, STRIDE, ITEM_STRIDE = 32, 16, 8
+#: Words of a passage and from one to the next; benchmark items are cut alike.
+WIDTH, STRIDE, ITEM_STRIDE = 32, 16, 16
 #: Items in a block, and distinct words that a block's items are told apart by (more share them by a hash).
 ITEMS, FEATURES = 2000, 8192
 #: Latent dimensions, and more for the random start.
@@ -31,7 +31,7 @@ RANK, MORE = 192, 8
 #: Words in more than this share of the passages carry no weight, but for the LEAST_WORDS rarest of each item.
 COMMON, LEAST_WORDS = 0.02, 5
 #: Candidates: least cosine in the latent space, and least share of the weight of a part of an item there.
-COSINE, SHARE = 0.4, 0.35
+COSINE, SHARE = 0.38, 0.33
 #: Leaks: share of the item's words in common order; less is enough where the answer's words stand there too.
 WHOLE, PARAPHRASE, ANSWER = 0.75, 0.5, 0.8
 #: Documents with candidates are broadcast up to this number (some ten bytes each, and eight for each candidate); beyond it they
@@ -141,28 +141,24 @@ def _places(n: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return text, at - (ends - n)[text]
 
 
-UNITS = "key long, passages long, unit array<int>, word array<short>, times array<short>"
+UNITS = "key long, passages long, unit array<int>, word array<short>"
 
 
 def _units(docs: DataFrame, block: Block) -> DataFrame:
-    """For each document: its number of passages (not overlapping ones), and the block's words in each unit of STRIDE words, with
-    how often each occurs there. A passage is two units. This is the only pass over the texts but for the candidates'."""
-    wide = 1 << 24
+    """For each document: its number of passages (not overlapping ones), and each of the block's words that stands in it, with its
+    unit of STRIDE words. A passage is two units. This is the only pass over the texts but for the candidates'."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            units, words, times, passages = [], [], [], []
+            units, words, passages = [], [], []
             for h, n in word_batches(batch["text"], _prepared):
                 at, f = block.find(h)
                 text, place = _places(n, at)
-                entry, count = np.unique((text * wide + place // STRIDE) * FEATURES + f, return_counts=True)
-                unit, word = entry // FEATURES, (entry % FEATURES).astype(np.int16)
-                ends = np.searchsorted(unit, np.arange(1, len(n)) * wide)
-                units += np.split((unit % wide).astype(np.int32), ends)
-                words += np.split(word, ends)
-                times += np.split(np.minimum(count, np.iinfo(np.int16).max).astype(np.int16), ends)
+                ends = np.searchsorted(text, np.arange(1, len(n)))
+                units += np.split((place // STRIDE).astype(np.int32), ends)
+                words += np.split(f.astype(np.int16), ends)
                 passages.append(-(-n // WIDTH))
-            yield pd.DataFrame({"key": batch["key"], "passages": np.concatenate(passages), "unit": units, "word": words, "times": times})
+            yield pd.DataFrame({"key": batch["key"], "passages": np.concatenate(passages), "unit": units, "word": words})
 
     return written(docs.select("key", "text").mapInPandas(run, UNITS), "leak-units")
 
@@ -173,10 +169,9 @@ class _Entries(NamedTuple):
     part: pd.DataFrame
     line: np.ndarray
     word: np.ndarray
-    times: np.ndarray
 
     def only(self, kept: np.ndarray) -> _Entries:
-        return _Entries(self.part, self.line[kept], self.word[kept], self.times[kept])
+        return _Entries(self.part, self.line[kept], self.word[kept])
 
 
 #: Numbers of line between the first units of two documents.
@@ -192,9 +187,8 @@ def _entries(batches: Iterator[pd.DataFrame], weight: np.ndarray | None = None)
             part = batch.iloc[k : k + 256]
             n = np.array([len(w) for w in part["word"]], dtype=np.int64)
             line = np.repeat(np.arange(len(part), dtype=np.int64) * APART, n) + np.concatenate(part["unit"].to_list())
-            word, times = np.concatenate(part["word"].to_list()).astype(np.int64), np.concatenate(part["times"].to_list()).astype(np.int64)
-            found = _Entries(part, line, word, times)
-            found = found if weight is None else found.only(weight[word] > 0)
+            found = _Entries(part, line, np.concatenate(part["word"].to_list()).astype(np.int64))
+            found = found if weight is None else found.only(weight[found.word] > 0)
             if len(found.word):
                 yield found
 
@@ -208,7 +202,7 @@ def _counted(units: DataFrame, block: Block) -> tuple[np.ndarray, float]:
             out += np.bincount(np.unique(e.line // 2 * FEATURES + e.word) % FEATURES, minlength=block.size)
         return out
 
-    found = summed_arrays(units.select("unit", "word", "times"), partial)
+    found = summed_arrays(units.select("unit", "word"), partial)
     n = units.agg(F.sum("passages")).first()[0] or 0
     return np.zeros(block.size) if found is None else found, float(n)
 
@@ -222,7 +216,7 @@ def latent_basis(units: DataFrame, block: Block, weight: np.ndarray, rank: int =
     """
     size, wide = block.size, min(block.size, rank + MORE)
     start = np.random.default_rng(seed).normal(size=(size, wide)).astype(np.float32)
-    entries = units.select("unit", "word", "times")
+    entries = units.select("unit", "word")
 
     def spread(batches: Iterator[pd.DataFrame]) -> np.ndarray:
         return _gram_times(batches, weight, start).ravel()
@@ -244,7 +238,7 @@ def _gram_times(batches: Iterator[pd.DataFrame], weight: np.ndarray, x: np.ndarr
     size = len(weight)
     own, pairs = np.zeros(size), np.zeros(size * size, dtype=np.float32)
     for e in _entries(batches, weight):
-        value = (weight[e.word] * e.times).astype(np.float32)
+        value = weight[e.word].astype(np.float32)
         both = np.where(e.line % APART > 0, 2, 1).astype(np.float32)  # a unit is in two passages, but for the first one
         own += np.bincount(e.word, both * value * value, size)
         for lag in range(1, len(value)):
@@ -257,6 +251,17 @@ def _gram_times(batches: Iterator[pd.DataFrame], weight: np.ndarray, x: np.ndarr
     return pairs @ x + pairs.T @ x + own[:, None].astype(np.float32) * x
 
 
+def _summed(vectors: np.ndarray, row: np.ndarray, x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of x times the rows of vectors, for runs that begin at first: the k-th of every run at once."""
+    n = np.diff(np.append(first, len(row)))
+    out = vectors[row[first]] * x[first, None]
+    for k in range(1, n.max()):
+        more = np.flatnonzero(n > k)
+        at = first[more] + k
+        out[more] += vectors[row[at]] * x[at, None]
+    return out
+
+
 def _candidates(units: DataFrame, block: Block, weight: np.ndarray, basis: np.ndarray, queries: tuple) -> DataFrame:
     """(key, item, passage) of the passages near a part of an item, by cosine in the latent space.
 
@@ -276,7 +281,7 @@ def _candidates(units: DataFrame, block: Block, weight: np.ndarray, basis: np.nd
                 continue
             first = np.flatnonzero(np.diff(e.line, prepend=-1))
             line = e.line[first]
-            z = np.add.reduceat(basis[e.word] * (weight[e.word] * e.times).astype(np.float32)[:, None], first)
+            z = _summed(basis, e.word, weight[e.word].astype(np.float32), first)
             # A passage is a unit and the next one; one that starts a unit earlier, where no weighted word stands, is that unit alone.
             alone = np.flatnonzero((np.diff(line, prepend=-2) > 1) & (line % APART > 0))
             follows = np.flatnonzero(np.diff(line) == 1)
@@ -299,7 +304,7 @@ def _candidates(units: DataFrame, block: Block, weight: np.ndarray, basis: np.nd
             keys = e.part["key"].to_numpy()
             yield pd.DataFrame({"key": keys[at // APART], "item": item.astype(np.int32), "passage": (at % APART).astype(np.int32)})
 
-    return units.select("key", "unit", "word", "times").mapInPandas(run, "key long, item int, passage int")
+    return units.select("key", "unit", "word").mapInPandas(run, "key long, item int, passage int")
 
 
 class _Possible:
@@ -334,9 +339,8 @@ class _Possible:
         for k in range(0, len(item), PAIRS):
             i = item[k : k + PAIRS]
             at, owner = self._around(e, line[k : k + PAIRS], i)
-            word, times, of = e.word[at], e.times[at], i[owner]
-            common = np.bincount(owner, np.minimum(times, self.words[of, word]), len(i))
-            answer = np.bincount(owner, np.minimum(times, self.answers[of, word]), len(i))
+            common = np.bincount(owner[self.words[i[owner], e.word[at]] > 0], minlength=len(i))
+            answer = np.bincount(owner[self.answers[i[owner], e.word[at]] > 0], minlength=len(i))
             out[k : k + PAIRS] = (common >= self.whole[i] - SLACK) | ((common >= self.half[i] - SLACK) & (answer >= self.answer[i] - SLACK))
         return out
 
@@ -345,8 +349,8 @@ class _Possible:
         for k in range(0, len(item), PAIRS):
             i = item[k : k + PAIRS]
             at, owner = self._around(e, line[k : k + PAIRS], i)
-            both, of = np.unique(owner * size + e.word[at], return_inverse=True)
-            times, (owner, word) = np.bincount(of, e.times[at], len(both)), np.divmod(both, size)
+            both, times = np.unique(owner * size + e.word[at], return_counts=True)
+            owner, word = np.divmod(both, size)
             common = np.bincount(owner, np.minimum(times, self.words[i[owner], word]), len(i))
             answer = np.bincount(owner, np.minimum(times, self.answers[i[owner], word]), len(i))
             out[k : k + PAIRS] = (common >= WHOLE * self.n[i] - SLACK) | ((common >= PARAPHRASE * self.n[i] - SLACK) & (answer >= ANSWER * self.in_answer[i] - SLACK))
