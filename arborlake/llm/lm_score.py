@@ -30,7 +30,7 @@ PLACES, HIDDEN, CLASSES, MEMBERS = (-2, -1, 1, 2), 16, 32, 64
 SIZE = CLASSES * MEMBERS
 #: A vocabulary of up to so many words gets a number for each. In a larger one, words that occur at least LEAST times the root of
 #: the number of all words have one; the network has twice as many numbers as that or more, and the others share the rest.
-KNOWN, LEAST = SIZE // 2, 0.5
+KNOWN, LEAST = SIZE // 2, 1.0
 BATCH, RATE, ROUNDS = 4096, 0.2, 4
 #: Counts of at most so many other words are held in the tasks (16 bytes each); the rest are joined.
 HELD = 1_000_000

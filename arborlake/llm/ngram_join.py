@@ -278,7 +278,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> _Classes:
     members = written(sketch.select("id", "t", "s", "n"), "join-members")
     dropped(sketch, kept)
     copies = written(members.where("s is not null").groupBy("s").agg(F.count("*").alias("copies"), F.min("id").alias("least")), "join-copies")
-    hashes = _hashes(docs, members, met, id_col, text_col)
+    hashes = _hashes(docs, copies, met, id_col, text_col)
     about = met.groupBy("s").agg(F.array_sort(F.collect_set("pivot")).alias("pivots"), F.first("n").alias("n"), F.first("own").alias("own"))
     sets = hashes.join(about, "s").join(copies.select("s", "copies"), "s")
     many = met.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")).where("blocks > 1")
@@ -309,10 +309,10 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), n_links.alias("n_links"))
 
 
-def _hashes(docs: DataFrame, members: DataFrame, met: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _hashes(docs: DataFrame, copies: DataFrame, met: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(s, hashes) of the sets that meet others, from one row of each; only those texts are read again."""
     wanted = met.select("s").distinct()
-    heads = written(members.join(wanted, "s").groupBy("s").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("m")).select("s", F.col("m.id").alias("id")), "join-heads")
+    heads = written(copies.join(wanted, "s").select("s", F.col("least").alias("id")), "join-heads")
     ids = heads.select("id")
     ids = F.broadcast(ids) if heads.count() <= BROADCAST_IDS else ids
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).alias("d").join(ids.alias("i"), F.expr("d.id <=> i.id"), "left_semi")
