@@ -98,9 +98,12 @@ def back_edge_ratio(edges: DataFrame) -> DataFrame:
 
 
 def layout_choice(shape: DataFrame) -> DataFrame:
-    """graph_id, provider by a graph's shape (graph_id, nodes, edges, back, degree, clustering): grid without edges, tree if hardly
-    an edge leads back and there are no more edges than nodes, layered for sparse ones, force else; grid beyond 5000 nodes."""
-    choice = F.when((F.col("edges") == 0) | (F.col("nodes") > 5000), "grid").when((F.col("back") <= 0.05) & (F.col("edges") < F.col("nodes")), "tree").when((F.col("back") <= 0.05) & (F.col("degree") <= 6) & (F.col("clustering") <= 0.35), "layered").otherwise("force")
+    """graph_id, provider by a graph's shape (graph_id, nodes, edges, components, back, degree): grid for one node or no edge, tree for
+    a forest, layered if hardly an edge leads back and the mean degree is low, force else."""
+    # The share of back edges and the mean degree up to which a graph is layered.
+    most_back, most_degree = 0.05, 6
+    layered = (F.col("back") <= most_back) & (F.col("degree") <= most_degree)
+    choice = F.when((F.col("nodes") <= 1) | (F.col("edges") == 0), "grid").when(F.col("edges") == F.col("nodes") - F.col("components"), "tree").when(layered, "layered").otherwise("force")
     return shape.select("graph_id", choice.alias("provider"))
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.scratch import Levels, written
+
 #: Thresholds rise evenly; a level is entered or left only beyond half of this band around its threshold.
 HYSTERESIS = 0.05
 
@@ -113,45 +114,40 @@ def budget_cut(tree: DataFrame, cut: DataFrame, scores: DataFrame, max_nodes: in
     """id, depth, reason of a cut of at most max_nodes members where that can be had: parents all of whose children are members are
     collapsed, the one whose least salient child has the least salience first (ties by id), until the cut is small enough.
 
-    Each step depends on the one before, so a request is one group; what reaches it is the cut and its ancestors only.
+    A parent's turn comes when its own key and those of all parents below it have come up, so turns are in the order of the
+    greatest key among them, deeper ones first. Keys are found level by level from below; the turns are then ordered by ranges,
+    and taken until enough members are gone. Nothing is put into one group.
     """
-    above = cut.join(tree.select("id", "path"), "id").select(F.explode("path").alias("id")).distinct()
-    rows = tree.join(above, "id", "left_semi").join(scores, "id", "left").join(cut.select("id", F.lit(True).alias("member")), "id", "left")
-    if protected is not None:
-        rows = rows.join(protected.select("id", F.lit(True).alias("safe")).distinct(), "id", "left")
-    else:
-        rows = rows.withColumn("safe", F.lit(None).cast("boolean"))
-
-    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        score = dict(zip(rows["id"], rows["salience"].fillna(0.0), strict=True))
-        parent, depth = (dict(zip(rows["id"], rows[c], strict=True)) for c in ("parent", "depth"))
-        safe = {i for i, s in zip(rows["id"], rows["safe"], strict=True) if s is True}
-        members = {i: "kept" for i, m in zip(rows["id"], rows["member"], strict=True) if m is True}
-        wanted = dict(zip(rows["id"], rows["children"], strict=True))
-        inside: dict[str, list[str]] = {}
-        for i in members:
-            if parent[i]:
-                inside.setdefault(parent[i], []).append(i)
-
-        def ready(p: str) -> bool:
-            return len(inside.get(p, ())) == wanted[p] and p not in safe and not safe.intersection(inside[p])
-
-        heap = [(min(score[c] for c in inside[p]), p) for p in inside if ready(p)]
-        heapq.heapify(heap)
-        while len(members) > max_nodes and heap:
-            _, p = heapq.heappop(heap)
-            for c in inside[p]:
-                del members[c]
-            members[p] = "budget"
-            up = parent[p]
-            if up:
-                inside.setdefault(up, []).append(p)
-                if ready(up):
-                    heapq.heappush(heap, (min(score[c] for c in inside[up]), up))
-        return pd.DataFrame([(i, int(depth[i]), r) for i, r in sorted(members.items())], columns=["id", "depth", "reason"])
-
-    request = rows.select("id", "parent", "depth", "children", "salience", "member", "safe", F.lit(0).alias("request"))
-    return request.groupBy("request").applyInPandas(greedy, "id string, depth long, reason string")
+    spark = tree.sparkSession
+    members = written(tree.join(cut.select("id"), "id", "left_semi").select("id", "parent", "depth"), "budget-members")
+    total, deepest = members.agg(F.count("*"), F.max("depth")).first()
+    kept = members.withColumn("reason", F.lit("kept"))
+    if total <= max_nodes:
+        return kept.select("id", "depth", "reason")
+    safe = protected.select("id").distinct() if protected is not None else spark.createDataFrame([], "id string")
+    rated = written(scores.select("id", F.coalesce("salience", F.lit(0.0)).alias("salience")), "budget-scores")
+    lock = "lock struct<salience: double, id: string>"
+    turns = Levels(spark, "budget-turns")
+    below = turns.add(spark.createDataFrame([], f"id string, parent string, depth long, {lock}, gain long"))
+    for depth in range(deepest, 0, -1):
+        here = members.where(F.col("depth") == depth).select("id", "parent", F.lit(None).cast(lock.split(" ", 1)[1]).alias("lock"))
+        here = here.unionByName(below.select("id", "parent", "lock")).where("parent is not null")
+        here = here.join(rated, "id", "left").join(safe.withColumn("safe", F.lit(True)), "id", "left")
+        inside = here.groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("n"), F.count("safe").alias("held"), F.min(F.coalesce("salience", F.lit(0.0))).alias("least"), F.max("lock").alias("after"))
+        ready = tree.where(F.col("depth") == depth - 1).select("id", "parent", "depth", "children").join(inside, "id").where("n = children and held = 0").join(safe, "id", "left_anti")
+        own = F.struct(F.col("least").alias("salience"), "id")
+        below = turns.add(ready.select("id", "parent", "depth", F.when(F.col("after") > own, F.col("after")).otherwise(own).alias("lock"), (F.col("children") - 1).alias("gain")))
+    order = ["lock.salience", "lock.id", F.desc("depth")]
+    parts = turns.all().repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    parts = written(parts, "budget-parts")
+    sums = parts.groupBy("_part").agg(F.sum("gain").alias("_gain"))
+    before = F.coalesce(F.sum("_gain").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each part
+    starts = sums.withColumn("_before", before).where(F.col("_before") < total - max_nodes)
+    within = F.coalesce(F.sum("gain").over(Window.partitionBy("_part").orderBy("lock.salience", "lock.id", F.desc("depth")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    taken = parts.join(F.broadcast(starts), "_part").withColumn("_so_far", F.col("_before") + within).where(F.col("_so_far") < total - max_nodes)
+    taken = written(taken.select("id", "parent", "depth"), "budget-taken")
+    left = kept.unionByName(taken.withColumn("reason", F.lit("budget")))
+    return left.join(taken.select(F.col("id").alias("parent")), "parent", "left_anti").select("id", "depth", "reason")
 
 
 def refinement(tree: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:

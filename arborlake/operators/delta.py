@@ -94,6 +94,27 @@ def apply(space: Space, ops: DataFrame) -> Space:
     return space.with_(graphs=graphs, nodes=nodes, edges=edges)
 
 
+def net(log: DataFrame) -> DataFrame:
+    """One set of operations, fit for apply(), that leads where the deltas of a log (counter, phase, ..) lead one after the other.
+
+    Of what comes and goes, the last counts; what was there before goes first. Changes count if they are after it, the last one
+    for each key.
+    """
+    log = log.withColumns({"kind": F.substring_index("t", ":", 1), "at": F.struct("counter", "phase"), "life": F.col("t").rlike(":(add|remove)$"), "k": F.coalesce("key", F.lit(""))})
+    ends = log.where("life").groupBy("kind", "id").agg(F.max_by(F.struct("graph_id", "t", "next"), "at").alias("end"), F.max("at").alias("since"))
+    none = F.lit(None).cast("string")
+    phases = lambda kinds: F.element_at(F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair]), F.col("kind"))
+    gone = ends.select(phases({"edge": 1, "node": 2, "graph": 3}).alias("phase"), F.concat("kind", F.lit(":remove")).alias("t"), F.col("end.graph_id").alias("graph_id"), "id", none.alias("key"), none.alias("prev"), none.alias("next"))
+    changes = log.where("not life").join(ends, ["kind", "id"], "left").where("since is null or at > since and end.t not like '%:remove'")
+    columns = ["phase", "t", "graph_id", "id", "key", "prev", "next"]
+    last = changes.groupBy("kind", "id", "t", "k").agg(F.max_by(F.struct(*columns), "at").alias("o"), F.min_by("prev", "at").alias("first"), F.max("since").alias("since"))
+    last = last.select("kind", "since", "o.phase", "o.t", "o.graph_id", "o.id", "o.key", F.col("first").alias("prev"), "o.next")
+    # A graph's label comes with the graph, if that comes too.
+    named = last.where("kind = 'graph' and since is not null").select("kind", "id", F.col("next").alias("now"))
+    come = ends.where("end.t like '%:add'").join(named, ["kind", "id"], "left").select(phases({"graph": 4, "node": 6, "edge": 9}).alias("phase"), F.concat("kind", F.lit(":add")).alias("t"), F.col("end.graph_id").alias("graph_id"), "id", none.alias("key"), none.alias("prev"), F.coalesce("now", "end.next").alias("next"))
+    return gone.unionByName(come).unionByName(last.where("kind <> 'graph' or since is null").select(columns))
+
+
 def summary(ops: DataFrame) -> DataFrame:
     """t, kind, n: operations by type, and for nodes and edges by kind."""
     kind = F.get_json_object(F.coalesce("next", "prev"), "$.kind")

@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import Space
-from ..plans.scratch import written
-
-MAX_DEPTH = 200
+from ..plans.scratch import Levels, written
 
 
 def containment_index(space: Space) -> DataFrame:
@@ -23,34 +21,45 @@ def derived_roots(space: Space) -> DataFrame:
     return space.graphs.select("id").join(space.nodes.select(F.col("detail_graph").alias("id")), "id", "left_anti")
 
 
-def forest(space: Space, measures: bool = True, levels: int = MAX_DEPTH) -> DataFrame:
+def forest(space: Space, measures: bool = True, levels: int | None = None) -> DataFrame:
     """Every node that is reachable from a root: graph_id, id, kind, label, detail_graph, depth, path, parent, is_leaf, and with
     measures also leaves, size (of its subtree, itself included) and children.
 
-    Levels are joined one after the other, each on the edge of the last; cycles are never entered from a root. A node is a leaf if
-    its detail graph is missing or has no node. levels limits how deep the forest is read.
+    Levels are joined one after the other, each on the edge of the last, down to the deepest; a graph has one holder, so cycles are
+    never entered from a root. A node is a leaf if its detail graph is missing or has no node. levels limits how deep the forest is
+    read.
     """
     nodes = space.nodes.select("graph_id", "id", "kind", "label", "detail_graph")
     filled = nodes.groupBy(F.col("graph_id").alias("detail_graph")).agg(F.count("*").alias("children"))
     nodes = nodes.join(filled, "detail_graph", "left").withColumn("children", F.coalesce("children", F.lit(0)).cast("long"))
     holders = containment_index(space).select(F.col("graph").alias("held_graph"), F.col("node").alias("held_by"))
     level = nodes.join(derived_roots(space).select(F.col("id").alias("graph_id")), "graph_id", "left_semi").withColumns({"path": F.array("id"), "parent": F.lit(None).cast("string")})
-    out, depth = None, 0
-    while depth < levels:
-        # Written level by level: none is computed twice, however deep the forest.
-        level = written(level.withColumn("depth", F.lit(depth).cast("long")), "forest-level")
-        out = level if out is None else out.unionByName(level)
+    found, depth = Levels(space.nodes.sparkSession, "forest"), 0
+    while True:
+        # Written level by level: none is computed twice, and the plan stays small, however deep the forest.
+        level = found.add(level.withColumn("depth", F.lit(depth).cast("long")))
         if depth + 1 == levels or level.where("children > 0").isEmpty():
             break
         inner = level.where("children > 0").select(F.col("detail_graph").alias("graph_id"), F.col("id").alias("parent"), F.col("path").alias("above"))
         inner = inner.join(holders, (F.col("graph_id") == F.col("held_graph")) & (F.col("parent") == F.col("held_by")), "left_semi")
         level = nodes.join(inner, "graph_id").withColumn("path", F.concat("above", F.array("id"))).drop("above")
         depth += 1
-    out = out.withColumn("is_leaf", F.col("children") == 0)
-    if not measures:
-        return out
-    up = out.select(F.explode("path").alias("id"), "is_leaf").groupBy("id").agg(F.sum(F.col("is_leaf").cast("long")).alias("leaves"), F.count("*").alias("size"))
-    return out.join(up, "id")
+    out = found.all().withColumn("is_leaf", F.col("children") == 0)
+    return measured(found, depth) if measures else out
+
+
+def measured(levels: Levels, deepest: int) -> DataFrame:
+    """The forest with leaves and size, added up from the deepest level: each level is joined with its children's sums only."""
+    found, below = Levels(levels.spark, "forest-measured"), None
+    for depth in range(deepest, -1, -1):
+        level = levels.one(depth).withColumn("is_leaf", F.col("children") == 0)
+        if below is None:
+            level = level.withColumns({"in_leaves": F.lit(0).cast("long"), "in_size": F.lit(0).cast("long")})
+        else:
+            level = level.join(below.groupBy(F.col("parent").alias("id")).agg(F.sum("leaves").alias("in_leaves"), F.sum("size").alias("in_size")), "id", "left")
+        leaves = F.when(F.col("is_leaf"), F.lit(1)).otherwise(F.coalesce("in_leaves", F.lit(0))).cast("long")
+        below = found.add(level.withColumns({"leaves": leaves, "size": 1 + F.coalesce("in_size", F.lit(0))}).drop("in_leaves", "in_size"))
+    return found.all()
 
 
 def max_depth(tree: DataFrame) -> DataFrame:
@@ -62,15 +71,13 @@ def containment_paths(space: Space) -> DataFrame:
     """graph, depth and path (graph ids from a root down to it) of every graph that a root reaches."""
     steps = containment_index(space).select("graph", "in_graph")
     level = derived_roots(space).select(F.col("id").alias("graph"), F.array("id").alias("path"))
-    out, depth = None, 0
-    while depth < MAX_DEPTH:
-        level = written(level.withColumn("depth", F.lit(depth).cast("long")), "path-level")
-        if out is not None and level.isEmpty():
-            break
-        out = level if out is None else out.unionByName(level)
+    found, depth = Levels(space.nodes.sparkSession, "paths"), 0
+    while True:
+        level = found.add(level.withColumn("depth", F.lit(depth).cast("long")))
+        if level.isEmpty():
+            return found.all()
         level = steps.join(level.select(F.col("graph").alias("in_graph"), "path"), "in_graph").select("graph", F.concat("path", F.array("graph")).alias("path"))
         depth += 1
-    return out
 
 
 def rebase(tree: DataFrame, links: DataFrame) -> DataFrame:

@@ -16,6 +16,12 @@ def node_cover(tree: DataFrame, cut: DataFrame) -> DataFrame:
     return on.join(cut.select(F.col("id").alias("on")), "on").groupBy("id").agg(F.max_by("on", "at").alias("member"))
 
 
+def level_cover(tree: DataFrame, level: int) -> DataFrame:
+    """node_cover of a plain cut at a level, read off the paths: the node on the path there, or a leaf above it."""
+    member = F.when(F.col("depth") >= level, F.get("path", F.lit(level))).when(F.col("is_leaf"), F.col("id"))
+    return tree.select("id", member.alias("member")).where("member is not null")
+
+
 def induced_edges(edges: DataFrame, cover: DataFrame) -> DataFrame:
     """src, dst, kind, weight (sum, null counts 1), multiplicity and samples (the least edge ids); edges within one member go.
 

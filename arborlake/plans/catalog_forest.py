@@ -157,8 +157,8 @@ def _(spark, d):
 
 
 def _induced(spark, d, level: int) -> DataFrame:
-    tree = _tree(spark, d)
-    return induced.induced_edges(tables.space(spark, d).edges, induced.node_cover(tree, cut.build_cut(tree, level)))
+    tree = _tree(spark, d, False)
+    return induced.induced_edges(tables.space(spark, d, tree=tree).edges, induced.level_cover(tree, level))
 
 
 for _level in range(4):
@@ -229,22 +229,40 @@ def _(spark, d):
 
 
 def _scores(spark, d, tree: DataFrame) -> DataFrame:
-    measures = tree.join(forest.incident_degree(tables.space(spark, d)), "id").select("id", F.col("leaves").cast("double").alias("size"), F.col("degree").cast("double").alias("degree"), F.lit(None).cast("double").alias("recency"))
+    measures = tree.join(forest.incident_degree(tables.space(spark, d, tree=tree)), "id").select("id", F.col("leaves").cast("double").alias("size"), F.col("degree").cast("double").alias("degree"), F.lit(None).cast("double").alias("recency"))
     return cut.salience(measures)
 
 
+_SALIENCE = sql.SPACE + """, deg AS (SELECT n.id, count(x.id)::DOUBLE AS degree FROM n LEFT JOIN (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) x ON x.id = n.id GROUP BY n.id),
+m AS (SELECT f.id, f.leaves::DOUBLE AS size, degree FROM f JOIN deg USING (id)),
+b AS (SELECT min(size) AS a, max(size) AS b, min(degree) AS c, max(degree) AS d FROM m)"""
+
+
 @query(
     "salience",
-    sql.SPACE + """, deg AS (SELECT n.id, count(x.id)::DOUBLE AS degree FROM n LEFT JOIN (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) x ON x.id = n.id GROUP BY n.id),
-m AS (SELECT f.id, f.leaves::DOUBLE AS size, degree FROM f JOIN deg USING (id)),
-b AS (SELECT min(size) AS a, max(size) AS b, min(degree) AS c, max(degree) AS d FROM m)
+    _SALIENCE + """
 SELECT id, round((0.5::DOUBLE * (size - a) / (b - a) + 0.3::DOUBLE * (degree - c) / (d - c)) / 0.8::DOUBLE, 9) AS salience FROM m, b""",
 )
 def _(spark, d):
     return _scores(spark, d, _tree(spark, d)).select("id", F.round("salience", 9).alias("salience"))
 
 
-@query("budget_cut", None)
+#: Every nation has a turn once its customers are members, but for n7; a region once all its nations had theirs. Turns are in the
+#: order of the greatest key among those that they wait for.
+_BUDGET = _SALIENCE + """, s AS (SELECT id, round((0.5::DOUBLE * (size - a) / (b - a) + 0.3::DOUBLE * (degree - c) / (d - c)) / 0.8::DOUBLE, 9) AS v FROM m, b),
+k AS (SELECT p.id, p.parent, p.depth, p.children, min(s.v) AS least FROM f p JOIN f c ON c.parent = p.id JOIN s ON s.id = c.id WHERE p.depth <= 1 GROUP BY p.id, p.parent, p.depth, p.children),
+one AS (SELECT id, parent, depth, children, {'v': least, 'id': id} AS lock FROM k WHERE depth = 1 AND id <> 'n7'),
+w AS (SELECT parent AS id, count(*) AS n, max(lock) AS after FROM (SELECT parent, lock FROM one UNION ALL SELECT parent, NULL FROM f WHERE depth = 1 AND children = 0) GROUP BY parent),
+two AS (SELECT k.id, k.parent, k.depth, k.children, greatest({'v': least, 'id': k.id}, after) AS lock FROM k JOIN w ON w.id = k.id WHERE k.depth = 0 AND w.n = k.children),
+turns AS (SELECT id, parent, depth, lock, children - 1 AS gain FROM one UNION ALL SELECT id, parent, depth, lock, children - 1 FROM two),
+o AS (SELECT *, coalesce(sum(gain) OVER (ORDER BY lock, depth DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone FROM turns),
+st AS (SELECT id, parent, depth FROM f WHERE depth = 2 OR depth < 2 AND children = 0),
+tk AS (SELECT id, parent, depth FROM o WHERE gone < (SELECT count(*) FROM st) - 200)
+SELECT id, depth::BIGINT AS depth, reason FROM (SELECT *, 'kept' AS reason FROM st UNION ALL SELECT *, 'budget' FROM tk) WHERE parent IS NULL OR parent NOT IN (SELECT id FROM tk)"""
+
+
+@query("budget_cut", _BUDGET)
 def _(spark, d):
     tree = written(_tree(spark, d), "tree")
-    return cut.budget_cut(tree, cut.build_cut(tree, 2), _scores(spark, d, tree), 200, spark.createDataFrame([("n7",)], "id string"))
+    scores = _scores(spark, d, tree).select("id", F.round("salience", 9).alias("salience"))
+    return cut.budget_cut(tree, cut.build_cut(tree, 2), scores, 200, spark.createDataFrame([("n7",)], "id string"))

@@ -331,15 +331,17 @@ def _(spark, d):
 
 
 def _links(spark, d) -> DataFrame:
-    """A sparse graph between parts and suppliers, in which hubs and small components occur."""
-    rows = tables.table(spark, d, "lineitem").where("l_linenumber = 1 and l_quantity >= 48")
+    """The graph between parts and orders of all line items."""
+    rows = tables.table(spark, d, "lineitem")
     return rows.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("dst"))
 
 
-_LINKS = "WITH RECURSIVE l AS (SELECT DISTINCT 'p' || l_partkey AS a, 'o' || l_orderkey AS b FROM lineitem WHERE l_linenumber = 1 AND l_quantity >= 48), u AS (SELECT a, b FROM l UNION SELECT b, a FROM l) "
+_LINKS = "WITH RECURSIVE l AS (SELECT DISTINCT 'p' || l_partkey AS a, 'o' || l_orderkey AS b FROM lineitem), u AS (SELECT a, b FROM l UNION SELECT b, a FROM l) "
 
 
-@registered("weak_components", _LINKS + ", r AS (SELECT a AS id, a AS c FROM u UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.id) SELECT id, min(c) AS component FROM r GROUP BY id")
+@registered("weak_components", _LINKS + """, c AS (SELECT DISTINCT a AS id, a AS component FROM u), r(id, component) USING KEY (id) AS (
+  SELECT id, component FROM c UNION SELECT u.b, min(r.component) FROM r JOIN u ON u.a = r.id JOIN recurring.r AS old ON old.id = u.b WHERE r.component < old.component GROUP BY u.b)
+SELECT id, component FROM r""")
 def _(spark, d):
     return shape.components(_links(spark, d))
 
@@ -350,11 +352,10 @@ def _(spark, d):
 
 
 def _nation_links(spark, d) -> DataFrame:
-    lines = tables.supplies(spark, d).where("src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("w"))
-    return lines.where(F.pmod(F.col("w"), F.lit(5)) < 2).select("src", "dst")
+    return tables.supplies(spark, d).where("src <> dst").select("src", "dst").distinct()
 
 
-_NATION = sql.SPACE + ", w AS (SELECT 'n' || a AS s, 'n' || b AS t FROM links WHERE a <> b GROUP BY a, b HAVING sum(weight) % 5 < 2), u AS (SELECT s AS a, t AS b FROM w UNION SELECT t, s FROM w) "
+_NATION = sql.SPACE + ", w AS (SELECT 'n' || a AS s, 'n' || b AS t FROM links WHERE a <> b GROUP BY a, b), u AS (SELECT s AS a, t AS b FROM w UNION SELECT t, s FROM w) "
 
 
 @registered("clustering_coefficient", _NATION + ", deg AS (SELECT a, count(*) AS n FROM u GROUP BY a), tri AS (SELECT x.a, count(*) AS k FROM u x JOIN u y ON x.a = y.a AND x.b < y.b JOIN u z ON z.a = x.b AND z.b = y.b GROUP BY x.a) SELECT round(avg(2.0::DOUBLE * coalesce(k, 0) / (n * (n - 1))), 9) AS coefficient FROM deg LEFT JOIN tri USING (a) WHERE n >= 2")

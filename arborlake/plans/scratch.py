@@ -22,3 +22,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/arborlake/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Levels:
+    """Tables of one schema, written one after the other and read back together: the plan doesn't grow with their number."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.path, self.n, self.schema = spark, f"{shared_dir(spark)}/arborlake/{name}-{uuid.uuid4().hex}", 0, None
+
+    def add(self, df: DataFrame) -> DataFrame:
+        self.schema = self.schema or df.schema
+        df.select(self.schema.fieldNames()).write.parquet(f"{self.path}/n={self.n}")
+        self.n += 1
+        return self.one(self.n - 1)
+
+    def one(self, k: int) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/n={k}")
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).option("recursiveFileLookup", True).parquet(self.path)

@@ -63,12 +63,12 @@ def supplies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(F.concat(F.lit("s"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("number").cast("string")).alias("id"), _id("n", "from_nation").alias("src"), _id("n", "to_nation").alias("dst"), F.lit("core:supplies").alias("kind"), F.col("l_quantity").alias("weight"))
 
 
-def space(spark: SparkSession, sf_dir: str, links: bool = True) -> Space:
-    """The whole space. Links across graphs are moved up to the lowest graph that both ends are in."""
+def space(spark: SparkSession, sf_dir: str, links: bool = True, tree: DataFrame | None = None) -> Space:
+    """The whole space. Links across graphs are moved up to the lowest graph that both ends are in; tree is its forest, if known."""
     from ..operators.forest import forest, rebase
 
     found = Space(graphs(spark, sf_dir), nodes(spark, sf_dir), precedes(spark, sf_dir))
     if links:
-        up = rebase(forest(found, measures=False, levels=2), supplies(spark, sf_dir))
+        up = rebase((forest(found, measures=False, levels=2) if tree is None else tree).where("depth <= 1"), supplies(spark, sf_dir))
         found = found.with_(edges=found.edges.unionByName(up.select("graph_id", "id", "src", "dst", "kind", "weight")))
     return found.with_(edges=found.edges.withColumns({"attrs": F.lit(None).cast("map<string,string>"), "origin": F.lit("derived")}))

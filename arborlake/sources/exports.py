@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MESSAGES = "doc string, conversation string, place long, id string, parent string, role string, text string"
 
@@ -27,6 +29,24 @@ def media_type(path, head):
     return F.when(F.instr(head, "\x00") > 0, "binary").otherwise(out)
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def preorder(keys: pd.Series, parents: pd.Series, children: pd.Series) -> pd.Series:
+    """Parents first, children in their order, roots by key; what can't be reached from a root is left out, and nothing comes twice."""
+
+    def walk(keys: list, parents: list, children: list) -> list[str]:
+        below = dict(zip(keys, children, strict=True))
+        stack, out = sorted((k for k, p in zip(keys, parents, strict=True) if p is None), reverse=True), []
+        while stack:
+            key = stack.pop()
+            if key in below:
+                out.append(key)
+                kids = below.pop(key)
+                stack += list(kids if kids is not None else [])[::-1]
+        return out
+
+    return pd.Series([walk(*x) for x in zip(keys, parents, children, strict=True)], dtype=object)
+
+
 def chat_messages(texts: DataFrame) -> DataFrame:
     """MESSAGES of exports (doc, text): lists of conversations with chat_messages, or trees of messages in a mapping.
 
@@ -39,17 +59,12 @@ def chat_messages(texts: DataFrame) -> DataFrame:
     first = rows.select("doc", "conversation", F.col("place").cast("long").alias("place"), F.col("m.uuid").alias("id"), F.col("m.parent_message_uuid").alias("parent"), role.alias("role"), F.when(F.length(blocks) > 0, blocks).otherwise(F.coalesce("m.text", F.lit(""))).alias("text"))
     tree = "struct<conversation_id: string, mapping: map<string, struct<id: string, parent: string, children: array<string>, message: struct<author: struct<role: string>, content: struct<parts: array<string>>>>>>"
     maps = texts.where(F.ltrim("text").startswith("{")).select("doc", F.from_json("text", tree).alias("c")).where("c.mapping is not null")
-    nodes = maps.select("doc", F.col("c.conversation_id").alias("conversation"), F.explode("c.mapping").alias("key", "m"))
-    step = nodes.select("doc", "conversation", F.col("key").alias("parent"), F.posexplode("m.children").alias("at", "key"))
-    level = nodes.where("m.parent is null").select("doc", "conversation", "key", F.array(F.col("key")).alias("path"))
-    out = level
-    for _ in range(200):  # the deepest tree that is read
-        level = step.join(level.select("doc", "conversation", F.col("key").alias("parent"), "path"), ["doc", "conversation", "parent"]).select("doc", "conversation", "key", F.concat("path", F.array(F.lpad(F.col("at").cast("string"), 6, "0"))).alias("path"))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    order = Window.partitionBy("doc", "conversation").orderBy("path")
-    found = out.join(nodes, ["doc", "conversation", "key"]).where("m.message is not null").withColumn("place", (F.row_number().over(order) - 1).cast("long"))
+    # A tree comes in one row, so it is walked there, however deep; what has no message takes no place.
+    values = F.map_values("c.mapping")
+    walked = maps.withColumn("order", preorder(F.map_keys("c.mapping"), F.transform(values, lambda m: m["parent"]), F.transform(values, lambda m: m["children"])))
+    told = F.filter("order", lambda k: F.element_at("c.mapping", k)["message"].isNotNull())
+    out = walked.select("doc", F.col("c.conversation_id").alias("conversation"), "c", F.posexplode(told).alias("place", "key"))
+    found = out.select("doc", "conversation", F.col("place").cast("long").alias("place"), "key", F.element_at("c.mapping", F.col("key")).alias("m"))
     second = found.select("doc", "conversation", "place", F.col("key").alias("id"), F.col("m.parent").alias("parent"), F.col("m.message.author.role").alias("role"), F.array_join("m.message.content.parts", "\n").alias("text"))
     return first.unionByName(second)
 

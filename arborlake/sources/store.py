@@ -50,13 +50,12 @@ class Store:
         return max([self.version(), *(int(s.getPath().getName()) for s in fs.listStatus(p))]) if fs.exists(p) else self.version()
 
     def open(self) -> Space:
-        """The last checkpoint with the deltas after it; each delta is a set of joins."""
+        """The last checkpoint with the deltas after it, which are folded into one set of operations first."""
         at = self.version()
         read = lambda name: self.spark.read.parquet(f"{self.root}/v={at}/{name}")
         space = Space(read("graphs"), read("nodes"), read("edges"))
-        for counter in range(at + 1, self.last_counter() + 1):
-            space = delta.apply(space, self.spark.read.schema(LOG).parquet(f"{self.root}/log/{counter:012d}"))
-        return space
+        after = [f"{self.root}/log/{counter:012d}" for counter in range(at + 1, self.last_counter() + 1)]
+        return delta.apply(space, delta.net(self.spark.read.schema(LOG).parquet(*after))) if after else space
 
     def compact(self) -> int:
         """A checkpoint of what open() gives."""
@@ -68,8 +67,13 @@ class Store:
 
 
 def salvaged(space: Space) -> Space:
-    """A sound part of a damaged space: nodes of known graphs, edges between their nodes, and one holder for each detail graph."""
-    nodes = space.nodes.join(space.graphs.select(F.col("id").alias("graph_id")), "graph_id", "left_semi").dropDuplicates(["id"])
+    """A sound part of a damaged space: nodes of known graphs, edges between their nodes, and one holder for each detail graph.
+
+    Of rows that claim one id the first stays, by graph and then by the row's text.
+    """
+    nodes = space.nodes.join(space.graphs.select(F.col("id").alias("graph_id")), "graph_id", "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in space.nodes.columns])
+    nodes = nodes.groupBy("id").agg(F.min_by(row, F.struct("graph_id", F.to_json(row))).alias("row")).select("row.*")
     holder = nodes.where("detail_graph is not null").groupBy("detail_graph").agg(F.min(F.struct("graph_id", "id")).alias("h"))
     known = space.graphs.select(F.col("id").alias("detail_graph"), F.lit(True).alias("known"))
     nodes = nodes.join(holder, "detail_graph", "left").join(known, "detail_graph", "left")

@@ -35,9 +35,7 @@ def stage(stream: DataFrame, store: Store, checkpoint: str, check: Callable[[Dat
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     ops = store.spark.read.schema(LOG + ", batch int").parquet(staged)
     space = store.open()
-    # Of several operations on one thing the last one counts; what it was before is what the first one says.
-    last = ops.groupBy("id", F.coalesce("key", F.lit("")).alias("k")).agg(F.max_by(F.struct(*[c.split()[0] for c in LOG.split(", ")]), F.struct("counter", "phase")).alias("o")).select("o.*")
-    space = delta.apply(space, last)
+    space = delta.apply(space, delta.net(ops))
     if check is not None:
         issues = check(space)
         found = issues.take(1)

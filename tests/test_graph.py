@@ -167,3 +167,65 @@ def test_issues_of_a_broken_space(spark):
     s = Space.of(spark, [("g", "x"), ("a", "x"), ("b", "x")], [("g", "n", "Bad", "x", "nowhere"), ("a", "p", "core:k", "x", "b"), ("b", "q", "core:k", "x", "a"), ("g", "r", "core:k", "x", "b")], [("g", "e", "n", "p", "core:k", 1.0), ("g", "n", "n", "n", "core:k", float("nan"))])
     codes = sorted(r["code"] for r in validate.validate(s).collect())
     assert codes == sorted(["invalid-kind", "dangling-detail-ref", "dangling-edge-endpoint", "duplicate-id", "multiple-containment", "containment-cycle", "invalid-weight"])
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_budget_turns_with_ties_and_protected_nodes(spark, seed):
+    space, _, nodes, _ = made(spark, 6 + seed)
+    tree = forest.forest(space)
+    p = paths(nodes)
+    score = {i: (int(i[1:]) * 7 % 5) / 5 for i in p}
+    held = {sorted(p)[-1 - seed % len(p)]}
+    start = cut.build_cut(tree, 3)
+    want = {r["id"] for r in start.collect()}
+    kids = {}
+    for i, path in p.items():
+        if len(path) > 1:
+            kids.setdefault(path[-2], []).append(i)
+    limits = (max(1, len(want) // 2), 1)
+    for limit in limits:
+        now = set(want)
+        while len(now) > limit:
+            ready = [(min(score[c] for c in cs), q) for q, cs in kids.items() if q not in held and all(c in now and c not in held for c in cs)]
+            if not ready:
+                break
+            q = min(ready)[1]
+            now = now - set(kids[q]) | {q}
+        got = cut.budget_cut(tree, start, spark.createDataFrame(list(score.items()), "id string, salience double"), limit, spark.createDataFrame([(i,) for i in held], "id string"))
+        assert {r["id"] for r in got.collect()} == now
+
+
+def test_deep_chains_are_read_whole(spark):
+    n = 12
+    s = Space.of(spark, [(f"g{k}", "") for k in range(n)], [(f"g{k}", f"n{k}", "core:k", "x", f"g{k + 1}" if k + 1 < n else None) for k in range(n)], [])
+    tree = forest.forest(s, measures=False)
+    assert forest.max_depth(tree).first()[0] == n - 1
+
+
+def test_net_leads_where_the_deltas_lead(spark):
+    import random
+    from functools import reduce
+
+    from arborlake.operators import delta
+
+    rng = random.Random(3)
+
+    def version(k):
+        rng.seed(k)
+        graphs = [(f"g{i}", f"l{rng.randrange(2)}") for i in range(3) if i == 0 or rng.random() < 0.7]
+        nodes = [(rng.choice(graphs)[0], f"n{i}", "core:k", f"x{rng.randrange(2)}", rng.choice([None, *[g for g, _ in graphs]])) for i in range(8) if rng.random() < 0.8]
+        ids = [x[1] for x in nodes]
+        edges = [("g0", f"e{i}", rng.choice(ids), rng.choice(ids), "r:r", float(rng.randrange(2))) for i in range(5) if rng.random() < 0.7]
+        s = Space.of(spark, graphs, nodes, edges)
+        attrs = F.when(F.rand(k) < 0.6, F.create_map(F.lit("a:b"), F.lit(str(k)), F.lit("a:c"), F.lit("1")))
+        return s.with_(nodes=spark.createDataFrame(s.nodes.withColumn("attrs", attrs).collect(), s.nodes.schema))
+
+    versions = [version(k) for k in range(5)]
+    log = [delta.diff(a, b).withColumn("counter", F.lit(k).cast("long")) for k, (a, b) in enumerate(zip(versions, versions[1:], strict=False))]
+    log = [spark.createDataFrame(x.collect(), x.schema).coalesce(1) for x in log]
+    for n in (2, 4):
+        net = delta.net(reduce(lambda a, b: a.unionByName(b), log[:n]))
+        now = delta.apply(versions[0], spark.createDataFrame(net.collect(), net.schema).coalesce(1))
+        for name in ("graphs", "nodes", "edges"):
+            want, got = (getattr(x, name) for x in (versions[n], now))
+            assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))

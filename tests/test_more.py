@@ -58,8 +58,8 @@ def test_greedy_match_labels_and_back_edges(spark):
     assert {r["id"] for r in assist.label_plan(items).collect()} == {"b", "c"}
     edges = spark.createDataFrame([("g", "a", "b"), ("g", "b", "c"), ("g", "c", "a"), ("g", "a", "c")], "graph_id string, src string, dst string")
     assert assist.back_edge_ratio(edges).first()["ratio"] == 0.25
-    shape = spark.createDataFrame([("a", 5, 0, 0.0, 0.0, 0.0), ("b", 5, 4, 0.0, 1.6, 0.0), ("c", 5, 8, 0.0, 3.0, 0.1), ("d", 5, 8, 0.5, 3.0, 0.1)], "graph_id string, nodes int, edges int, back double, degree double, clustering double")
-    assert {r["graph_id"]: r["provider"] for r in assist.layout_choice(shape).collect()} == {"a": "grid", "b": "tree", "c": "layered", "d": "force"}
+    shape = spark.createDataFrame([("a", 5, 0, 5, 0.0, 0.0), ("b", 5, 3, 2, 0.5, 1.2), ("c", 5, 4, 2, 0.0, 1.6), ("d", 5, 8, 1, 0.5, 3.2), ("e", 9000, 8999, 1, 0.0, 2.0), ("f", 1, 1, 1, 0.0, 2.0)], "graph_id string, nodes int, edges int, components int, back double, degree double")
+    assert {r["graph_id"]: r["provider"] for r in assist.layout_choice(shape).collect()} == {"a": "grid", "b": "tree", "c": "layered", "d": "force", "e": "tree", "f": "grid"}
 
 
 def test_arithmetic(spark):
