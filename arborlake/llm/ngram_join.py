@@ -10,8 +10,8 @@ to the least of the pivots that both meet at, and is verified there only, once.
 volume, each against each) pairs are ruled out by three filters, and what is left is verified by counting common shingles:
 
 - length: sets of too different size;
-- position: what comes before the first shared shingle in the rare-first order is a set's own, so only the rest can be common;
-- suffix: the hash order is halved again and again, and the halves' sizes bound what can be common in each.
+- position: of two sets no more can be common before, or after, a place in the hash order than either has there;
+- suffix: the hash order is halved again and again, and the parts' sizes bound what can be common in each.
 
 No list of pairs is written: a block returns, for each of its sets, the number of rows it is linked with, and at most one link
 for each set, which together make the same groups as all links.
@@ -131,9 +131,9 @@ def _meetings(kept: DataFrame) -> DataFrame:
     return kept.join(pivots, "h").select(F.col("p.s").alias("pivot"), "s", "n", "own").distinct()
 
 
-def _filtered(n: np.ndarray, room: np.ndarray, hashes: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs (x, y) of sets, sizes n, that lengths, positions and suffixes don't rule out. room: shingles that can be common."""
-    kept = links(n[x], n[y], np.minimum(np.minimum(n[x], n[y]), np.minimum(room[x], room[y])))
+def _filtered(n: np.ndarray, hashes: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (x, y) of sets, sizes n, that lengths, positions and suffixes don't rule out."""
+    kept = links(n[x], n[y], np.minimum(n[x], n[y]))
     x, y = x[kept], y[kept]
     finest = np.array([np.bincount((h >> np.uint64(64 - HALVINGS)).astype(np.int64), minlength=1 << HALVINGS) for h in hashes], dtype=np.int32)
     for depth in range(1, HALVINGS + 1):
@@ -182,7 +182,7 @@ def _overlaps(columns: list[np.ndarray]) -> np.ndarray:
 def _matched(rows: pd.DataFrame, pivot: int, lo: int, hi: int) -> np.ndarray:
     """Which sets of a block (or of one block and another) are linked, as a symmetric matrix, of the pairs that belong to this pivot."""
     m = len(rows)
-    n, own, block = (rows[c].to_numpy() for c in ("n", "own", "block"))
+    n, block = (rows[c].to_numpy() for c in ("n", "block"))
     hashes = [h.view(np.uint64) for h in rows["hashes"]]
     out = np.zeros((m, m), dtype=bool)
     may = (5 * np.minimum.outer(n, n) >= 4 * np.maximum.outer(n, n)) & np.triu(np.ones((m, m), dtype=bool), 1)
@@ -191,7 +191,7 @@ def _matched(rows: pd.DataFrame, pivot: int, lo: int, hi: int) -> np.ndarray:
     before = [p[p < pivot] for p in rows["pivots"]]
     if sum(len(p) > 0 for p in before) > 1:
         may &= _overlaps(before) == 0
-    x, y = _filtered(n, n - own, hashes, *np.nonzero(may))
+    x, y = _filtered(n, hashes, *np.nonzero(may))
     if not len(x):
         return out
     if len(x) <= 4 * m:

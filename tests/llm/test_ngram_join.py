@@ -87,7 +87,7 @@ def test_filters_drop_no_link_and_overlaps_are_exact():
     assert (got[~np.eye(60, dtype=bool)] == exact[~np.eye(60, dtype=bool)]).all()
     n = np.array([len(a) for a in sets])
     x, y = np.triu_indices(60, 1)
-    kept = set(zip(*ngram_join._filtered(n, n, sets, x, y), strict=True))
+    kept = set(zip(*ngram_join._filtered(n, sets, x, y), strict=True))
     linked = {(a, b) for a, b in zip(x, y, strict=True) if ngram_join.links(n[a], n[b], exact[a, b])}
     assert linked <= kept and 0 < len(linked) < len(kept) < len(x)
 
