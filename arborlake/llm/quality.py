@@ -22,6 +22,7 @@ FLOORS = (0.04, 0.3, 0.6, 0.6)
 SHARE, LEAST_ROWS = 0.75, 60
 #: Concentration ends when no logarithm of a determinant moves by more than this, or after so many steps.
 STILL, MOST_STEPS = 1e-6, 40
+MOVING = f"was - det > {STILL}"
 #: For 4 dimensions: consistency factors of the 75 % subset and of the reweighted rows, and the 97.5 % point of chi-square.
 RAW_FACTOR, FINAL_FACTOR, REWEIGHT_AT = 1.486, 1.0645, 11.14
 #: Rows beyond this squared distance are rejected (chi-square with 4 degrees of freedom leaves 1e-4 there).
@@ -68,7 +69,7 @@ def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
-def _cholesky(est: DataFrame) -> DataFrame:
+def _cholesky(est: DataFrame, *more: str) -> DataFrame:
     """est (n, s1.., p11, p21, ..: sums and products) with means m1.. and the Cholesky factor l11, l21, .. of the covariance."""
     d = range(1, len(DIMS) + 1)
     est = est.withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") for i in d})
@@ -77,7 +78,7 @@ def _cholesky(est: DataFrame) -> DataFrame:
         for i in range(j, len(DIMS) + 1):
             rest = cov[i, j] - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(1, j)), F.lit(0.0))
             est = est.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(FLOORS[i - 1] ** 2 / 2))) if i == j else rest / F.col(f"l{j}{j}"))
-    return est.select(*KEYS, "n", *[f"m{i}" for i in d], *[f"l{i}{j}" for i in d for j in d if j <= i])
+    return est.select(*KEYS, "n", *more, *[f"m{i}" for i in d], *[f"l{i}{j}" for i in d for j in d if j <= i])
 
 
 def _distance() -> Column:
@@ -88,34 +89,50 @@ def _distance() -> Column:
     return sum((v * v for v in y), F.lit(0.0))
 
 
-def _moments(near: DataFrame) -> DataFrame:
+def _sums() -> list[Column]:
     d = range(1, len(DIMS) + 1)
-    sums = [F.sum(f"x{i}").alias(f"s{i}") for i in d] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i in d for j in d if j <= i]
-    return _cholesky(near.groupBy(*KEYS).agg(F.count("*").alias("n"), *sums))
+    return [F.count("*").alias("n")] + [F.sum(f"x{i}").alias(f"s{i}") for i in d] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i in d for j in d if j <= i]
+
+
+def _moments(near: DataFrame) -> DataFrame:
+    return _cholesky(near.groupBy(*KEYS).agg(*_sums()))
 
 
-def _reached(counts: DataFrame, by: str, share: Column) -> DataFrame:
-    """For each estimate the bin at which the counts, added up in order, reach a number, and how many come before it."""
+def _added(counts: DataFrame, wanted: Column, *by: str) -> DataFrame:
+    """counts (grp, start, by, n, ..), in the order of by up to the wanted number of rows, with before, upto and wanted."""
     here = Window.partitionBy(*KEYS)
-    upto = counts.withColumns({"cum": F.sum("c").over(here.orderBy(by)), "all": F.sum("c").over(here)}).where(F.col("cum") >= share)
-    return upto.groupBy(*KEYS).agg(F.min(F.struct(by, (F.col("cum") - F.col("c")).alias("before"), "all")).alias("e")).select(*KEYS, "e.*")
+    upto = counts.withColumns({"upto": F.sum("n").over(here.orderBy(*by)), "all": F.sum("n").over(here)})
+    return upto.withColumns({"before": F.col("upto") - F.col("n"), "wanted": wanted}).where("before < wanted")
 
 
-def _nearest(rows: DataFrame, few: bool) -> DataFrame:
-    """The rows (grp, start, d2) of the smallest distances that make up SHARE of their group; ties with the last one count.
+def _step(vectors: DataFrame, now: DataFrame, few: bool) -> tuple[DataFrame, bool]:
+    """A concentration step: the estimates from the rows of the smallest distances that make up SHARE of their group (ties with the
+    last one count), with edge (the bin of the last one), was (the determinant before) and det; and whether any fell.
 
-    Rows are counted by bins of distance, and those of the bin that holds the edge by parts of it: no group, however large, is
-    ranked in one task.
+    Rows are counted and summed by bins of distance, and near the edge of the step before by parts of them: no group, however
+    large, is ranked in one task. Where the edge has moved farther, the rows of its new bin are read once more.
     """
     scale = F.log(F.col("d2") + 1e-12) * BINS
-    binned = rows.withColumns({"bin": F.floor(scale).cast("int"), "part": F.floor((scale - F.floor(scale)) * PARTS).cast("int")})
-    edge = _reached(binned.groupBy(*KEYS, "bin").agg(F.count("*").alias("c")), "bin", F.ceil(SHARE * F.col("all")))
-    edge = edge.select(*KEYS, F.col("bin").alias("edge"), (F.ceil(SHARE * F.col("all")) - F.col("before")).alias("missing"))
-    edge = _hinted(written(edge, "quality-edge"), few)
-    inside = binned.join(edge, list(KEYS)).where("bin = edge").groupBy(*KEYS, "part", "missing").agg(F.count("*").alias("c"))
-    last = _reached(inside, "part", F.col("missing")).select(*KEYS, F.col("part").alias("last"))
-    edges = _hinted(written(edge.join(last, list(KEYS)).select(*KEYS, "edge", "last"), "quality-edges"), few)
-    return binned.join(edges, list(KEYS)).where("bin < edge or bin = edge and part <= last")
+    given = _hinted(now.select(*KEYS, F.col("edge").alias("near"), F.col("det").alias("was"), *[c for c in now.columns if c[0] in "ml"]), few)
+    rows = vectors.join(given, "grp").select(*KEYS, *DIMS, "near", "was", _distance().alias("d2"))
+    rows = rows.select(*KEYS, *DIMS, "near", "was", F.floor(scale).cast("int").alias("bin"), F.floor((scale - F.floor(scale)) * PARTS).cast("int").alias("part"))
+    parted = rows.withColumn("part", F.when(F.abs(F.col("bin") - F.col("near")) <= 1, F.col("part")).otherwise(-1))
+    sums = [c for c in parted.groupBy(*KEYS).agg(*_sums()).columns if c not in KEYS]
+    counts = _added(parted.groupBy(*KEYS, "bin", "part").agg(F.max("was").alias("was"), *_sums()), F.ceil(SHARE * F.col("all")), "bin", "part")
+    cut = (F.col("part") < 0) & (F.col("upto") > F.col("wanted"))
+    whole = [F.coalesce(F.sum(F.when(~cut, F.col(c))), F.lit(0)).alias(c) for c in sums]
+    inner = counts.groupBy(*KEYS).agg(F.max("bin").alias("edge"), F.max("was").alias("was"), F.max(F.when(cut, F.col("wanted") - F.col("before"))).alias("missing"), *whole)
+    det = 2 * sum((F.log(f"l{i}{i}") for i in range(1, len(DIMS) + 1)), F.lit(0.0))
+    # Written before any filter on them: a filter pushed down through the factor's steps would repeat these many times over.
+    inner = written(_cholesky(inner, "edge", "was", "missing", *sums[1:]).withColumn("det", det), "quality-step")
+    found = inner.drop("missing", *sums[1:])
+    if not inner.where("missing is not null").isEmpty():
+        open_ = _hinted(inner.where("missing is not null").select(*KEYS, "edge", "missing"), few)
+        parts = rows.join(open_, list(KEYS)).where("bin = edge").groupBy(*KEYS, "part", "missing").agg(*_sums())
+        last = _added(parts, F.col("missing"), "part").select(*KEYS, F.lit(None).cast("int").alias("edge"), F.lit(None).cast("double").alias("was"), *sums)
+        both = inner.select(last.columns).unionByName(last).groupBy(*KEYS).agg(F.max("edge").alias("edge"), F.max("was").alias("was"), *[F.sum(c).alias(c) for c in sums])
+        found = written(_cholesky(both, "edge", "was").withColumn("det", det), "quality-step")
+    return found, not found.where(MOVING).isEmpty()
 
 
 def _hinted(df: DataFrame, few: bool) -> DataFrame:
@@ -141,22 +158,20 @@ def covariance_estimates(vectors: DataFrame) -> DataFrame:
     FLOORS are added to the variances, so that a statistic that is constant in the subset doesn't make it singular.
     """
     few = vectors.select("grp").distinct().count() <= BROADCAST_GROUPS
-    det = 2 * sum((F.log(f"l{i}{i}") for i in range(1, len(DIMS) + 1)), F.lit(0.0))
-    now = written(_starts(vectors, few).withColumn("det", F.lit(float("inf"))), "quality-starts")
+    now = written(_starts(vectors, few).withColumns({"det": F.lit(float("inf")), "edge": F.lit(None).cast("int")}), "quality-starts")
     done: list[DataFrame] = []
-    for step in range(MOST_STEPS):
-        rows = vectors.join(_hinted(now.drop("n", "det"), few), "grp").select(*KEYS, *DIMS, _distance().alias("d2"))
-        was = now.select(*KEYS, F.col("det").alias("was"))
-        now = written(_moments(_nearest(rows, few)).withColumn("det", det).join(_hinted(was, few), list(KEYS)), f"quality-step{step}")
-        moving = F.col("was") - F.col("det") > STILL
-        done.append(now.where(~moving).drop("was"))
-        now = now.where(moving).drop("was")
-        if now.isEmpty():
+    for _ in range(MOST_STEPS):
+        now, falls = _step(vectors, now, few)
+        done.append(now.where(f"not ({MOVING})") if falls else now)
+        now = now.where(MOVING)
+        if not falls:
             break
-    found = now
-    for part in done:
+    else:
+        done.append(now)
+    found = done[0]
+    for part in done[1:]:
         found = found.unionByName(part)
-    columns = [c for c in found.columns if c not in ("start", "n")]
+    columns = [c for c in found.columns if c not in ("start", "n", "edge", "was")]
     best = written(found.groupBy("grp").agg(F.min(F.struct("det", "start", *[c for c in columns if c not in ("grp", "det")])).alias("b")).select("grp", "b.*"), "quality-raw")
     kept = vectors.join(_hinted(best, few), "grp").where(_distance() <= REWEIGHT_AT * RAW_FACTOR).select(*KEYS, *DIMS)
     return _moments(kept.withColumn("start", F.lit(0))).drop("start")
