@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, language_id, lm_score, ngram_join, packing, quality, secret_scan, sharding, url_filter
+from . import chat_format, decontaminate, filter_audit, language_id, lm_score, ngram_join, packing, quality, secret_scan, sharding, url_filter, vector_codes, vector_packing
 from .common import table
 
 ORACLES: dict[str, str] = {}
@@ -45,6 +45,73 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM turns GROUP BY conv_id
 """
 
+ORACLES["op11_filter_audit"] = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), firsts AS (
+  SELECT text, min(doc_id) AS first FROM t GROUP BY text
+), d AS (
+  SELECT t.part, [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws), 100 * (length(t.text) - length(regexp_replace(t.text, '[A-Z]', '', 'g'))) > 2 * length(t.text),
+                  regexp_matches(t.text, '[#$%&*|]'), coalesce(t.doc_id > f.first, false)] AS fails,
+         coalesce(l.quality = 1, false) AS good, coalesce(l.toxic = 1, false) AS toxic
+  FROM t JOIN firsts f ON f.text = t.text LEFT JOIN labels l ON l.doc_id = t.doc_id
+), kinds AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM d GROUP BY part, fails
+), letters AS (
+  SELECT unnest(range(1, 6)) AS i
+), orders AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM letters a, letters b, letters c, letters d, letters e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5
+), steps AS (
+  SELECT o, array_to_string(list_transform(o, lambda i: 'ABCDE'[i]), '') AS filter_order, i AS step, o[i] AS f, o[1 : i - 1] AS before FROM orders, letters
+), counted AS (
+  SELECT k.part, s.filter_order, s.step::INT AS step, s.f,
+         coalesce(sum(n) FILTER (WHERE NOT gone AND NOT fails[s.f]), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (WHERE NOT gone AND fails[s.f]), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (WHERE gone AND fails[s.f]), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (WHERE fails[s.f] AND len(list_filter(fails, lambda x: x)) = 1), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (WHERE NOT gone AND fails[s.f]), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (WHERE NOT gone AND fails[s.f]), 0)::BIGINT AS toxic_lost
+  FROM (SELECT *, len(list_filter(before, lambda i: fails[i])) > 0 AS gone FROM steps, kinds) k JOIN steps s USING (filter_order, step) GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM counted
+"""
+
+#: Four rounds over all pairs of a part and an entry, written out.
+ROUND = """
+), near{r} AS (
+  SELECT v.vec_id, v.p, arg_min(b.e, (list_sum(list_transform(list_zip(v.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), b.e)) AS e,
+         min(list_sum(list_transform(list_zip(v.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d
+  FROM v JOIN book{r} b USING (p) GROUP BY v.vec_id, v.p
+"""
+MEANS = """
+), sums{r} AS (
+  SELECT n.p, n.e, t.i, sum(v.x[t.i])::BIGINT AS s, count(*) AS n FROM near{r} n JOIN v USING (vec_id, p), (SELECT unnest(range(1, 17)) AS i) t GROUP BY ALL
+), book{next} AS (
+  SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM book{r} b LEFT JOIN (
+    SELECT p, e, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS x FROM sums{r} GROUP BY p, e
+  ) m USING (p, e)
+"""
+#: For vectors of 64 numbers and ids that don't repeat, as the tables have.
+ORACLES["op12_vector_codes"] = (
+    """
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), v AS (
+  SELECT vec_id, p, x[16 * p + 1 : 16 * p + 16] AS x FROM kept, (SELECT unnest(range(0, 4)) AS p)
+), book0 AS (
+  SELECT v.p, s.e, v.x FROM v JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT 256) s USING (vec_id)
+"""
+    + "".join(ROUND.format(r=r) + MEANS.format(r=r, next=r + 1) for r in range(4))
+    + ROUND.format(r=4)
+    + """
+), coded AS (
+  SELECT vec_id, string_agg(format('{:02x}', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM near4 GROUP BY vec_id
+)
+SELECT k.vec_id, k.label, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) FROM book4) AS codebooks_sha256
+FROM kept k JOIN coded USING (vec_id)
+"""
+)
+
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_groups(table(spark, sf_dir, "documents"))
@@ -88,6 +155,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
