@@ -75,22 +75,24 @@ def edges(rows: DataFrame, filters: list[str], tallies: list[str] = (), part: st
     if not 1 <= len(filters) <= MOST_FILTERS:
         raise ValueError(f"between 1 and {MOST_FILTERS} filters")
     path, seen = f"{shared_dir(rows.sparkSession)}/arborlake/audit-edges-{uuid.uuid4().hex}", set()
+    fails = [F.col("_fails").bitwiseAND(1 << i) != 0 for i in range(len(filters))]
+    removed = [F.struct(F.lit(f).alias("filter"), F.count_if(c).alias("removed"), *[F.count_if(c & F.col(t)).alias(f"removed_{t}") for t in tallies]) for f, c in zip(filters, fails, strict=True)]
 
     def visit(state: int, survivors: DataFrame) -> None:
-        left = [(i, f) for i, f in enumerate(filters) if not state >> i & 1]
+        """All states run the same expressions, so the code that Spark makes for one serves all; a filter that ran removes nothing."""
         survivors = survivors.persist(StorageLevel.MEMORY_AND_DISK)
-        removed = [F.struct(F.lit(f).alias("filter"), F.count_if(F.col(f)).alias("removed"), *[F.count_if(F.col(f) & F.col(t)).alias(f"removed_{t}") for t in tallies]) for _, f in left]
-        counts = survivors.groupBy(part).agg(F.count("*").alias("n"), F.array(*removed).alias("e"))
-        counts.select(F.lit(state).alias("state"), F.col(part).alias("part"), "n", F.inline("e")).write.mode("append").parquet(path)
-        for i, f in left:
+        survivors.groupBy(part).agg(F.count("*").alias("n"), F.array(*removed).alias("e")).select(F.col(part).alias("part"), "n", F.inline("e")).write.parquet(f"{path}/state={state}")
+        for i, c in enumerate(fails):
             after = state | 1 << i
-            if after not in seen and len(left) > 1:
+            if after != state and after not in seen and after + 1 < 1 << len(filters):
                 seen.add(after)
-                visit(after, survivors.where(~F.coalesce(F.col(f), F.lit(False))).drop(f))
+                visit(after, survivors.where(~c))
         survivors.unpersist()
 
-    visit(0, rows.select(part, *filters, *tallies))
-    return rows.sparkSession.read.parquet(path)
+    bits = sum((F.when(F.col(f), 1 << i).otherwise(0) for i, f in enumerate(filters)), F.lit(0))
+    visit(0, rows.select(part, bits.cast("int").alias("_fails"), *tallies))
+    ran = F.coalesce(*[F.when(F.col("filter") == f, F.col("state").bitwiseAND(1 << i) != 0) for i, f in enumerate(filters)])
+    return rows.sparkSession.read.parquet(path).where(~ran).select(F.col("state").cast("int").alias("state"), "filter", "part", "n", "removed", *[f"removed_{t}" for t in tallies])
 
 
 def audit(rows: DataFrame, filters: list[str], tallies: list[str] = (), part: str = "part") -> DataFrame:
