@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog_code, catalog_extra, catalog_forest, catalog_more
+from . import catalog_code, catalog_extra, catalog_forest, catalog_more, catalog_ordered
 
-PARTS = [catalog_forest, catalog_more, catalog_extra, catalog_code]
+PARTS = [catalog_forest, catalog_more, catalog_extra, catalog_code, catalog_ordered]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
