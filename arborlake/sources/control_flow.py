@@ -234,11 +234,12 @@ def body_operations(found: DataFrame, domain: str = "code") -> DataFrame:
     detail. Ids are derived from path, scopes and block, so they are the same however often a body is read.
     """
     key = ["path", "function", "nth"]
-    scopes = F.concat_ws("/", F.split("function", r"\."), F.when(F.col("nth") > 0, F.concat(F.lit("~"), "nth")))
+    scopes = F.split(F.concat("function", F.when(F.col("nth") > 0, F.concat(F.lit("~"), "nth")).otherwise("")), r"\.")
     at = [F.lit(domain), F.col("path"), scopes]
-    base = found.select(*key, "blocks", "flows", derived_id("g-", *at).alias("graph_id"), derived_id("n-", *at).alias("node"), derived_id("g-", F.lit(domain), F.col("path"), F.regexp_replace(scopes, "(^|/)[^/]*$", "")).alias("parent"))
+    outer = F.slice(scopes, F.lit(1), F.size(scopes) - 1)
+    base = found.select(*key, "blocks", "flows", derived_id("g", *at).alias("graph_id"), derived_id("n", *at).alias("node"), derived_id("g", F.lit(domain), F.col("path"), outer).alias("parent"))
     none = F.lit(None).cast("string")
-    block_id = lambda graph, block: derived_id("n-", graph, F.lit("block"), block)
+    block_id = lambda graph, block: derived_id("n", graph, F.lit("block"), block)
 
     def op(df: DataFrame, phase: int, t: str, graph, id_, next_) -> DataFrame:
         return df.select(*key, F.lit(phase).alias("phase"), F.lit(t).alias("t"), graph.alias("graph_id"), id_.alias("id"), none.alias("key"), none.alias("prev"), next_.alias("next"))
@@ -249,7 +250,7 @@ def body_operations(found: DataFrame, domain: str = "code") -> DataFrame:
     attrs = F.create_map(F.lit(f"{domain}:block-role"), F.concat(F.lit('"'), "role", F.lit('"')))
     node = F.to_json(F.struct("graph_id", "id", F.lit(f"{domain}:block").alias("kind"), F.col("block").alias("label"), attrs.alias("attrs"), F.lit("source").alias("origin")))
     edges = base.select(*key, "graph_id", F.inline("flows")).withColumns({"src": block_id(g, F.col("src")), "dst": block_id(g, F.col("dst"))})
-    edges = edges.withColumn("id", derived_id("e-", g, F.lit(f"{domain}:flows-to"), F.col("src"), F.col("dst"), F.col("label")))
+    edges = edges.withColumn("id", derived_id("e", g, F.lit(f"{domain}:flows-to"), F.col("src"), F.col("dst"), F.col("label")))
     said = F.create_map(F.lit(f"{domain}:flow"), F.concat(F.lit('"'), "label", F.lit('"')))
     edge = F.to_json(F.struct("graph_id", "id", "src", "dst", F.lit(f"{domain}:flows-to").alias("kind"), said.alias("attrs"), F.lit("source").alias("origin")))
     parts = [op(base, 4, "graph:add", g, g, meta), op(nodes, 6, "node:add", g, F.col("id"), node), op(edges, 9, "edge:add", g, F.col("id"), edge), op(base, 7, "node:detail", F.col("parent"), F.col("node"), g)]
