@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import code, control_flow
+from ..streaming import code_session
 from . import tables
-from .scratch import written
+from .scratch import shared_dir, written
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -182,3 +185,22 @@ def _(spark, d):
     before, after = (code.code_document(written(code.modules(_project(spark, d, moved)), "facts")) for moved in (False, True))
     ops = code.diff_modulo_spans(before, after)
     return ops.groupBy("t", F.when(F.col("t") == "edge:add", F.get_json_object("next", "$.kind")).otherwise(F.get_json_object("next", "$.label")).alias("label")).agg(F.count("*").alias("n"))
+
+
+@registered("code_session", _PROJECT + "SELECT 'node:add' AS t, 'more' AS label, count(*)::BIGINT AS n FROM p WHERE s % 5 = 0 UNION ALL SELECT 'edge:add', 'code:calls', count(*) FROM p WHERE s % 5 = 0 UNION ALL SELECT 'left over', NULL, 0")
+def _(spark, d):
+    """The project streamed as it was, then as it is moved, with old versions that come late: the operations of the second batch, and
+    what its document and a fresh one differ by."""
+    root = f"{shared_dir(spark)}/arborlake/session-{uuid.uuid4().hex}"
+    old, new = (_project(spark, d, moved).select("path", F.lit(2 + moved).cast("long").alias("version"), "text") for moved in (False, True))
+    late = old.withColumns({"version": F.lit(1).cast("long"), "text": F.lit("x = 1\n")})
+    for k, rows in enumerate((old, new.unionByName(late))):
+        rows.coalesce(1).write.parquet(f"{root}/in/{k}")
+    session = code_session.Session(spark, f"{root}/project")
+    changes = spark.readStream.schema(code_session.CHANGES).option("maxFilesPerTrigger", 1).parquet(f"{root}/in/*")
+    session.watch(changes, availableNow=True).awaitTermination()
+    ops = session.operations(session.published()[-1])
+    label = F.when(F.col("t") == "edge:add", F.get_json_object("next", "$.kind")).otherwise(F.get_json_object("next", "$.label"))
+    fresh = code.code_document(written(code.modules(new), "facts"))
+    rest = code.diff_modulo_spans(session.document(), fresh).agg(F.count("*").alias("n")).select(F.lit("left over").alias("t"), F.lit(None).cast("string").alias("label"), "n")
+    return ops.groupBy("t", label.alias("label")).agg(F.count("*").alias("n")).unionByName(rest)
