@@ -36,28 +36,48 @@ def coverage(tree: DataFrame, cut: DataFrame) -> DataFrame:
     return hits.agg(*[F.count_if(c).cast("long").alias(n) for n, c in (("total_leaves", F.lit(True)), ("covered_once", F.col("n") == 1), ("uncovered", F.col("n") == 0), ("covered_twice", F.col("n") > 1))])
 
 
+def effective_overrides(tree: DataFrame, overrides: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """id, override of what counts among overrides (id, kind: pin, expand or collapse), and id, kind, reason of what is ignored: nodes
+    that aren't there (removed) or lie below a pinned one (shadowed). Of several for one node the least kind counts."""
+    marks = overrides.groupBy("id").agg(F.min("kind").alias("kind"))
+    placed = written(marks.join(tree.select("id", "path"), "id", "left"), "overrides")
+    pins = placed.where("kind = 'pin' and path is not null").select(F.col("id").alias("on"))
+    under = placed.select("id", F.explode(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0)))).alias("on")).join(pins, "on", "left_semi").select("id").distinct()
+    there = placed.join(under.withColumn("under", F.lit(True)), "id", "left")
+    ignored = there.withColumn("reason", F.when(F.col("path").isNull(), "removed").when(F.col("under"), "shadowed"))
+    return there.where("path is not null and under is null").select("id", F.col("kind").alias("override")), ignored.where("reason is not null").select("id", "kind", "reason")
+
+
+def _on_the_way(tree: DataFrame, ids: DataFrame, itself: bool) -> DataFrame:
+    """Nodes that lie above the ids, and themselves if so."""
+    path = F.col("path") if itself else F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0)))
+    return tree.join(ids.select("id"), "id", "left_semi").select(F.explode(path).alias("id")).distinct()
+
+
 def override_cut(tree: DataFrame, level: int, overrides: DataFrame, cold: DataFrame | None = None) -> DataFrame:
     """A cut under overrides (id, kind: pin, expand or collapse) and graphs that aren't loaded (cold: graph_id).
 
-    A node stops the descent if it is pinned or collapsed, is a leaf, or its inside is cold; also at the level, unless it is to be
-    expanded, or some pin or expand below needs it open. Overrides below a pin or collapse have no effect: the topmost stop on
-    each path is the member, which needs no recursion.
+    A pin stops the descent. An expanded node is opened, unless it is a leaf or its inside is cold. A collapsed one stops, unless some
+    pin or expand below needs it open. Without an override, a leaf stops (as cold if its inside is, and it is above the level), and any
+    other at the level or below, unless it is needed open: as level there, and as expand-parent below, where only what is around it was
+    opened. Overrides below a pin, and of nodes that aren't there, have no effect (effective_overrides returns them). The topmost stop
+    on each path is the member, which needs no recursion.
     """
-    marks = overrides.groupBy("id").agg(F.min("kind").alias("override"))
+    marks = effective_overrides(tree, overrides)[0]
     t = tree.join(marks, "id", "left")
     if cold is not None:
         t = t.join(cold.select(F.col("graph_id").alias("detail_graph"), F.lit(True).alias("is_cold")).distinct(), "detail_graph", "left")
     else:
         t = t.withColumn("is_cold", F.lit(None).cast("boolean"))
-    opened = t.where("override in ('pin', 'expand')").select(F.explode(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0)))).alias("id")).distinct().withColumn("opens", F.lit(True))
-    t = t.join(opened, "id", "left")
+    opened = _on_the_way(tree, marks.where("override in ('pin', 'expand')"), False).withColumn("opens", F.lit(True))
+    t = t.join(opened, "id", "left").withColumns({"opens": F.coalesce("opens", F.lit(False)), "is_cold": F.coalesce("is_cold", F.lit(False))})
+    kind, leaf = F.col("override"), F.col("is_leaf")
     reason = (
-        F.when(F.col("override") == "pin", "pin")
-        .when(F.col("override") == "collapse", "collapse")
-        .when(F.col("is_leaf"), "leaf")
-        .when(F.coalesce("is_cold", F.lit(False)), "cold")
-        .when((F.col("override") == "expand") | F.coalesce("opens", F.lit(False)), None)
-        .when(F.col("depth") >= level, "level")
+        F.when(kind == "pin", "pin")
+        .when(kind == "expand", F.when(F.col("is_cold"), "cold").when(leaf, "leaf"))
+        .when(kind == "collapse", F.when(leaf | ~F.col("opens"), "collapse"))
+        .when(leaf, F.when(F.col("is_cold") & (F.col("depth") < level), "cold").otherwise("leaf"))
+        .when((F.col("depth") >= level) & ~F.col("opens"), F.when(F.col("depth") == level, "level").otherwise("expand-parent"))
     )
     stops = t.withColumn("reason", reason).where("reason is not null")
     above = stops.select(F.col("id").alias("on"))
@@ -65,13 +85,21 @@ def override_cut(tree: DataFrame, level: int, overrides: DataFrame, cold: DataFr
     return stops.join(shadowed, "id", "left_anti").select("id", "graph_id", "depth", "reason", F.col("leaves").alias("covered_leaves"))
 
 
-def frontier(tree: DataFrame, cut: DataFrame) -> DataFrame:
-    """id, action: members that can be expanded, and parents all of whose children are members, so that they can be collapsed."""
-    members = cut.select("id")
-    expand = tree.where("not is_leaf").join(members, "id", "left_semi").select("id", F.lit("expand").alias("action"))
-    inside = tree.join(members, "id", "left_semi").where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("n"))
-    collapse = tree.join(inside, "id").where("n = children").select("id", F.lit("collapse").alias("action"))
-    return expand.unionByName(collapse)
+def frontier(tree: DataFrame, cut: DataFrame, protected: DataFrame | None = None, cold: DataFrame | None = None) -> DataFrame:
+    """id, action of members: expand (what has an inside, loaded or not), hydrate (its inside is cold) and collapse (all children of its
+    parent are members, and none of them is or holds a protected node)."""
+    members = tree.join(cut.select("id"), "id", "left_semi")
+    is_cold = tree.select("id").limit(0) if cold is None else members.join(cold.select(F.col("graph_id").alias("detail_graph")), "detail_graph", "left_semi").select("id")
+    expand = members.where("not is_leaf").select("id").union(is_cold).distinct()
+    held = members.select("id", "parent").where("parent is not null")
+    inside = held.groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("n"))
+    free = tree.join(inside, "id").where("n = children").select(F.col("id").alias("parent"))
+    if protected is not None:
+        kept = _on_the_way(tree, protected, True)
+        free = free.join(tree.join(kept, "id", "left_semi").select("parent"), "parent", "left_anti")
+    collapse = held.join(free, "parent", "left_semi").select("id")
+    parts = [df.select("id", F.lit(action).alias("action")) for df, action in ((expand, "expand"), (is_cold, "hydrate"), (collapse, "collapse"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def salience(measures: DataFrame, weights: tuple[float, float, float] = (0.5, 0.3, 0.2)) -> DataFrame:
@@ -85,6 +113,21 @@ def salience(measures: DataFrame, weights: tuple[float, float, float] = (0.5, 0.
     return m.select("id", (total / (weights[0] + weights[1] + recent)).alias("salience"))
 
 
+def level_for_zoom(zoom: float, steps: list[float], before: int | None = None, band: float = HYSTERESIS) -> tuple[int, int]:
+    """The level of a zoom after the level before it, and the level without it: see zoom_levels."""
+    nominal = sum(zoom >= t for t in steps)
+    if before is None:
+        return nominal, nominal
+    before = max(0, min(before, len(steps)))
+    if abs(nominal - before) > 1:
+        return nominal, nominal
+    if before < len(steps) and zoom >= steps[before] + band / 2:
+        return before + 1, nominal
+    if before > 0 and zoom < steps[before - 1] - band / 2:
+        return before - 1, nominal
+    return before, nominal
+
+
 def zoom_levels(requests: DataFrame, steps: list[float], band: float = HYSTERESIS) -> DataFrame:
     """session, seq, zoom, level: each session's requests in order. A level changes by more than one at once; else only when the
     zoom is beyond half the band from the threshold. State is one number, so a session streams through."""
@@ -112,7 +155,8 @@ def zoom_levels(requests: DataFrame, steps: list[float], band: float = HYSTERESI
 
 def budget_cut(tree: DataFrame, cut: DataFrame, scores: DataFrame, max_nodes: int, protected: DataFrame | None = None) -> DataFrame:
     """id, depth, reason of a cut of at most max_nodes members where that can be had: parents all of whose children are members are
-    collapsed, the one whose least salient child has the least salience first (ties by id), until the cut is small enough.
+    collapsed, the one whose least salient child has the least salience first (ties by id), until the cut is small enough. Children
+    that are protected (id), or hold such a node, stay.
 
     A parent's turn comes when its own key and those of all parents below it have come up, so turns are in the order of the
     greatest key among them, deeper ones first. Keys are found level by level from below; the turns are then ordered by ranges,
@@ -124,7 +168,7 @@ def budget_cut(tree: DataFrame, cut: DataFrame, scores: DataFrame, max_nodes: in
     kept = members.withColumn("reason", F.lit("kept"))
     if total <= max_nodes:
         return kept.select("id", "depth", "reason")
-    safe = protected.select("id").distinct() if protected is not None else spark.createDataFrame([], "id string")
+    safe = written(_on_the_way(tree, protected, True), "budget-protected") if protected is not None else spark.createDataFrame([], "id string")
     rated = written(scores.select("id", F.coalesce("salience", F.lit(0.0)).alias("salience")), "budget-scores")
     lock = "lock struct<salience: double, id: string>"
     turns = Levels(spark, "budget-turns")
@@ -134,7 +178,7 @@ def budget_cut(tree: DataFrame, cut: DataFrame, scores: DataFrame, max_nodes: in
         here = here.unionByName(below.select("id", "parent", "lock")).where("parent is not null")
         here = here.join(rated, "id", "left").join(safe.withColumn("safe", F.lit(True)), "id", "left")
         inside = here.groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("n"), F.count("safe").alias("held"), F.min(F.coalesce("salience", F.lit(0.0))).alias("least"), F.max("lock").alias("after"))
-        ready = tree.where(F.col("depth") == depth - 1).select("id", "parent", "depth", "children").join(inside, "id").where("n = children and held = 0").join(safe, "id", "left_anti")
+        ready = tree.where(F.col("depth") == depth - 1).select("id", "parent", "depth", "children").join(inside, "id").where("n = children and held = 0")
         own = F.struct(F.col("least").alias("salience"), "id")
         below = turns.add(ready.select("id", "parent", "depth", F.when(F.col("after") > own, F.col("after")).otherwise(own).alias("lock"), (F.col("children") - 1).alias("gain")))
     order = ["lock.salience", "lock.id", F.desc("depth")]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import cut, forest, induced
+from ..operators import cut, forest, induced, resolve
 from . import sql, tables
 from .scratch import written
 
@@ -113,41 +113,87 @@ def _(spark, d):
 
 OVERRIDES = [("n3", "pin"), ("c5", "expand"), ("r1", "collapse"), ("n1", "pin"), ("r4", "expand"), ("nowhere", "pin")]
 
-#: The recursive rule, walked from the roots down: a node is open or it stops here.
-_OVERRIDE_SQL = sql.SPACE + """, marks(id, kind) AS (VALUES ('n3', 'pin'), ('c5', 'expand'), ('r1', 'collapse'), ('n1', 'pin'), ('r4', 'expand')),
+#: The recursive rule, walked from the roots down: a node is open or it stops here. Overrides under a pin don't count.
+_OVERRIDE_SQL = sql.SPACE + """, given(id, kind) AS (VALUES ('n3', 'pin'), ('c5', 'expand'), ('r1', 'collapse'), ('n1', 'pin'), ('r4', 'expand'), ('nowhere', 'pin'){more}),
+under AS (SELECT DISTINCT x.id FROM given x JOIN f USING (id) JOIN given p ON p.kind = 'pin' AND list_contains(f.path, p.id) AND p.id <> x.id),
+marks AS (SELECT id, given.kind FROM given JOIN f USING (id) WHERE id NOT IN (SELECT id FROM under)),
 opened AS (SELECT DISTINCT unnest(list_slice(path, 1, len(path) - 1)) AS id FROM f JOIN marks USING (id) WHERE marks.kind IN ('pin', 'expand')),
+cold AS ({cold}),
 w AS (
-  SELECT f.*, CASE WHEN marks.kind = 'pin' THEN 'pin' WHEN marks.kind = 'collapse' THEN 'collapse' WHEN children = 0 THEN 'leaf' {cold}
-    WHEN marks.kind = 'expand' OR opened.id IS NOT NULL THEN NULL WHEN depth >= 1 THEN 'level' END AS reason
-  FROM f LEFT JOIN marks ON marks.id = f.id LEFT JOIN opened ON opened.id = f.id),
+  SELECT f.*, CASE
+    WHEN marks.kind = 'pin' THEN 'pin'
+    WHEN marks.kind = 'expand' THEN CASE WHEN cold.id IS NOT NULL THEN 'cold' WHEN children = 0 THEN 'leaf' END
+    WHEN marks.kind = 'collapse' THEN CASE WHEN children > 0 AND opened.id IS NOT NULL THEN NULL ELSE 'collapse' END
+    WHEN children = 0 THEN CASE WHEN cold.id IS NOT NULL AND depth < {level} THEN 'cold' ELSE 'leaf' END
+    WHEN depth < {level} OR opened.id IS NOT NULL THEN NULL
+    WHEN depth = {level} THEN 'level' ELSE 'expand-parent' END AS reason
+  FROM f LEFT JOIN marks ON marks.id = f.id LEFT JOIN opened ON opened.id = f.id LEFT JOIN cold ON cold.id = f.detail_graph),
 walk AS (
   SELECT id, detail_graph, graph_id, depth, reason, leaves FROM w WHERE depth = 0
   UNION ALL SELECT w.id, w.detail_graph, w.graph_id, w.depth, w.reason, w.leaves FROM w JOIN walk ON w.graph_id = walk.detail_graph WHERE walk.reason IS NULL),
-members AS (SELECT id, graph_id, depth::BIGINT AS depth, reason, leaves::BIGINT AS covered_leaves FROM walk WHERE reason IS NOT NULL)
+members AS (SELECT id, graph_id, depth::BIGINT AS depth, reason, leaves::BIGINT AS covered_leaves FROM walk WHERE reason IS NOT NULL),
+kept AS (SELECT DISTINCT unnest(path) AS id FROM f JOIN marks USING (id) WHERE marks.kind IN ('pin', 'expand')),
+frontier AS (
+  SELECT members.id, 'expand' AS action FROM members JOIN f USING (id) WHERE children > 0 OR detail_graph IN (SELECT id FROM cold)
+  UNION ALL SELECT members.id, 'hydrate' FROM members JOIN f USING (id) WHERE detail_graph IN (SELECT id FROM cold)
+  UNION ALL SELECT members.id, 'collapse' FROM members JOIN f USING (id) WHERE parent IN (
+    SELECT p.id FROM f p JOIN f c ON c.parent = p.id GROUP BY p.id HAVING bool_and(c.id IN (SELECT id FROM members) AND c.id NOT IN (SELECT id FROM kept))))
 """
+_NOT_LOADED = "SELECT unnest(['gr4', 'gc5']) AS id UNION SELECT 'gc' || c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"
 
 
-@query("cut_overrides", _OVERRIDE_SQL.replace("{cold}", "") + "SELECT * FROM members")
+def _override_sql(level: int, cold: str = "SELECT NULL AS id WHERE false", more: str = "") -> str:
+    return _OVERRIDE_SQL.replace("{level}", str(level)).replace("{cold}", cold).replace("{more}", more)
+
+
+def _not_loaded(spark, d) -> DataFrame:
+    """Two graphs by name, and those of all customers without orders."""
+    named = spark.createDataFrame([("gr4",), ("gc5",)], "graph_id string")
+    orders = tables.table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    empty = tables.table(spark, d, "customer").join(orders, "c_custkey", "left_anti").select(F.concat(F.lit("gc"), F.col("c_custkey").cast("string")).alias("graph_id"))
+    return named.unionByName(empty)
+
+
+@query("cut_overrides", _override_sql(1) + "SELECT * FROM members")
 def _(spark, d):
     marks = spark.createDataFrame(OVERRIDES, "id string, kind string")
     return _named(cut.override_cut(_tree(spark, d), 1, marks), "id", "graph_id", "depth", "reason", "covered_leaves")
 
 
-@query("cut_cold", _OVERRIDE_SQL.replace("{cold}", "WHEN detail_graph IN ('gr4', 'gc5') THEN 'cold'") + "SELECT * FROM members")
+@query("cut_cold", _override_sql(3, _NOT_LOADED) + "SELECT * FROM members")
 def _(spark, d):
     marks = spark.createDataFrame(OVERRIDES, "id string, kind string")
-    cold = spark.createDataFrame([("gr4",), ("gc5",)], "graph_id string")
-    return _named(cut.override_cut(_tree(spark, d), 1, marks, cold), "id", "graph_id", "depth", "reason", "covered_leaves")
+    return _named(cut.override_cut(_tree(spark, d), 3, marks, _not_loaded(spark, d)), "id", "graph_id", "depth", "reason", "covered_leaves")
+
 
+@query("cut_frontier", _override_sql(1) + "SELECT id, action FROM frontier")
+def _(spark, d):
+    tree, marks = written(_tree(spark, d), "tree"), spark.createDataFrame(OVERRIDES, "id string, kind string")
+    held = cut.effective_overrides(tree, marks)[0].where("override <> 'collapse'")
+    return cut.frontier(tree, cut.override_cut(tree, 1, marks), held)
 
+
+@query("ignored_overrides", _override_sql(1, more=", ('n6', 'collapse'), ('n0', 'expand')").replace("'r1', 'collapse'", "'r1', 'pin'") + "SELECT id, kind, CASE WHEN id IN (SELECT id FROM f) THEN 'shadowed' ELSE 'removed' END AS reason FROM given WHERE id IN (SELECT id FROM under) OR id NOT IN (SELECT id FROM f)")
+def _(spark, d):
+    """A region is pinned, so what is said of its nations is ignored."""
+    marks = [("r1", "pin") if m == ("r1", "collapse") else m for m in OVERRIDES] + [("n6", "collapse"), ("n0", "expand")]
+    return cut.effective_overrides(_tree(spark, d), spark.createDataFrame(marks, "id string, kind string"))[1]
+
+
+#: Half-way, four levels begin at quarters; from level 1 the zoom is beyond the band, so it is level 2.
 @query(
-    "cut_frontier",
-    _OVERRIDE_SQL.replace("{cold}", "") + """SELECT members.id, 'expand' AS action FROM members JOIN f USING (id) WHERE children > 0
-UNION ALL SELECT p.id, 'collapse' FROM f p JOIN (SELECT parent, count(*) AS k FROM members JOIN f USING (id) GROUP BY parent) x ON x.parent = p.id WHERE x.k = p.children""",
+    "resolve_lod",
+    _override_sql(2, _NOT_LOADED) + f""", cover AS (SELECT f.id, arg_max(m.id, m.depth) AS member FROM f JOIN members m ON list_contains(f.path, m.id) GROUP BY f.id)
+SELECT 'member' AS what, id, reason AS value FROM members UNION ALL SELECT 'frontier', id, action FROM frontier UNION ALL SELECT 'ignored', id, 'removed' FROM given WHERE id NOT IN (SELECT id FROM f) UNION ALL SELECT 'ignored', id, 'shadowed' FROM under
+UNION ALL SELECT 'edge', a.member, b.member || ' ' || count(*) FROM e JOIN cover a ON a.id = e.src JOIN cover b ON b.id = e.dst WHERE a.member <> b.member GROUP BY a.member, b.member, e.kind""",
 )
 def _(spark, d):
-    tree = _tree(spark, d)
-    return cut.frontier(tree, cut.override_cut(tree, 1, spark.createDataFrame(OVERRIDES, "id string, kind string")))
+    space = tables.space(spark, d)
+    asked = resolve.Request(0.55, spark.createDataFrame(OVERRIDES, "id string, kind string"), _not_loaded(spark, d), level_before=1)
+    found = resolve.resolve(space, asked)
+    row = lambda df, what, value: df.select(F.lit(what).alias("what"), "id", F.col(value).alias("value"))
+    edges = found.edges.select(F.col("src").alias("id"), F.concat_ws(" ", "dst", F.col("multiplicity").cast("string")).alias("value"))
+    return row(found.members, "member", "reason").unionByName(row(found.frontier, "frontier", "action")).unionByName(row(found.ignored, "ignored", "reason")).unionByName(row(edges, "edge", "value"))
 
 
 @query("node_cover", sql.SPACE + f"SELECT id, member FROM {sql.cover(1)}")
@@ -247,13 +293,13 @@ def _(spark, d):
     return _scores(spark, d, _tree(spark, d)).select("id", F.round("salience", 9).alias("salience"))
 
 
-#: Every nation has a turn once its customers are members, but for n7; a region once all its nations had theirs. Turns are in the
+#: Every nation has a turn once its customers are members; a region once all its nations had theirs, but for that of n7, which stays. Turns are in the
 #: order of the greatest key among those that they wait for.
 _BUDGET = _SALIENCE + """, s AS (SELECT id, round((0.5::DOUBLE * (size - a) / (b - a) + 0.3::DOUBLE * (degree - c) / (d - c)) / 0.8::DOUBLE, 9) AS v FROM m, b),
 k AS (SELECT p.id, p.parent, p.depth, p.children, min(s.v) AS least FROM f p JOIN f c ON c.parent = p.id JOIN s ON s.id = c.id WHERE p.depth <= 1 GROUP BY p.id, p.parent, p.depth, p.children),
-one AS (SELECT id, parent, depth, children, {'v': least, 'id': id} AS lock FROM k WHERE depth = 1 AND id <> 'n7'),
+one AS (SELECT id, parent, depth, children, {'v': least, 'id': id} AS lock FROM k WHERE depth = 1 ),
 w AS (SELECT parent AS id, count(*) AS n, max(lock) AS after FROM (SELECT parent, lock FROM one UNION ALL SELECT parent, NULL FROM f WHERE depth = 1 AND children = 0) GROUP BY parent),
-two AS (SELECT k.id, k.parent, k.depth, k.children, greatest({'v': least, 'id': k.id}, after) AS lock FROM k JOIN w ON w.id = k.id WHERE k.depth = 0 AND w.n = k.children),
+two AS (SELECT k.id, k.parent, k.depth, k.children, greatest({'v': least, 'id': k.id}, after) AS lock FROM k JOIN w ON w.id = k.id WHERE k.depth = 0 AND w.n = k.children AND k.id NOT IN (SELECT parent FROM f WHERE id = 'n7')),
 turns AS (SELECT id, parent, depth, lock, children - 1 AS gain FROM one UNION ALL SELECT id, parent, depth, lock, children - 1 FROM two),
 o AS (SELECT *, coalesce(sum(gain) OVER (ORDER BY lock, depth DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone FROM turns),
 st AS (SELECT id, parent, depth FROM f WHERE depth = 2 OR depth < 2 AND children = 0),
