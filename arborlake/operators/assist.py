@@ -66,12 +66,15 @@ def greedy_match(scores: DataFrame, least: float = 0.4) -> DataFrame:
 
 
 def back_edge_ratio(edges: DataFrame) -> DataFrame:
-    """graph_id, ratio: share of edges that a depth-first search in the order of ids finds leading back to an open node. The order
-    of a search is sequential, so each graph's edges are read by one task."""
+    """graph_id, ratio: share of edges that a depth-first search in the order of ids finds leading back to an open node; loops count
+    neither way, and a graph without other edges has 0. The order of a search is sequential, so each graph's edges are read by one
+    task: meant for the edges of a cut, of which there are few (distinct pairs, with their numbers, are all that is sent)."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        graph, rows = rows["graph_id"].iloc[0], rows[rows["src"] != rows["dst"]]
         out: dict[str, list[str]] = {}
-        for a, b in sorted(zip(rows["src"], rows["dst"], strict=True)):
+        times = {(a, b): n for a, b, n in zip(rows["src"], rows["dst"], rows["n"], strict=True)}
+        for a, b in sorted(times):
             out.setdefault(a, []).append(b)
         state: dict[str, int] = {}
         back = 0
@@ -84,7 +87,7 @@ def back_edge_ratio(edges: DataFrame) -> DataFrame:
                 node, rest = stack[-1]
                 for to in rest:
                     if state.get(to) == 1:
-                        back += 1
+                        back += times[node, to]
                     elif to not in state:
                         state[to] = 1
                         stack.append((to, iter(out.get(to, []))))
@@ -92,9 +95,10 @@ def back_edge_ratio(edges: DataFrame) -> DataFrame:
                 else:
                     state[node] = 2
                     stack.pop()
-        return pd.DataFrame([(rows["graph_id"].iloc[0], back / len(rows))], columns=["graph_id", "ratio"])
+        return pd.DataFrame([(graph, back / total if (total := sum(times.values())) else 0.0)], columns=["graph_id", "ratio"])
 
-    return edges.select("graph_id", "src", "dst").groupBy("graph_id").applyInPandas(run, "graph_id string, ratio double")
+    pairs = edges.groupBy("graph_id", "src", "dst").agg(F.count("*").alias("n"))
+    return pairs.groupBy("graph_id").applyInPandas(run, "graph_id string, ratio double")
 
 
 def layout_choice(shape: DataFrame) -> DataFrame:

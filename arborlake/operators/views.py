@@ -42,12 +42,20 @@ def weighted_degree(induced: DataFrame) -> DataFrame:
 
 
 def matrix_order(members: DataFrame, induced: DataFrame) -> DataFrame:
-    """id, cluster, place of a matrix's rows (members: id, parent): clusters are the parents, by their least id; members without
-    an edge come last; within a cluster the heaviest come first."""
-    rows = members.join(weighted_degree(induced), "id", "left").withColumn("alone", F.col("degree").isNull())
-    cluster = F.when(F.col("alone"), F.lit("~")).otherwise(F.coalesce("parent", F.lit("")))
-    rows = rows.withColumn("cluster", cluster)
-    return rows.select("id", "cluster", (F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc_nulls_last("degree"), "id")) - 1).cast("long").alias("place"))
+    """id, cluster, place of a matrix's rows (members: id, parent; edges between them). If there is more than one parent, the clusters are
+    the parents (those without one: an empty name), and members without an edge are in them too. Else the clusters are what the edges
+    connect, by the least id, and members without an edge come last, as "~". Within a cluster the heaviest come first, then by id."""
+    from .shape import components
+
+    ends = [members.select(F.col("id").alias(c)) for c in ("src", "dst")]
+    inner = induced.join(ends[0], "src", "left_semi").join(ends[1], "dst", "left_semi")
+    rows = members.select("id", F.coalesce("parent", F.lit("")).alias("parent")).join(weighted_degree(inner), "id", "left")
+    if members.select("parent").distinct().limit(2).count() > 1:
+        rows = rows.withColumn("cluster", F.col("parent"))
+    else:
+        rows = rows.join(components(inner.select("src", "dst")), "id", "left").withColumn("cluster", F.coalesce("component", F.lit("~")))
+    order = Window.partitionBy("cluster").orderBy(F.desc(F.coalesce("degree", F.lit(0.0))), "id")
+    return rows.select("id", "cluster", (F.row_number().over(order) - 1).cast("long").alias("place"))
 
 
 def timeline(events: DataFrame) -> DataFrame:

@@ -272,14 +272,47 @@ def _(spark, d):
 @registered(
     "matrix_order",
     sql.SPACE + f""", i AS (SELECT * FROM {sql.induced(1)}), w AS (SELECT id, sum(weight) AS degree FROM (SELECT src AS id, weight FROM i UNION ALL SELECT dst, weight FROM i) GROUP BY 1),
-m AS (SELECT f.id, CASE WHEN w.id IS NULL THEN '~' ELSE f.parent END AS cluster, degree FROM f LEFT JOIN w USING (id) WHERE depth = 1)
-SELECT id, cluster, row_number() OVER (PARTITION BY cluster ORDER BY degree DESC NULLS LAST, id) - 1 AS place FROM m""",
+m AS (SELECT f.id, f.parent AS cluster, coalesce(degree, 0) AS degree FROM f LEFT JOIN w USING (id) WHERE depth = 1)
+SELECT id, cluster, row_number() OVER (PARTITION BY cluster ORDER BY degree DESC, id) - 1 AS place FROM m""",
 )
 def _(spark, d):
     _, members, edges = _at_nations(spark, d)
     return views.matrix_order(members, edges)
 
 
+@registered(
+    "matrix_order_flat",
+    """WITH RECURSIVE m AS (SELECT DISTINCT 'o' || o_orderkey AS id FROM orders), i AS (SELECT 'o' || o_orderkey AS src, 'o' || nxt AS dst, o_custkey FROM (SELECT *, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS nxt FROM orders) WHERE nxt IS NOT NULL),
+w AS (SELECT id, count(*) AS degree, any_value(o_custkey) AS c FROM (SELECT src AS id, o_custkey FROM i UNION ALL SELECT dst, o_custkey FROM i) GROUP BY 1),
+k AS (SELECT m.id, coalesce(min(m.id) FILTER (WHERE w.c IS NOT NULL) OVER (PARTITION BY w.c), '~') AS cluster, coalesce(degree, 0) AS degree FROM m LEFT JOIN w USING (id))
+SELECT id, cluster, row_number() OVER (PARTITION BY cluster ORDER BY degree DESC, id) - 1 AS place FROM k""",
+)
+def _(spark, d):
+    """All orders as one flat cut: what follows each other belongs together."""
+    edges = tables.precedes(spark, d).select("src", "dst", "kind", F.lit(1.0).alias("weight"))
+    members = tables.table(spark, d, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"), F.lit(None).cast("string").alias("parent"))
+    return views.matrix_order(members, edges)
+
+
+@registered("chat_trees", "SELECT conv_id::VARCHAR AS conversation, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, 'm' || lpad(turn::VARCHAR, 6, '0') AS id, coalesce(text, '') AS text FROM conversations")
+def _(spark, d):
+    """Conversations as exported trees: whole chains (0), chains whose second message has lost its parent (1), and rings (2)."""
+    from ..sources import exports
+
+    t = tables.table(spark, d, "conversations").select("conv_id", "turn", F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    key = lambda c: F.concat(F.lit("m"), F.lpad(c.cast("string"), 6, "0"))
+    order, every = Window.partitionBy("conv_id").orderBy("turn"), Window.partitionBy("conv_id")
+    way, nth = F.col("conv_id") % 3, F.row_number().over(order)
+    t = t.select("*", way.alias("way"), nth.alias("nth"), F.lag(key(F.col("turn"))).over(order).alias("before"), F.lead(key(F.col("turn"))).over(order).alias("after"), F.max(key(F.col("turn"))).over(every).alias("last"))
+    parent = F.when((F.col("way") == 1) & (F.col("nth") == 2), F.lit("lost")).when((F.col("way") == 2) & (F.col("nth") == 1), F.col("last")).otherwise(F.col("before"))
+    cut = (F.col("way") == 1) & (F.col("nth") == 1)
+    message = F.struct(F.struct("role").alias("author"), F.struct(F.array("text").alias("parts")).alias("content"))
+    entry = F.struct(key(F.col("turn")).alias("key"), F.struct(key(F.col("turn")).alias("id"), parent.alias("parent"), F.when(cut | F.col("after").isNull(), F.array().cast("array<string>")).otherwise(F.array("after")).alias("children"), message.alias("message")).alias("value"))
+    tree = t.groupBy("conv_id").agg(F.map_from_entries(F.collect_list(entry)).alias("mapping"))
+    texts = tree.select(F.col("conv_id").alias("doc"), F.to_json(F.struct(F.col("conv_id").cast("string").alias("conversation_id"), "mapping")).alias("text"))
+    return exports.chat_messages(texts).select("conversation", "place", "id", "text")
+
+
 @registered("view_suitability", sql.SPACE + f", i AS (SELECT count(*) AS m FROM {sql.induced(1)}), k AS (SELECT count(*) AS n FROM f WHERE depth = 1) SELECT 'map' AS view, 0.5::DOUBLE AS score UNION ALL SELECT 'matrix', round(least(1.0::DOUBLE, m::DOUBLE / (n * (n - 1))), 9) FROM i, k UNION ALL SELECT 'outline', 0.6::DOUBLE UNION ALL SELECT 'timeline', 0.0::DOUBLE")
 def _(spark, d):
     _, members, edges = _at_nations(spark, d)

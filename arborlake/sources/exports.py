@@ -31,18 +31,19 @@ def media_type(path, head):
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def preorder(keys: pd.Series, parents: pd.Series, children: pd.Series) -> pd.Series:
-    """Parents first, children in their order, roots by key; what can't be reached from a root is left out, and nothing comes twice."""
+    """Parents first, children in their order. Roots, by key, are those without a parent or with one that isn't there; what no root
+    reaches comes last, by key. Nothing comes twice."""
 
     def walk(keys: list, parents: list, children: list) -> list[str]:
         below = dict(zip(keys, children, strict=True))
-        stack, out = sorted((k for k, p in zip(keys, parents, strict=True) if p is None), reverse=True), []
+        stack, out = sorted((k for k, p in zip(keys, parents, strict=True) if p not in below), reverse=True), []
         while stack:
             key = stack.pop()
             if key in below:
                 out.append(key)
                 kids = below.pop(key)
                 stack += list(kids if kids is not None else [])[::-1]
-        return out
+        return out + sorted(below)
 
     return pd.Series([walk(*x) for x in zip(keys, parents, children, strict=True)], dtype=object)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -23,25 +24,39 @@ def stage(stream: DataFrame, store: Store, checkpoint: str, check: Callable[[Dat
     """Writes all operations of a bounded stream into a staging table, checks the whole (check returns issues), and only then
     publishes a checkpoint that holds them. Returns the version; raises, and publishes nothing, if there is an issue.
 
-    Batches are written by number, so one that runs again after a lost executor replaces itself.
+    The staging table belongs to the stream's own checkpoint: a run that broke off goes on with what it staged, and no other run sees
+    it. It is removed once it is published or refused. Batches are written by number, so one that runs again after a lost executor
+    replaces itself. Deltas must follow the store's last one by number, without gaps, at one site; else the whole is refused. A stream
+    without operations publishes nothing.
     """
     from ..operators import delta
 
-    staged = f"{store.root}/staging"
+    spark = store.spark
+    staged = f"{store.root}/staging/{hashlib.sha256(checkpoint.rstrip('/').encode()).hexdigest()[:32]}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(staged)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{staged}/batch={number}")
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    ops = store.spark.read.schema(LOG + ", batch int").parquet(staged)
-    space = store.open()
-    space = delta.apply(space, delta.net(ops))
-    if check is not None:
-        issues = check(space)
-        found = issues.take(1)
-        if found:
-            raise ValueError(f"nothing was published: {found[0]}")
-    return store.checkpoint(space)
+    if not files.exists(path):
+        return store.version()
+    try:
+        ops = spark.read.schema(LOG + ", batch int").parquet(staged)
+        counters = ops.agg(F.min("counter"), F.max("counter"), F.countDistinct("counter"), F.countDistinct("site")).first()
+        if counters[0] is None:
+            return store.version()
+        if counters[0] != store.last_counter() + 1 or counters[1] - counters[0] + 1 != counters[2] or counters[3] > 1:
+            raise ValueError(f"nothing was published: deltas {counters[0]} to {counters[1]} don't follow {store.last_counter()}")
+        space = delta.apply(store.open(), delta.net(ops))
+        if check is not None:
+            found = check(space).take(1)
+            if found:
+                raise ValueError(f"nothing was published: {found[0]}")
+        return store.checkpoint(space, counters[1])
+    finally:
+        files.delete(path, True)
 
 
 def change_feed(stream: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from arborlake.functions import geometry as g
 from arborlake.model import Space
-from arborlake.operators import assist, delta, proposals
+from arborlake.operators import assist, delta, proposals, views
 from arborlake.sources import exports
 
 
@@ -58,6 +58,8 @@ def test_greedy_match_labels_and_back_edges(spark):
     assert {r["id"] for r in assist.label_plan(items).collect()} == {"b", "c"}
     edges = spark.createDataFrame([("g", "a", "b"), ("g", "b", "c"), ("g", "c", "a"), ("g", "a", "c")], "graph_id string, src string, dst string")
     assert assist.back_edge_ratio(edges).first()["ratio"] == 0.25
+    loops = spark.createDataFrame([("g", "a", "a"), ("g", "a", "b"), ("h", "c", "c"), ("k", "a", "b"), ("k", "b", "a"), ("k", "b", "a"), ("k", "b", "b")], "graph_id string, src string, dst string")
+    assert {r["graph_id"]: r["ratio"] for r in assist.back_edge_ratio(loops).collect()} == {"g": 0.0, "h": 0.0, "k": 2 / 3}
     shape = spark.createDataFrame([("a", 5, 0, 5, 0.0, 0.0), ("b", 5, 3, 2, 0.5, 1.2), ("c", 5, 4, 2, 0.0, 1.6), ("d", 5, 8, 1, 0.5, 3.2), ("e", 9000, 8999, 1, 0.0, 2.0), ("f", 1, 1, 1, 0.0, 2.0)], "graph_id string, nodes int, edges int, components int, back double, degree double")
     assert {r["graph_id"]: r["provider"] for r in assist.layout_choice(shape).collect()} == {"a": "grid", "b": "tree", "c": "layered", "d": "force", "e": "tree", "f": "grid"}
 
@@ -72,3 +74,20 @@ def test_arithmetic(spark):
     state = {"a b": "é&=", "z": "1"}
     assert g.decode_state("#" + g.encode_state(state)) == state
     assert g.satisfies("1.4.0", "^1.2.3") and not g.satisfies("2.0.0", "^1.2.3") and g.satisfies("0.2.9", "~0.2.3") and not g.satisfies("0.3.0", "^0.2.3")
+
+
+def test_detached_messages_are_kept(spark):
+    node = lambda parent, *children: {"id": "", "parent": parent, "children": list(children), "message": {"author": {"role": "user"}, "content": {"parts": ["t"]}}}
+    mapping = {"a": node(None, "b"), "b": node("a"), "c": node("lost"), "x": node("y", "y"), "y": node("x", "x")}
+    rows = exports.chat_messages(spark.createDataFrame([("d", json.dumps({"conversation_id": "k", "mapping": mapping}))], "doc string, text string")).collect()
+    assert [r["id"] for r in sorted(rows, key=lambda r: r["place"])] == ["a", "b", "c", "x", "y"]
+
+
+def test_matrix_clusters(spark):
+    edges = spark.createDataFrame([("a", "b", "k", 2.0), ("b", "c", "k", 1.0), ("d", "e", "k", 9.0), ("a", "z", "k", 99.0)], "src string, dst string, kind string, weight double")
+    members = lambda parents: spark.createDataFrame(list(parents.items()), "id string, parent string")
+    got = lambda df: {r["id"]: (r["cluster"], r["place"]) for r in df.collect()}
+    flat = views.matrix_order(members(dict.fromkeys("abcdef", "p")), edges)
+    assert got(flat) == {"a": ("a", 1), "b": ("a", 0), "c": ("a", 2), "d": ("d", 0), "e": ("d", 1), "f": ("~", 0)}
+    nested = views.matrix_order(members({"a": "p", "b": "p", "f": "p", "c": None}), edges)
+    assert got(nested) == {"b": ("p", 0), "a": ("p", 1), "f": ("p", 2), "c": ("", 0)}

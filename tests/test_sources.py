@@ -83,10 +83,32 @@ def test_staged_stream_publishes_all_or_nothing(spark, tmp_path):
     with pytest.raises(ValueError, match="nothing was published"):
         deltas.stage(stream, source, f"{tmp_path}/c1", lambda space: space.nodes.where("label = 'e'"))
     assert source.version() == 0
-    assert deltas.stage(deltas.read_log(spark, f"{s.root}/log"), source, f"{tmp_path}/c2") == 1
+    assert deltas.stage(deltas.read_log(spark, f"{s.root}/log"), source, f"{tmp_path}/c2") == 2
     assert delta.diff(source.open(), small(spark, "abcde")).count() == 0
 
 
+def test_what_one_run_refused_another_does_not_publish(spark, tmp_path):
+    a = small(spark, "a")
+    bad, good, far = (store.Store(spark, f"file://{tmp_path}/{k}") for k in ("bad", "good", "far"))
+    for s, names in ((bad, ["ax", "axy"]), (good, ["ag"]), (far, ["af"])):
+        s.checkpoint(a)
+        before = a
+        for k, labels in enumerate(names, 1):
+            after = small(spark, labels)
+            s.append(delta.diff(before, after), k)
+            before = after
+    source = store.Store(spark, f"file://{tmp_path}/t")
+    source.checkpoint(a)
+    with pytest.raises(ValueError, match="nothing was published"):
+        deltas.stage(deltas.read_log(spark, f"{bad.root}/log", 1), source, f"{tmp_path}/c1", lambda space: space.nodes.where("label = 'y'"))
+    assert deltas.stage(deltas.read_log(spark, f"{bad.root}/log", 1), source, f"{tmp_path}/c1") == 0  # nothing is left of it
+    assert deltas.stage(deltas.read_log(spark, f"{good.root}/log"), source, f"{tmp_path}/c2") == 1
+    assert sorted(r["label"] for r in source.open().nodes.collect()) == sorted(r["label"] for r in small(spark, "ag").nodes.collect())
+    with pytest.raises(ValueError, match="don't follow"):
+        deltas.stage(deltas.read_log(spark, f"{far.root}/log"), source, f"{tmp_path}/c3")
+    assert source.version() == 1
+
+
 def test_guard_accepts_the_next_number_only(spark, tmp_path):
     spark.createDataFrame([("a", 0), ("a", 1), ("a", 3), ("b", 1)], "site string, counter long").coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema("site string, counter long").parquet(f"{tmp_path}/in")
