@@ -36,8 +36,12 @@ ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|U([0-9A-Fa-f]{8})
 #: Base64 in each alphabet: a line of it, and a shorter last line.
 BASE64 = [(re.compile(r"[A-Za-z0-9+/]{16,}={0,2}"), re.compile(r"([A-Za-z0-9+/]{1,15}={0,2})")), (re.compile(r"[A-Za-z0-9_-]{16,}={0,2}"), re.compile(r"([A-Za-z0-9_-]{1,15}={0,2})"))]
 BREAK = re.compile(r"[ \t]*\r?\n[ \t]*")
-#: A compressed layer is unpacked and scanned so many bytes at a time, with so many characters of the piece before.
-LEAST_SHARE_TEXT, PIECE, OVERLAP = 0.95, 16 << 20, 1 << 20
+#: A compressed layer is unpacked and scanned about so many bytes at a time, cut where no match and no encoded stretch can cross: at a
+#: single space between characters that can't belong to an assignment around it. What has no such place is carried on whole.
+PIECE, CUT = 16 << 20, re.compile(r"""(?<=[^\s:="'])\x20(?=[^\s:="'])""")
+#: Decoded bytes are read as UTF-8, and where at least a quarter of them are zero, in both orders of UTF-16 too; what can't be read is
+#: replaced, never dropped.
+CODECS, WIDE = ("utf-8", "utf-16-le", "utf-16-be"), 4
 REDACTED = "[REDACTED]"
 
 SCHEMA = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, layers int"
@@ -52,10 +56,6 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def _shown(text: str) -> bool:
-    return bool(text) and sum(c.isprintable() or c in "\n\r\t" for c in text) >= LEAST_SHARE_TEXT * len(text)
-
-
 def _packed(raw: bytes) -> bool:
     return raw[:2] == b"\x1f\x8b" or (raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0)
 
@@ -76,33 +76,34 @@ def _unpacked(raw: bytes) -> Iterator[bytes]:
         return
 
 
+def _readings(raw: bytes) -> tuple[str, ...]:
+    return CODECS if raw.count(0) * WIDE >= len(raw) > 0 else CODECS[:1]
+
+
+def _cut(text: str) -> int:
+    """The last place where nothing that is looked for can cross; 0 if there is none."""
+    for back in (1 << 12, 1 << 16, 1 << 20, len(text)):
+        found = list(CUT.finditer(text, max(0, len(text) - back)))
+        if found:
+            return found[-1].start()
+    return 0
+
+
 def _texts(raw: bytes) -> Iterator[str]:
-    """The readable texts of decoded bytes: one, or the overlapping pieces of a large compressed one."""
-    if not _packed(raw):
-        try:
-            text = raw.decode("utf-8")
-        except UnicodeDecodeError:
-            return
-        if _shown(text):
-            yield text
-        return
-    reader, before, plain = codecs.getincrementaldecoder("utf-8")(), "", True
-    try:
-        for piece in _unpacked(raw):
-            plain = False
-            text = reader.decode(piece)
-            if _shown(text):
-                yield before + text
-            before = text[-OVERLAP:]
-    except UnicodeDecodeError:
-        return
-    if plain:  # it only looked compressed
-        try:
-            text = raw.decode("utf-8")
-        except UnicodeDecodeError:
-            return
-        if _shown(text):
-            yield text
+    """The texts that decoded bytes may be: whole, or the parts of a large compressed one, cut where nothing crosses."""
+    plain, held, readers = True, dict.fromkeys(CODECS, ""), {c: codecs.getincrementaldecoder(c)("replace") for c in CODECS}
+    for piece in _unpacked(raw) if _packed(raw) else ():
+        plain = False
+        for codec in _readings(piece):
+            text = held[codec] + readers[codec].decode(piece)
+            k = _cut(text)
+            held[codec] = text[k:]
+            if k:
+                yield text[:k]
+    yield from filter(None, held.values())
+    if plain:  # it isn't compressed, or only looked so
+        for codec in _readings(raw):
+            yield raw.decode(codec, "replace")
 
 
 def _percent(part: str) -> tuple[str, list[int]]:
@@ -257,7 +258,8 @@ def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """id_col, the digest columns of SCHEMA and no others, for every row; a null text counts as an empty one.
 
     Base spans are those in the text itself; spans holds these and the ones found in decoded layers, on the original text.
-    Texts are independent of each other, so there is no shuffle; repeated rows each get their row.
+    Texts are independent of each other, so there is no shuffle; repeated rows each get their row. An empty table gives no rows. A very
+    long text is one row's work in one task; nothing bounds how far compressed data inside it unfolds, but it is held a piece at a time.
     """
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
@@ -271,7 +273,10 @@ def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def redact_documents(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
-    """All documents with all their columns; secrets in the text are replaced, and chars_col, if there, counts anew."""
+    """All documents with all their columns; secrets in the text are replaced, and chars_col, if there, counts anew.
+
+    Null and empty texts stay, repeated rows are each kept, and an empty table gives an empty one.
+    """
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:

@@ -6,6 +6,8 @@ import time
 import urllib.parse
 import zlib
 
+import pytest
+
 from arborlake.llm import secret_scan as s
 
 SECRET = "password = hunter2hunter2"
@@ -113,7 +115,59 @@ def test_layers_wrapped_over_lines():
 
 def test_all_of_a_large_or_split_compressed_layer(monkeypatch):
     monkeypatch.setattr(s, "PIECE", 1000)
-    monkeypatch.setattr(s, "OVERLAP", 100)
     for raw in (gzip.compress(b"word " * 1998 + SECRET.encode()), gzip.compress(b"first member") + gzip.compress(SECRET.encode())):
         one = base64.b64encode(raw).decode()
         assert one not in s.redact(f"see {one} end")
+
+
+HIDDEN = "password=hunter2secret"
+
+
+@pytest.mark.parametrize(
+    "raw",
+    [
+        b"\x01\x02\x03\x04\x05\x06 " + HIDDEN.encode(),
+        b"\xff\xfe\x00" + HIDDEN.encode(),
+        HIDDEN.encode("utf-16"),
+        HIDDEN.encode("utf-16-be"),
+        gzip.compress(b"\x01" * 10 + HIDDEN.encode()),
+        gzip.compress(b"ok \xff\xff " + HIDDEN.encode() + b" \x80 ok"),
+        zlib.compress(HIDDEN.encode("utf-16")),
+        b"\x02\x03" * 20 + base64.b64encode(HIDDEN.encode()) + b"\xf0\xf1",
+    ],
+)
+def test_no_layer_is_dropped_for_its_characters(raw):
+    text = "so " + base64.b64encode(raw).decode() + " it is"
+    spans = s.scan_layers(text)[1]
+    assert (3, 0, len(text) - 6) in spans
+    assert HIDDEN not in s.redact(text) and base64.b64encode(raw).decode() not in s.redact(text)
+
+
+def test_what_lies_across_pieces_is_seen(monkeypatch):
+    monkeypatch.setattr(s, "PIECE", 64)
+    rng = random.Random(3)
+    for k in range(40):
+        value = "x" * rng.randrange(6, 300)
+        inner = " ".join("word" * rng.randrange(1, 9) for _ in range(rng.randrange(0, 40))) + f" token{' ' * rng.randrange(0, 90)}={' ' * rng.randrange(0, 90)}{value} end"
+        if k % 2:
+            inner = "a b " + base64.b64encode(inner.encode()).decode() + " c d"
+        text = base64.b64encode(zlib.compress(inner.encode())).decode()
+        assert [(a, kind, b) for a, kind, b in s.scan_layers(text)[1] if kind == 0] == [(0, 0, len(text))], k
+
+
+def plain_layers(text, depth=0):
+    """All contents below a text, by following every stretch of unwrap() without memory, and what is found in them."""
+    found = set(s.scan(text))
+    for start, end, decoded, places in s.unwrap(text) if depth < 6 else ():
+        found |= s._onto(plain_layers(decoded, depth + 1), start, end, places)
+    return found
+
+
+def test_equals_a_plain_fixpoint():
+    rng = random.Random(9)
+    wraps = [lambda t: base64.b64encode(t.encode()).decode(), lambda t: "".join(f"%{b:02x}" for b in t.encode()), lambda t: "".join(f"\\u{ord(c):04x}" for c in t), lambda t: base64.urlsafe_b64encode(zlib.compress(t.encode())).decode(), lambda t: base64.b64encode(t.encode("utf-16")).decode()]
+    for _ in range(60):
+        text = rng.choice(["api_key: abcdef12", "AKIA" + "Z9" * 9, "0123456789abcdef" * 2, "nothing here"])
+        for _ in range(rng.randrange(0, 4)):
+            text = rng.choice(["", "x y ", "é\n"]) + rng.choice(wraps)(text) + rng.choice(["", " z", "\ttail"])
+        assert set(s.scan_layers(text)[1]) == plain_layers(text)
