@@ -92,7 +92,8 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     Null URLs and such without :// have empty host and path, fit no rule and are judged by the trees on the features of an
     empty or host-less URL. If the rules label no row, everything else is allowed; if they label rows of one verdict only,
     everything else gets that one. Suffix statistics cover all labelled rows; the trees are fitted to at most about
-    train_rows of them, picked by a hash of id and URL. Repeated rows each get their row; other columns are not returned.
+    train_rows of them, and at least one of each verdict, picked by a hash of id and URL. Repeated rows each get their row; other
+    columns are not returned; an empty table gives no rows.
     """
     host, path = parts(F.col("_url"))
     base = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url")).withColumn("host", host).withColumn("path", path)
@@ -101,14 +102,18 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     base = base.withColumn("_fold", F.pmod(F.xxhash64("_id", "_url"), F.lit(FOLDS)))
     rows = written(_with_rates(_with_rates(lexical(base), "_suffix", "suffix"), "_segment", "segment").select("_id", "_url", "host", "path", "rule", "_verdict", "_label", *FEATURES), "url-features")
     labelled = rows.where(F.col("_label").isNotNull())
-    seen = {r["_label"]: r["n"] for r in labelled.groupBy("_label").agg(F.count("*").alias("n")).collect()}
+    place = F.pmod(F.xxhash64("_id", "_url"), F.lit(1 << 62))
+    found = labelled.groupBy("_label").agg(F.count("*").alias("n"), F.min(place).alias("first")).collect()
+    seen = {r["_label"]: r["n"] for r in found}
     out = [F.col("_id").alias(id_col), "host", "path", "rule"]
     if len(seen) < 2:
         only = "block" if 1.0 in seen else "allow"
         return rows.select(*out, F.coalesce("_verdict", F.lit(only)).alias("verdict"), F.lit(None).cast("double").alias("block_score"))
     share = min(1.0, train_rows / sum(seen.values()))
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="_features", handleInvalid="keep")
-    sample = labelled.where(F.pmod(F.xxhash64("_id", "_url"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    # Each verdict has its first row in the sample, however small its share is.
+    firsts = [(F.col("_label") == r["_label"]) & (place == r["first"]) for r in found]
+    sample = labelled.where((place < F.lit(int(share * (1 << 62)))) | firsts[0] | firsts[1])
     model = GBTClassifier(featuresCol="_features", labelCol="_label", maxIter=TREES, maxDepth=DEPTH, seed=1).fit(assembler.transform(sample))
     scored = model.transform(assembler.transform(rows)).withColumn("_p", vector_to_array("probability")[1])
     return scored.select(*out, F.coalesce("_verdict", F.when(F.col("_p") >= 0.5, "block").otherwise("allow")).alias("verdict"), F.when(F.col("_verdict").isNull(), F.col("_p")).alias("block_score"))

@@ -79,3 +79,11 @@ def test_trees_judge_suffixes_that_no_rule_knows(spark):
     got = {r["page_id"]: r["verdict"] for r in u.filter_urls(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")).collect()}
     right = sum(got[k] == "allow" for k in range(600, 660)) + sum(got[k] == "block" for k in range(660, 720))
     assert right >= 108
+
+
+def test_a_small_sample_has_both_verdicts(spark):
+    rows = [(i, f"http://a{i}.com/x") for i in range(40)] + [(100, "http://x.net/es/1"), (100, "http://x.net/es/1"), (200, "http://other.org/" + "y" * 20000)]
+    frame = spark.createDataFrame([(*r, "k", 1.0) for r in rows], "page_id long, url string, host string, _label double")
+    got = u.filter_urls(frame, train_rows=0).collect()
+    assert len(got) == len(rows) and all(r["verdict"] in ("allow", "block") for r in got)
+    assert [r["verdict"] for r in got if r["page_id"] == 100] == ["block", "block"]
