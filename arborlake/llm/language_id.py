@@ -141,7 +141,10 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
             yield pd.DataFrame({"lang_pred": said, "score": scores})
 
     guess = F.pandas_udf(run, "lang_pred string, score double")
-    return docs.withColumn(GUESS, guess(F.col(text_col))).select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"{GUESS}.lang_pred").alias("lang_pred"), F.col(f"{GUESS}.score").alias("score"))
+    held = GUESS
+    while held in docs.columns:
+        held += "_"
+    return docs.withColumn(held, guess(F.col(text_col))).select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"{held}.lang_pred").alias("lang_pred"), F.col(f"{held}.score").alias("score"))
 
 
 def fold(id_col: str = "doc_id"):
@@ -163,7 +166,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The documents, with all their columns, whose text is in one of the learned languages.
 
-    Rejected are texts without a letter (or null), and those whose best cosine is below what is asked at their length.
+    Rejected are texts without a letter (or null), and those whose best cosine is below what is asked at their length: nothing up to FEW
+    characters, and LEAST_COSINE in the end. Repeated rows are each judged; an empty table gives an empty one.
     """
     prototypes = learn(docs.where(fold(id_col) != 1), text_col, lang_col)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))

@@ -82,3 +82,9 @@ def test_what_is_asked_grows_with_length(spark):
     rows = [(i, text("aeioulmn", 60), "aa") for i in range(30)] + [(100, "ae", "aa"), (101, "12 34", "aa"), (102, None, "aa"), (103, text("qxyw", 300), None), (104, text("aeioulmn", 1), None)]
     kept = {r["doc_id"] for r in l.known_language(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert kept == {*range(30), 100, 104}
+
+
+def test_a_column_of_the_inner_name_stays(spark):
+    frame = spark.createDataFrame([(1, "hello there", "mine"), (2, None, "too")], f"doc_id long, text string, {l.GUESS} string")
+    got = l.predict(frame, {"en": np.ones(l.DIM) / np.sqrt(l.DIM)}).collect()
+    assert {r[l.GUESS] for r in got} == {"mine", "too"} and {r["lang_pred"] for r in got} == {"en", l.UNKNOWN}
