@@ -177,6 +177,11 @@ def covariance_estimates(vectors: DataFrame) -> DataFrame:
     return _moments(kept.withColumn("start", F.lit(0))).drop("start")
 
 
+def _key(c: str) -> Column:
+    """A value as a key that tells null from the empty string."""
+    return F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+
+
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """Statistics and verdict of each document.
 
@@ -187,7 +192,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     all rows. Null languages and sources are groups of their own. Null and empty texts have no words and fail. Repeated rows
     each get their row; other columns are not returned. An empty table gives no rows.
     """
-    stats = text_statistics(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.coalesce(F.col(lang_col), F.lit("")).alias("_lang"), F.coalesce(F.col(source_col), F.lit("")).alias("_source")), "_text")
+    stats = text_statistics(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), _key(lang_col).alias("_lang"), _key(source_col).alias("_source")), "_text")
     failed = (F.col("_words") < 10) | (100 * F.col("_repeat_words") > 20 * F.col("_words"))
     percent = lambda a, b: F.log1p(100.0 * F.col(a) / F.greatest(F.col(b), F.lit(1)))
     plain = written(

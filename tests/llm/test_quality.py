@@ -135,3 +135,26 @@ def test_main_path_is_native(spark):
     frame = spark.createDataFrame(made(50), "doc_id long, text string, lang string, source string")
     plan = quality.quality_rules(frame)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_null_and_empty_groups_are_told_apart(spark):
+    """Texts of one language have many symbols; only against texts of the other they stand out."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(rng.randrange(3, 9)))
+    rows = [(i, " ".join(word() for _ in range(200)), None, None) for i in range(300)]
+    rows += [(1000 + i, " ".join(word() + "#$%" for _ in range(200)), "", "") for i in range(70)]
+    got = {r["doc_id"]: r["kept"] for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert sum(got[1000 + i] for i in range(70)) > 65 and sum(got[i] for i in range(300)) > 290
+
+
+def test_groups_at_the_edge_of_their_least_size(spark):
+    """A source of one row less than LEAST_ROWS is judged with its language, of that number or one more by itself; no row is lost."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(rng.randrange(3, 9)))
+    text = lambda more: " ".join(word() + more for _ in range(200))
+    sizes = {"a": quality.LEAST_ROWS - 1, "b": quality.LEAST_ROWS, "c": quality.LEAST_ROWS + 1}
+    rows = [(k, text(""), "en", "big") for k in range(400)]
+    rows += [(1000 * (j + 1) + k, text("#$%"), "en", name) for j, (name, n) in enumerate(sizes.items()) for k in range(n)]
+    got = {r["doc_id"]: r["kept"] for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    kept = {name: sum(got[1000 * (j + 1) + k] for k in range(n)) / n for j, (name, n) in enumerate(sizes.items())}
+    assert len(got) == len(rows) and kept["b"] > 0.9 and kept["c"] > 0.9 and kept["a"] < 0.1
