@@ -17,17 +17,11 @@ from ..model import Space
 from ..plans.scratch import Levels, written
 from . import delta as changes
 from .forest import containment_index
-from .validate import KIND
+from .validate import KIND, ORIGINS, VALUE
 
 OPERATIONS = "delta long, i long, t string, graph_id string, id string, key string, prev string, next string"
 TYPES = ["graph:add", "graph:remove", "graph:meta", "node:add", "node:remove", "node:attr", "node:detail", "edge:add", "edge:remove"]
 PAYLOAD = "id string, label string, domain string, origin string, kind string, detail_graph string, attrs map<string,string>, src string, dst string, weight double"
-_TEXT = r'"(?:[^"\\]++|\\.)*+"'
-_NUMBER = r"-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
-_FLAG = "(?:true|false)"
-#: Canonical JSON of a scalar, or of a list of scalars of one type.
-VALUE = "^(?:" + "|".join([_TEXT, _NUMBER, _FLAG, r"\[\]", *(rf"\[{x}(?:,{x})*+\]" for x in (_TEXT, _NUMBER, _FLAG))]) + ")$"
-ORIGINS = ["source", "derived", "ai"]  # fixed values
 #: Counters of one range.
 RANGE = 1 << 16
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog_code, catalog_extra, catalog_forest, catalog_more, catalog_ordered
+from . import catalog_code, catalog_extra, catalog_forest, catalog_more, catalog_ordered, catalog_store
 
-PARTS = [catalog_forest, catalog_more, catalog_extra, catalog_code, catalog_ordered]
+PARTS = [catalog_forest, catalog_more, catalog_extra, catalog_code, catalog_ordered, catalog_store]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,6 +1,7 @@
 """Documents, store, streams and adapters."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -144,3 +145,23 @@ def test_text_functions(spark):
     got = row.select(text.tokens(F.col("a")).alias("tokens"), text.fnv1a(F.col("b")).alias("fnv"), text.namespace_of(F.lit("x:y")).alias("ns"), text.timestamp_ms(F.col("t")).alias("t"), text.timestamp_ms(F.col("s")).alias("s"), text.nfc(F.lit("e\u0301")).alias("nfc"), text.excerpt(F.lit("a  b\nc"), 4).alias("x")).first()
     assert got["tokens"] == ["café", "ça", "va", "12"] and got["fnv"] == "4d2505ca" and got["ns"] == "x"
     assert got["t"] == got["s"] == 1704067200000 and got["nfc"] == "\u00e9" and got["x"] == "a b…"
+
+
+def test_one_graph_and_the_spine_are_read_by_bucket(spark, tmp_path):
+    from arborlake.model import Space
+
+    graphs = [("root", "r")] + [(f"g{k}", f"g{k}") for k in range(20)]
+    nodes = [("root", f"n{k}", "core:a", f"n{k}", f"g{k}") for k in range(20)] + [(f"g{k}", f"m{k}", "core:a", f"m{k}", None) for k in range(20)]
+    edges = [("root", "e", "n0", "n1", "core:x", 1.0)] + [(f"g{k}", f"e{k}", f"m{k}", f"m{k}", "core:x", None) for k in range(20)]
+    space, s = Space.of(spark, graphs, nodes, edges), store.Store(spark, f"file://{tmp_path}/s")
+    s.checkpoint(space)
+    one = s.graph("g3")
+    assert [r["id"] for r in one.nodes.collect()] == ["m3"] and [r["id"] for r in one.edges.collect()] == ["e3"] and [r["id"] for r in one.graphs.collect()] == ["g3"]
+    plan = one.nodes._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ = \d+", plan)
+    spine, shells = s.spine()
+    assert {r["id"] for r in spine.nodes.collect()} == {f"n{k}" for k in range(20)} and shells.count() == 20 and [r["id"] for r in spine.edges.collect()] == ["e"]
+    assert spine.graphs.count() == 21 and "bucket" in re.search(r"PartitionFilters: \[[^\]]*\]", spine.nodes._jdf.queryExecution().executedPlan().toString())[0]
+    changed = space.with_(nodes=space.nodes.where("id <> 'm3'"), edges=space.edges.where("id <> 'e3'"))
+    s.append(delta.diff(s.open(), changed), 1)
+    assert s.graph("g3").nodes.isEmpty() and s.graph("g4").nodes.count() == 1 and s.spine()[0].nodes.count() == 20
