@@ -210,6 +210,25 @@ def refinement(tree: DataFrame, before: DataFrame, after: DataFrame) -> DataFram
     return out
 
 
+def affected(before: DataFrame, after: DataFrame, recomputed: DataFrame | None = None) -> DataFrame:
+    """id, change (added, removed or retained) and affected of the members of two cuts: whether a retained one is among those whose edges
+    were computed anew (recomputed: id)."""
+    a, b = before.select("id").distinct().withColumn("old", F.lit(True)), after.select("id").distinct().withColumn("new", F.lit(True))
+    both = a.join(b, "id", "full").withColumn("change", F.when(F.col("old") & F.col("new"), "retained").when(F.col("old"), "removed").otherwise("added"))
+    again = a.select("id").limit(0) if recomputed is None else recomputed.select("id").distinct()
+    both = both.join(again.withColumn("again", F.lit(True)), "id", "left")
+    return both.select("id", "change", ((F.col("change") == "retained") & F.coalesce("again", F.lit(False))).alias("affected"))
+
+
+def compound_groups(tree: DataFrame, cut: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """id, group of a cut's members: the graph that each lies in; and group, parent of these graphs and all above them (a root graph has no
+    row)."""
+    on_the_way = tree.join(_on_the_way(tree, cut, True), "id", "left_semi").select("graph_id", "parent").where("parent is not null").distinct()
+    holders = tree.select(F.col("id").alias("parent"), F.col("graph_id").alias("above"))
+    nesting = on_the_way.join(holders, "parent").select(F.col("graph_id").alias("group"), F.col("above").alias("parent")).distinct()
+    return cut.select("id", F.col("graph_id").alias("group")), nesting
+
+
 def ranked(df: DataFrame, by: list, most: int, within: list[str]) -> DataFrame:
     """The first rows of each group."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*within).orderBy(*by))).where(F.col("rank") <= most)

@@ -196,6 +196,27 @@ def _(spark, d):
     return row(found.members, "member", "reason").unionByName(row(found.frontier, "frontier", "action")).unionByName(row(found.ignored, "ignored", "reason")).unionByName(row(edges, "edge", "value"))
 
 
+@query(
+    "cut_affected",
+    _override_sql(1) + f", plain AS {sql.cut(1)} SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' ELSE 'retained' END AS change, a.id IS NOT NULL AND b.id IS NOT NULL AND coalesce(a.id, b.id) IN (SELECT 'n' || c_nationkey FROM customer WHERE c_mktsegment = 'BUILDING') AS affected FROM plain a FULL JOIN members b ON a.id = b.id",
+)
+def _(spark, d):
+    """From a plain cut to one under overrides; the nations of one market segment were computed anew."""
+    tree, marks = written(_tree(spark, d), "tree"), spark.createDataFrame(OVERRIDES, "id string, kind string")
+    again = tables.table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("id"))
+    return cut.affected(cut.build_cut(tree, 1), cut.override_cut(tree, 1, marks), again)
+
+
+@query(
+    "compound_groups",
+    sql.SPACE + f", m AS {sql.cut(2)}, way AS (SELECT DISTINCT unnest(path) AS id FROM f JOIN m USING (id)) SELECT 'member' AS what, id, graph_id AS \"group\" FROM m UNION ALL SELECT DISTINCT 'graph', f.graph_id, p.graph_id FROM way JOIN f USING (id) JOIN f p ON p.id = f.parent",
+)
+def _(spark, d):
+    tree = written(_tree(spark, d), "tree")
+    groups, nesting = cut.compound_groups(tree, cut.build_cut(tree, 2))
+    return groups.select(F.lit("member").alias("what"), "id", "group").unionByName(nesting.select(F.lit("graph").alias("what"), F.col("group").alias("id"), F.col("parent").alias("group")))
+
+
 @query("node_cover", sql.SPACE + f"SELECT id, member FROM {sql.cover(1)}")
 def _(spark, d):
     tree = _tree(spark, d)
