@@ -24,6 +24,7 @@ from .packing import default_vocabulary, encoder
 END_ID = 2
 #: Examples that a task chooses from.
 POOL = 1024
+EMPTY = 1 << 62  # size of a place in the pool that holds none
 
 
 @dataclass(frozen=True)
@@ -69,37 +70,44 @@ class Packer:
         self.limits, self.pool = limits, pool
         self.items: list[Piece | None] = []
         self.tokens, self.loss = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        #: Sizes as shares of the limits, at most one, over the limits once more: times the room they add up to the dot product.
+        self.shares = np.zeros((2, 0))
         self.free: list[int] = []
         self.n = 0
+        self._grow(pool + 2)
         self._open()
 
+    def _grow(self, by: int) -> None:
+        self.free = list(range(len(self.items) + by - 1, len(self.items) - 1, -1))
+        self.items += [None] * by
+        self.tokens, self.loss = (np.concatenate([x, np.full(by, EMPTY)]) for x in (self.tokens, self.loss))
+        self.shares = np.concatenate([self.shares, np.zeros((2, by))], axis=1)
+
     def _open(self) -> None:
         self.pieces: list[Piece] = []
         self.room, self.loss_room = self.limits.tokens, self.limits.loss
 
     def _put(self, example: Example, start: int, end: int) -> None:
         if not self.free:
-            grown = max(16, len(self.items))
-            self.free = list(range(len(self.items) + grown - 1, len(self.items) - 1, -1))
-            self.items += [None] * grown
-            self.tokens, self.loss = (np.concatenate([x, np.full(grown, -1)]) for x in (self.tokens, self.loss))
+            self._grow(max(16, len(self.items) // 4))
         i = self.free.pop()
         self.items[i] = (example, start, end)
-        self.tokens[i], self.loss[i] = end - start, example.loss(start, end)
+        tokens, loss, limits = end - start, example.loss(start, end), self.limits
+        self.tokens[i], self.loss[i] = tokens, loss
+        self.shares[:, i] = min(tokens, limits.tokens) / limits.tokens**2, min(loss, limits.loss) / limits.loss**2
         self.n += 1
 
     def _choose(self) -> int | None:
         """The slot with the greatest dot product of size and room; sizes beyond a limit count as the limit. None: nothing fits."""
-        limits, there = self.limits, self.tokens >= 0
-        product = (
-            np.minimum(self.tokens, limits.tokens) * (self.room / limits.tokens**2)
-            + np.minimum(self.loss, limits.loss) * (self.loss_room / limits.loss**2)
-        )  # one segment each: the same for all
+        product = self.shares[0] * self.room
+        product += self.shares[1] * self.loss_room  # one segment each: the same for all
         if self.pieces:
-            whole = there & (self.tokens <= self.room) & (self.loss <= self.loss_room)
-            if whole.any():
-                return int(np.where(whole, product, -1.0).argmax())
-        for i in np.argsort(np.where(there, -product, 1.0), kind="stable")[: self.n]:
+            whole = self.tokens <= self.room
+            whole &= self.loss <= self.loss_room
+            i = int(np.where(whole, product, -1.0).argmax())
+            if whole[i]:
+                return i
+        for i in np.argsort(np.where(self.tokens < EMPTY, -product, 1.0), kind="stable")[: self.n]:
             example, start, end = self.items[i]
             if example.prefix(start, end, self.room, self.loss_room) > start:
                 return int(i)
@@ -113,7 +121,7 @@ class Packer:
             return self._close()
         example, start, last = self.items[i]
         end = example.prefix(start, last, self.room, self.loss_room)
-        self.items[i], self.tokens[i], self.loss[i] = None, -1, -1
+        self.items[i], self.tokens[i], self.loss[i] = None, EMPTY, EMPTY
         self.free.append(i)
         self.n -= 1
         if end < last:

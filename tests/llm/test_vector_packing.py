@@ -1,5 +1,6 @@
 import random
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -8,10 +9,15 @@ from arborlake.llm import packing, vector_packing
 from arborlake.llm.vector_packing import Example, Limits, Packer
 
 
-def plain(parts):
+@lru_cache(1)
+def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(packing.default_vocabulary())
+    return Tokenizer.from_file(packing.default_vocabulary())
+
+
+def plain(parts):
+    t = tokenizer()
     ids, loss = [], []
     for text, bears in parts:
         own = t.encode(text or "", add_special_tokens=False).ids
