@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyz234567"  # fixed value: base32 in lower case
+BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"  # as conv() writes it
 SEPARATOR = "\x1f"
 
 
@@ -29,17 +30,18 @@ def tokens(label: Column) -> Column:
 
 
 def derived_id(tag: str, *segments: Column) -> Column:
-    """tag and the first 16 bytes of the SHA-256 of the joined segments, in lower-case base32 (26 characters)."""
+    """tag and the first 16 bytes of the SHA-256 of the joined segments, in lower-case base32 (26 characters).
+
+    60 bits at a time are written to base 32, then its digits are replaced; the last 8 bits are followed by zeros.
+    """
+    part = lambda hexes, n: F.lpad(F.conv(hexes, 16, 32), n, "0")
+
     def letters(digits: Column) -> Column:
-        out = [F.lit(tag)]
-        for k in range(26):
-            first, shift = divmod(5 * k, 4)
-            two = F.conv(F.substring(digits, first + 1, 2), 16, 10).cast("int")
-            out.append(F.substring(F.lit(ALPHABET), F.shiftright(two, 3 - shift).bitwiseAND(F.lit(31)) + 1, F.lit(1)))
-        return F.concat(*out)
-
-    digits = F.concat(F.substring(F.sha2(F.concat_ws(SEPARATOR, *segments), 256), 1, 32), F.lit("0"))
-    return F.get(F.transform(F.array(digits), letters), 0)  # the digits are computed once, not for each letter
+        last = F.substring(part(F.concat(F.substring(digits, 31, 2), F.lit("000")), 4), 1, 2)
+        return F.concat(F.lit(tag), F.translate(F.concat(part(F.substring(digits, 1, 15), 12), part(F.substring(digits, 16, 15), 12), last), BASE32, ALPHABET))
+
+    digits = F.sha2(F.concat_ws(SEPARATOR, *segments), 256)
+    return F.get(F.transform(F.array(digits), letters), 0)  # the digits are computed once, not for each part
 
 
 def fnv1a(c: Column) -> Column:

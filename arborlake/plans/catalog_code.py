@@ -26,6 +26,14 @@ def registered(name: str, oracle: str | None):
     return add
 
 
+#: Functions that a task parses; what Spark shuffles of them is too compact for it to tell how much work they are.
+FUNCTIONS = 20_000
+
+
+def _parts(spark, d) -> int:
+    return tables.table(spark, d, "orders").count() // FUNCTIONS + 1
+
+
 def _bodies(spark, d) -> DataFrame:
     """A file for each customer with a function for each order: a loop with jumps, a protected part, or a match, by its status."""
     k = (F.col("o_orderkey") % 4 + 1).cast("int")
@@ -34,7 +42,7 @@ def _bodies(spark, d) -> DataFrame:
     protected = F.lit("  try:\n    a()\n    return 1\n  except E:\n    b()\n  finally:\n    c()\n  d()\n")
     arms = F.concat(F.lit("  match x:\n"), each(lambda j: F.concat(F.lit("    case "), j.cast("string"), F.lit(":\n      return\n"))), F.lit("    case _:\n      b()\n  d()\n"))
     body = F.when(F.col("o_orderstatus") == "F", loop).when(F.col("o_orderstatus") == "O", protected).otherwise(arms)
-    orders = tables.table(spark, d, "orders").select("o_custkey", "o_orderkey", F.concat(F.lit("def o"), F.col("o_orderkey").cast("string"), F.lit("(x):\n"), body).alias("t"))
+    orders = tables.table(spark, d, "orders").repartition(_parts(spark, d), "o_custkey").select("o_custkey", "o_orderkey", F.concat(F.lit("def o"), F.col("o_orderkey").cast("string"), F.lit("(x):\n"), body).alias("t"))
     files = orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "t"))).alias("f"))
     return files.select(F.concat(F.lit("src/c"), F.col("o_custkey").cast("string"), F.lit(".py")).alias("path"), F.array_join(F.transform("f", lambda f: f["t"]), "\n").alias("text"))
 
@@ -80,7 +88,8 @@ def _(spark, d):
 
 @registered("body_operations", _FLOWS + _BLOCKS + "SELECT path, function, 'graph:add' AS t, 4::BIGINT AS phase, 1::BIGINT AS n FROM o UNION ALL SELECT path, function, 'node:detail', 7, 1 FROM o UNION ALL SELECT path, function, 'node:add', 6, blocks FROM b UNION ALL SELECT path, function, 'edge:add', 9, count(*) FROM flows GROUP BY 1, 2")
 def _(spark, d):
-    ops = control_flow.body_operations(control_flow.functions(_bodies(spark, d)))
+    # Dealt by file while a function is one row: then its operations, some twenty rows with an id each, are counted where they are.
+    ops = control_flow.body_operations(control_flow.functions(_bodies(spark, d)).repartition(_parts(spark, d), "path"))
     return ops.groupBy("path", "function", "t", F.col("phase").cast("long").alias("phase")).agg(F.countDistinct("id").alias("n"))
 
 

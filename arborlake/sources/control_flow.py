@@ -13,11 +13,12 @@ import ast
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import derived_id
-from ..plans.scratch import Levels, written
 
 BLOCK = "struct<block: string, role: string, first_line: int, last_line: int, statements: int>"
 FLOW = "struct<src: string, dst: string, label: string>"
@@ -212,19 +213,38 @@ def complexity(found: DataFrame) -> DataFrame:
 def unreached(found: DataFrame) -> DataFrame:
     """path, function, nth, block of blocks that no way from the entry leads to.
 
-    The edge of what is reached moves on by one flow in each round, for all functions at once; rounds are written, so the plan
-    doesn't grow with the longest way.
+    A function's flows are all in its row, so each row is walked by itself, in time linear in its flows, and nothing is shuffled.
     """
     key = ["path", "function", "nth"]
-    steps = written(flows(found).select(*key, "src", "dst").distinct(), "flow-steps")
-    everything = written(blocks(found).select(*key, "block", "role"), "flow-blocks")
-    reached = Levels(found.sparkSession, "flow-reached")
-    edge = reached.add(everything.where(F.col("role") == ENTRY).select(*key, "block"))
-    while True:
-        after = steps.join(edge.withColumnRenamed("block", "src"), [*key, "src"]).select(*key, F.col("dst").alias("block")).distinct()
-        edge = reached.add(after.join(reached.all(), [*key, "block"], "left_anti"))
-        if edge.isEmpty():
-            return everything.where(F.col("role") == "block").join(reached.all(), [*key, "block"], "left_anti").select(*key, "block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flows, blocks = batch.column("flows"), batch.column("blocks")
+            ends, names = ([x.to_pylist() for x in c.flatten().flatten()] for c in (flows, blocks))
+            at, first, out = 0, 0, []
+            for n, m in zip(*(pc.fill_null(pc.list_value_length(c), 0).to_pylist() for c in (flows, blocks)), strict=True):
+                out.append(_not_reached(ends[0][at : at + n], ends[1][at : at + n], names[0][first : first + m], names[1][first : first + m]))
+                at, first = at + n, first + m
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in key), pa.array(out, pa.list_(pa.string()))], [*key, "left"])
+
+    slim = lambda c, *fields: F.transform(c, lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias(c)
+    rows = found.select(*key, slim("blocks", "block", "role"), slim("flows", "src", "dst"))
+    left = rows.mapInArrow(run, "path string, function string, nth int, left array<string>")
+    return left.select(*key, F.explode("left").alias("block"))
+
+
+def _not_reached(srcs: list[str], dsts: list[str], names: list[str], roles: list[str]) -> list[str]:
+    after: dict[str, list[str]] = {}
+    for src, dst in zip(srcs, dsts, strict=True):
+        after.setdefault(src, []).append(dst)
+    work = [name for name, role in zip(names, roles, strict=True) if role == ENTRY]
+    reached = set(work)
+    while work:
+        for block in after.get(work.pop(), ()):
+            if block not in reached:
+                reached.add(block)
+                work.append(block)
+    return [name for name, role in zip(names, roles, strict=True) if role == "block" and name not in reached]
 
 
 def body_operations(found: DataFrame, domain: str = "code") -> DataFrame:
@@ -240,21 +260,22 @@ def body_operations(found: DataFrame, domain: str = "code") -> DataFrame:
     base = found.select(*key, "blocks", "flows", derived_id("g", *at).alias("graph_id"), derived_id("n", *at).alias("node"), derived_id("g", F.lit(domain), F.col("path"), outer).alias("parent"))
     none = F.lit(None).cast("string")
     block_id = lambda graph, block: derived_id("n", graph, F.lit("block"), block)
-
-    def op(df: DataFrame, phase: int, t: str, graph, id_, next_) -> DataFrame:
-        return df.select(*key, F.lit(phase).alias("phase"), F.lit(t).alias("t"), graph.alias("graph_id"), id_.alias("id"), none.alias("key"), none.alias("prev"), next_.alias("next"))
-
-    g = F.col("graph_id")
     meta = F.to_json(F.struct(F.concat("function", F.lit(" · control-flow")).alias("label"), F.lit(domain).alias("domain"), F.lit("source").alias("origin")))
-    nodes = base.select(*key, "graph_id", F.inline("blocks")).withColumn("id", block_id(g, F.col("block")))
+
+    # All operations of a function are unfolded from its row at once, so files are parsed once and not for each kind of operation.
+    row = lambda t, block=none, role=none, src=none, dst=none, label=none: F.struct(F.lit(t).alias("t"), block.alias("block"), role.alias("role"), src.alias("src"), dst.alias("dst"), label.alias("label"))
+    nodes = F.transform("blocks", lambda b: row("node:add", block=b["block"], role=b["role"]))
+    edges = F.transform("flows", lambda f: row("edge:add", src=f["src"], dst=f["dst"], label=f["label"]))
+    each = base.select(*key, "graph_id", "node", "parent", meta.alias("meta"), F.inline(F.concat(F.array(row("graph:add")), nodes, edges, F.array(row("node:detail")))))
+    g, t = F.col("graph_id"), F.col("t")
+    by = lambda graph, detail, add, link: F.when(t == "graph:add", graph).when(t == "node:detail", detail).when(t == "node:add", add).otherwise(link)
+    edge = t == "edge:add"
+    each = each.withColumns({"src": F.when(edge, block_id(g, F.col("src"))), "dst": F.when(edge, block_id(g, F.col("dst")))})
+    each = each.withColumn("id", by(g, F.col("node"), block_id(g, F.col("block")), derived_id("e", g, F.lit(f"{domain}:flows-to"), F.col("src"), F.col("dst"), F.col("label"))))
     attrs = F.create_map(F.lit(f"{domain}:block-role"), F.concat(F.lit('"'), "role", F.lit('"')))
-    node = F.to_json(F.struct("graph_id", "id", F.lit(f"{domain}:block").alias("kind"), F.col("block").alias("label"), attrs.alias("attrs"), F.lit("source").alias("origin")))
-    edges = base.select(*key, "graph_id", F.inline("flows")).withColumns({"src": block_id(g, F.col("src")), "dst": block_id(g, F.col("dst"))})
-    edges = edges.withColumn("id", derived_id("e", g, F.lit(f"{domain}:flows-to"), F.col("src"), F.col("dst"), F.col("label")))
     said = F.create_map(F.lit(f"{domain}:flow"), F.concat(F.lit('"'), "label", F.lit('"')))
-    edge = F.to_json(F.struct("graph_id", "id", "src", "dst", F.lit(f"{domain}:flows-to").alias("kind"), said.alias("attrs"), F.lit("source").alias("origin")))
-    parts = [op(base, 4, "graph:add", g, g, meta), op(nodes, 6, "node:add", g, F.col("id"), node), op(edges, 9, "edge:add", g, F.col("id"), edge), op(base, 7, "node:detail", F.col("parent"), F.col("node"), g)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    node = F.to_json(F.struct("graph_id", "id", F.lit(f"{domain}:block").alias("kind"), F.col("block").alias("label"), attrs.alias("attrs"), F.lit("source").alias("origin")))
+    link = F.to_json(F.struct("graph_id", "id", "src", "dst", F.lit(f"{domain}:flows-to").alias("kind"), said.alias("attrs"), F.lit("source").alias("origin")))
+    phase = by(F.lit(4), F.lit(7), F.lit(6), F.lit(9))
+    holder = F.when(t == "node:detail", F.col("parent")).otherwise(g)
+    return each.select(*key, phase.alias("phase"), "t", holder.alias("graph_id"), "id", none.alias("key"), none.alias("prev"), by(F.col("meta"), g, node, link).alias("next"))
