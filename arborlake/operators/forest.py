@@ -31,7 +31,10 @@ def forest(space: Space, measures: bool = True, levels: int | None = None) -> Da
     """
     nodes = space.nodes.select("graph_id", "id", "kind", "label", "detail_graph")
     filled = nodes.groupBy(F.col("graph_id").alias("detail_graph")).agg(F.count("*").alias("children"))
-    nodes = nodes.join(filled, "detail_graph", "left").withColumn("children", F.coalesce("children", F.lit(0)).cast("long"))
+    # Nodes without a detail graph stay out of the join: one task would get them all, as they have the same (null) key.
+    plain = nodes.where("detail_graph is null").withColumn("children", F.lit(0).cast("long"))
+    nodes = nodes.where("detail_graph is not null").join(filled, "detail_graph", "left").withColumn("children", F.coalesce("children", F.lit(0)).cast("long"))
+    nodes = nodes.unionByName(plain)
     holders = containment_index(space).select(F.col("graph").alias("held_graph"), F.col("node").alias("held_by"))
     level = nodes.join(derived_roots(space).select(F.col("id").alias("graph_id")), "graph_id", "left_semi").withColumns({"path": F.array("id"), "parent": F.lit(None).cast("string")})
     found, depth = Levels(space.nodes.sparkSession, "forest"), 0
