@@ -30,9 +30,22 @@ def build_cut(tree: DataFrame, level: int) -> DataFrame:
 
 
 def coverage(tree: DataFrame, cut: DataFrame) -> DataFrame:
-    """total_leaves, covered_once, uncovered, covered_twice over all leaves of the forest."""
-    leaves = tree.where("is_leaf").select("id", F.explode("path").alias("on"))
-    hits = leaves.join(cut.select(F.col("id").alias("on"), F.lit(1).alias("hit")), "on", "left").groupBy("id").agg(F.count("hit").alias("n"))
+    """total_leaves, covered_once, uncovered, covered_twice over all leaves of the forest.
+
+    Members on each node's path are counted down the levels, from its parent's count: leaves are not joined by all their ancestors,
+    as those of one root would be one task's.
+    """
+    marks = written(cut.groupBy("id").agg(F.count("*").alias("hit")), "coverage-members")
+    found, above, depth = Levels(tree.sparkSession, "coverage"), None, 0
+    while True:
+        level = tree.where(F.col("depth") == depth).select("id", "parent", "is_leaf").join(marks, "id", "left").withColumn("n", F.coalesce("hit", F.lit(0))).drop("hit")
+        if above is not None:
+            level = above.where("not is_leaf").select(F.col("id").alias("parent"), F.col("n").alias("before")).join(level, "parent").withColumn("n", F.col("n") + F.col("before")).drop("before")
+        above = found.add(level)
+        if above.where("not is_leaf").isEmpty():
+            break
+        depth += 1
+    hits = found.all().where("is_leaf")
     return hits.agg(*[F.count_if(c).cast("long").alias(n) for n, c in (("total_leaves", F.lit(True)), ("covered_once", F.col("n") == 1), ("uncovered", F.col("n") == 0), ("covered_twice", F.col("n") > 1))])
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from arborlake.functions.text import derived_id
 from arborlake.model import Space
-from arborlake.operators import forest
+from arborlake.operators import cut, forest
 from arborlake.sources import control_flow as cf
 
 SOURCE = "def f():\n  try:\n    return 1\n  finally:\n    c()\n  d()\ndef g(x):\n  while x:\n    return\n    a()\n  b()\n"
@@ -34,6 +34,32 @@ def test_nodes_without_detail_graph_are_not_joined(spark, monkeypatch):
     assert found["a"] == (0, 51, 51, 52) and found["e"] == found["x7"] == (1, 0, 1, 1) and len(found) == 52
 
 
+def _largest_keys(monkeypatch, df) -> list[int]:
+    """From now on, the most rows of one key in either side of each join by a named column."""
+    kind, most = type(df), []
+    join = kind.join
+
+    def spy(self, other, on=None, how=None):
+        if isinstance(on, str):
+            most.extend(side.groupBy(on).count().agg({"count": "max"}).first()[0] or 0 for side in (self, other))
+        return join(self, other, on, how)
+
+    monkeypatch.setattr(kind, "join", spy)
+    return most
+
+
+def test_coverage_does_not_join_all_leaves_by_their_root(spark, monkeypatch):
+    nodes = [("root", "top", "k", "t", "g")] + [("g", x, "k", x, f"g{x}") for x in "abc"] + [(f"g{x}", f"{x}{i}", "k", x, None) for x in "abc" for i in range(40)]
+    space = Space.of(spark, [("root", "r"), ("g", "g"), *((f"g{x}", x) for x in "abc")], nodes, [])
+    tree = forest.forest(space)
+    most = _largest_keys(monkeypatch, space.nodes)
+    members = spark.createDataFrame([("a",), ("a3",), ("b7",), ("b8",), ("b8",)], "id string")
+    found = cut.coverage(tree, members).first()
+    assert tuple(found) == (120, 40, 78, 2)  # a and one leaf of b once; a3 and b8 twice
+    assert most and max(most) == 40  # 120 leaves have the same root
+    assert tuple(cut.coverage(tree, cut.build_cut(tree, 2)).first()) == (120, 120, 0, 0)
+
+
 def test_bodies_are_parsed_once_for_all_operations(spark):
     found = cf.functions(spark.createDataFrame([("a", SOURCE)], "path string, text string"))
     assert _plan(cf.body_operations(found)).count("MapInPandas") == 1
