@@ -32,30 +32,32 @@ def forest(space: Space, measures: bool = True, levels: int | None = None) -> Da
     nodes = space.nodes.select("graph_id", "id", "kind", "label", "detail_graph")
     filled = nodes.groupBy(F.col("graph_id").alias("detail_graph")).agg(F.count("*").alias("children"))
     # Nodes without a detail graph stay out of the join: one task would get them all, as they have the same (null) key.
-    plain = nodes.where("detail_graph is null").withColumn("children", F.lit(0).cast("long"))
+    plain = nodes.where("detail_graph is null").withColumns({"children": F.lit(0).cast("long"), "holds": F.lit(False)})
     nodes = nodes.where("detail_graph is not null").join(filled, "detail_graph", "left").withColumn("children", F.coalesce("children", F.lit(0)).cast("long"))
-    nodes = nodes.unionByName(plain)
     holders = containment_index(space).select(F.col("graph").alias("held_graph"), F.col("node").alias("held_by"))
-    level = nodes.join(derived_roots(space).select(F.col("id").alias("graph_id")), "graph_id", "left_semi").withColumns({"path": F.array("id"), "parent": F.lit(None).cast("string")})
+    holds = F.col("held_by").isNotNull() & (F.col("children") > 0)
+    nodes = nodes.join(holders, (F.col("detail_graph") == F.col("held_graph")) & (F.col("id") == F.col("held_by")), "left").withColumn("holds", holds).drop("held_graph", "held_by")
+    # Written once, as every level reads them: the holders are found by a sort of all claims.
+    nodes = written(nodes, "holders").unionByName(plain)
+    roots = written(derived_roots(space).select(F.col("id").alias("graph_id")), "roots")
+    level = nodes.join(roots, "graph_id", "left_semi").withColumns({"path": F.array("id"), "parent": F.lit(None).cast("string")})
     found, depth = Levels(space.nodes.sparkSession, "forest"), 0
     while True:
         # Written level by level: none is computed twice, and the plan stays small, however deep the forest.
         level = found.add(level.withColumn("depth", F.lit(depth).cast("long")))
-        if depth + 1 == levels or level.where("children > 0").isEmpty():
+        if depth + 1 == levels or level.where("holds").isEmpty():
             break
-        inner = level.where("children > 0").select(F.col("detail_graph").alias("graph_id"), F.col("id").alias("parent"), F.col("path").alias("above"))
-        inner = inner.join(holders, (F.col("graph_id") == F.col("held_graph")) & (F.col("parent") == F.col("held_by")), "left_semi")
+        inner = level.where("holds").select(F.col("detail_graph").alias("graph_id"), F.col("id").alias("parent"), F.col("path").alias("above"))
         level = nodes.join(inner, "graph_id").withColumn("path", F.concat("above", F.array("id"))).drop("above")
         depth += 1
-    out = found.all().withColumn("is_leaf", F.col("children") == 0)
-    return measured(found, depth) if measures else out
+    return measured(found, depth) if measures else found.all().drop("holds").withColumn("is_leaf", F.col("children") == 0)
 
 
 def measured(levels: Levels, deepest: int) -> DataFrame:
     """The forest with leaves and size, added up from the deepest level: each level is joined with its children's sums only."""
     found, below = Levels(levels.spark, "forest-measured"), None
     for depth in range(deepest, -1, -1):
-        level = levels.one(depth).withColumn("is_leaf", F.col("children") == 0)
+        level = levels.one(depth).drop("holds").withColumn("is_leaf", F.col("children") == 0)
         if below is None:
             level = level.withColumns({"in_leaves": F.lit(0).cast("long"), "in_size": F.lit(0).cast("long")})
         else:

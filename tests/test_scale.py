@@ -60,6 +60,16 @@ def test_coverage_does_not_join_all_leaves_by_their_root(spark, monkeypatch):
     assert tuple(cut.coverage(tree, cut.build_cut(tree, 2)).first()) == (120, 120, 0, 0)
 
 
+def test_holders_are_found_once_for_all_levels(spark, monkeypatch):
+    nodes = [("root", "top", "k", "t", "g"), ("g", "a", "k", "a", "ga"), ("g", "b", "k", "b", "ga"), ("ga", "x", "k", "x", None)]
+    space = Space.of(spark, [("root", "r"), ("g", "g"), ("ga", "a")], nodes, [])
+    plans, add = [], forest.Levels.add
+    monkeypatch.setattr(forest.Levels, "add", lambda self, df: plans.append(_plan(df)) or add(self, df))
+    found = {(r["id"], r["parent"], r["depth"], r["size"]) for r in forest.forest(space).collect()}
+    assert found == {("top", None, 0, 4), ("a", "top", 1, 2), ("b", "top", 1, 1), ("x", "a", 2, 1)}
+    assert plans and not any("SortAggregate" in p for p in plans)  # claims are sorted before the levels, not for each
+
+
 def test_bodies_are_parsed_once_for_all_operations(spark):
     found = cf.functions(spark.createDataFrame([("a", SOURCE)], "path string, text string"))
     assert _plan(cf.body_operations(found)).count("MapInPandas") == 1
