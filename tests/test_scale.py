@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from arborlake.functions.text import derived_id
 from arborlake.model import Space
 from arborlake.operators import cut, forest
+from arborlake.plans import tables
 from arborlake.sources import control_flow as cf
 
 SOURCE = "def f():\n  try:\n    return 1\n  finally:\n    c()\n  d()\ndef g(x):\n  while x:\n    return\n    a()\n  b()\n"
@@ -70,6 +71,16 @@ def test_holders_are_found_once_for_all_levels(spark, monkeypatch):
     assert plans and not any("SortAggregate" in p for p in plans)  # claims are sorted before the levels, not for each
 
 
+def test_line_items_are_joined_by_their_order_only(spark, monkeypatch):
+    d, joined = "/root/testdata/sf0.001", []
+    kind = type(spark.range(0))
+    join = kind.join
+    monkeypatch.setattr(kind, "join", lambda self, other, on=None, how=None: joined.append((set(self.columns), set(other.columns))) or join(self, other, on, how))
+    links = tables.supplies(spark, d)
+    assert links.columns == ["id", "src", "dst", "kind", "weight"] and links.count() == tables.table(spark, d, "lineitem").count()
+    assert not any("c_custkey" in b and "l_orderkey" in a for a, b in joined)  # customers are joined by orders, before
+
+
 def test_bodies_are_parsed_once_for_all_operations(spark):
     found = cf.functions(spark.createDataFrame([("a", SOURCE)], "path string, text string"))
     assert _plan(cf.body_operations(found)).count("MapInPandas") == 1
