@@ -5,6 +5,7 @@ An operation is a row: phase, t, graph_id, id, key, prev, next (prev and next ar
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,9 +18,21 @@ EDGE = ["graph_id", "id", "src", "dst", "kind", "weight", "attrs", "origin"]
 OP = ["phase", "t", "graph_id", "id", "key", "prev", "next"]
 
 
-def _op(df: DataFrame, phase: int, t: str, prev: Column | None = None, next_: Column | None = None, key: Column | None = None) -> DataFrame:
+def _op(phase: int, t: str, side: str, prev: Column | None = None, next_: Column | None = None, key: Column | None = None) -> Column:
     text = lambda c: F.lit(None).cast("string") if c is None else c
-    return df.select(F.lit(phase).alias("phase"), F.lit(t).alias("t"), "graph_id", "id", text(key).alias("key"), text(prev).alias("prev"), text(next_).alias("next"))
+    id_ = F.col(f"{side}.id")
+    graph = F.col(f"{side}.graph_id") if t.split(":")[0] != "graph" else id_
+    return F.struct(F.lit(phase).alias("phase"), F.lit(t).alias("t"), graph.alias("graph_id"), id_.alias("id"), text(key).alias("key"), text(prev).alias("prev"), text(next_).alias("next"))
+
+
+def _pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """a, b: the rows of both by id; what only one side has is null on the other."""
+    return a.alias("a").join(b.alias("b"), F.col("a.id") == F.col("b.id"), "full").select(F.struct("a.*").alias("a"), F.struct("b.*").alias("b"))
+
+
+def _unfolded(pairs: DataFrame, ops: Column, **more: Column) -> DataFrame:
+    """One row for each operation in an array: pairs are joined once, however many kinds of operations are made of them."""
+    return pairs.select(F.explode(F.array_compact(ops)).alias("o"), *[c.alias(name) for name, c in more.items()]).select("o.*", *more)
 
 
 def _json(cols: list[str], side: str) -> Column:
@@ -28,39 +41,48 @@ def _json(cols: list[str], side: str) -> Column:
     return F.to_json(F.struct(*[value(c) for c in cols]))
 
 
-def diff(a: Space, b: Space) -> DataFrame:
+def diff(a: Space, b: Space, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
     """Operations that lead from one space to another, ordered by phase: edges go, nodes go, graphs go, graphs come, graph labels
     change, nodes come, details change, attributes change, edges come. A node whose kind, label, origin or graph changes goes and
-    comes, and so do the edges at it."""
-    ga, gb = (s.graphs.select("id", "label", "domain", "origin") for s in (a, b))
-    g = ga.alias("a").join(gb.alias("b"), F.col("a.id") == F.col("b.id"), "full")
-    graph = lambda df, side: df.select(F.col(f"{side}.id").alias("graph_id"), F.col(f"{side}.id").alias("id"), "a", "b")
-    g = g.select(F.struct("a.*").alias("a"), F.struct("b.*").alias("b"))
+    comes, and so do the edges at it.
+
+    Each part goes through keep(df, name), which may write it (scratch.written): then no two parts hold their shuffles at a time.
+    """
     meta = ["label", "domain", "origin"]
-    ops = [
-        _op(graph(g.where("b.id is null"), "a"), 3, "graph:remove", _json(meta, "a")),
-        _op(graph(g.where("a.id is null"), "b"), 4, "graph:add", None, _json(meta, "b")),
-        _op(graph(g.where("a.id is not null and b.id is not null and not (a.label <=> b.label and a.domain <=> b.domain and a.origin <=> b.origin)"), "b"), 5, "graph:meta", _json(meta, "a"), _json(meta, "b")),
-    ]
-    n = a.nodes.select(NODE).alias("a").join(b.nodes.select(NODE).alias("b"), F.col("a.id") == F.col("b.id"), "full").select(F.struct("a.*").alias("a"), F.struct("b.*").alias("b"))
+    g = _pairs(*(s.graphs.select("id", *meta) for s in (a, b)))
+    named = F.expr("a.id is not null and b.id is not null and not (" + " and ".join(f"a.{c} <=> b.{c}" for c in meta) + ")")
+    graphs = _unfolded(g, F.array(
+        F.when(F.expr("b.id is null"), _op(3, "graph:remove", "a", _json(meta, "a"))),
+        F.when(F.expr("a.id is null"), _op(4, "graph:add", "b", None, _json(meta, "b"))),
+        F.when(named, _op(5, "graph:meta", "b", _json(meta, "a"), _json(meta, "b"))),
+    ))
+    graphs = keep(graphs, "graph_ops")
+    n = _pairs(a.nodes.select(NODE), b.nodes.select(NODE))
     core = " and ".join(f"a.{c} <=> b.{c}" for c in ("graph_id", "kind", "label", "origin"))
-    gone, come = n.where(f"a.id is not null and (b.id is null or not ({core}))"), n.where(f"b.id is not null and (a.id is null or not ({core}))")
-    stay = n.where(f"a.id is not null and b.id is not null and {core}").select(F.col("a.graph_id").alias("graph_id"), F.col("a.id").alias("id"), "a", "b")
-    side = lambda df, s: df.select(F.col(f"{s}.graph_id").alias("graph_id"), F.col(f"{s}.id").alias("id"), "a", "b")
-    ops += [_op(side(gone, "a"), 2, "node:remove", _json(NODE, "a")), _op(side(come, "b"), 6, "node:add", None, _json(NODE, "b"))]
-    ops.append(_op(stay.where("not (a.detail_graph <=> b.detail_graph)"), 7, "node:detail", F.col("a.detail_graph"), F.col("b.detail_graph")))
-    keys = F.array_union(F.coalesce(F.map_keys("a.attrs"), F.array().cast("array<string>")), F.coalesce(F.map_keys("b.attrs"), F.array().cast("array<string>")))
-    attrs = stay.select("graph_id", "id", "a", "b", F.explode(keys).alias("k")).withColumns({"p": F.try_element_at("a.attrs", F.col("k")), "q": F.try_element_at("b.attrs", F.col("k"))})
-    ops.append(_op(attrs.where("not (p <=> q)"), 8, "node:attr", F.col("p"), F.col("q"), F.col("k")))
-    again = gone.select(F.col("a.id").alias("node")).join(come.select(F.col("b.id").alias("node")), "node", "left_semi")
-    e = a.edges.select(EDGE).alias("a").join(b.edges.select(EDGE).alias("b"), F.col("a.id") == F.col("b.id"), "full").select(F.struct("a.*").alias("a"), F.struct("b.*").alias("b"))
-    differs = "not (" + " and ".join(f"a.{c} <=> b.{c}" for c in EDGE if c != "attrs") + ") or not (to_json(a.attrs) <=> to_json(b.attrs))"
-    at = e.select("a", "b", F.explode(F.array_distinct(F.array("a.src", "a.dst", "b.src", "b.dst"))).alias("node")).join(again, "node", "left_semi").select(F.coalesce("a.id", "b.id").alias("touched")).distinct()
-    e = e.join(at, F.coalesce("a.id", "b.id") == F.col("touched"), "left")
-    changed = f"touched is not null or {differs}"
-    ops.append(_op(side(e.where(f"a.id is not null and (b.id is null or {changed})"), "a"), 1, "edge:remove", _json(EDGE, "a")))
-    ops.append(_op(side(e.where(f"b.id is not null and (a.id is null or {changed})"), "b"), 9, "edge:add", None, _json(EDGE, "b")))
-    return reduce(DataFrame.unionByName, ops)
+    both = "a.id is not null and b.id is not null"
+    stay = F.expr(f"{both} and {core}")
+    none = F.array().cast("array<string>")
+    keys = F.when(stay, F.array_union(F.coalesce(F.map_keys("a.attrs"), none), F.coalesce(F.map_keys("b.attrs"), none))).otherwise(none)
+    at = lambda side, k: F.try_element_at(f"{side}.attrs", k)
+    attrs = F.transform(F.filter(keys, lambda k: ~at("a", k).eqNullSafe(at("b", k))), lambda k: _op(8, "node:attr", "a", at("a", k), at("b", k), k))
+    nodes = _unfolded(n, F.concat(F.array(
+        F.when(F.expr(f"a.id is not null and (b.id is null or not ({core}))"), _op(2, "node:remove", "a", _json(NODE, "a"))),
+        F.when(F.expr(f"b.id is not null and (a.id is null or not ({core}))"), _op(6, "node:add", "b", None, _json(NODE, "b"))),
+        F.when(stay & ~F.col("a.detail_graph").eqNullSafe(F.col("b.detail_graph")), _op(7, "node:detail", "a", F.col("a.detail_graph"), F.col("b.detail_graph"))),
+    ), attrs), again=F.expr(both))
+    nodes = keep(nodes, "node_ops")
+    again = nodes.where("t = 'node:remove' and again").select(F.col("id").alias("node"))
+    # An edge that has other ends on the other side differs anyway: so the ends on one side say which edges are at a node.
+    ends = a.edges.select("id", F.explode(F.array_distinct(F.array("src", "dst"))).alias("node"))
+    touched = keep(ends.join(again, "node", "left_semi").select("id").distinct(), "touched").withColumn("touched", F.lit(True))
+    # The edges get the mark before they are paired, as both joins are by their own id: they are shuffled once.
+    e = _pairs(a.edges.select(EDGE).join(touched, "id", "left"), b.edges.select(EDGE))
+    changed = "a.touched is not null or not (" + " and ".join(f"a.{c} <=> b.{c}" for c in EDGE if c != "attrs") + ") or not (to_json(a.attrs) <=> to_json(b.attrs))"
+    edges = _unfolded(e, F.array(
+        F.when(F.expr(f"a.id is not null and (b.id is null or {changed})"), _op(1, "edge:remove", "a", _json(EDGE, "a"))),
+        F.when(F.expr(f"b.id is not null and (a.id is null or {changed})"), _op(9, "edge:add", "b", None, _json(EDGE, "b"))),
+    ))
+    return reduce(DataFrame.unionByName, [graphs, nodes.select(OP), keep(edges, "edge_ops")])
 
 
 def invert(ops: DataFrame) -> DataFrame:
@@ -81,15 +103,16 @@ def apply(space: Space, ops: DataFrame) -> Space:
     graphs = graphs.select("id", *[F.when(F.col("m").isNull(), F.col(c)).otherwise(F.col(f"m.{c}")).alias(c) for c in ("label", "domain", "origin")]).unionByName(added)
     kinds = {"node": "graph_id string, id string, kind string, label string, detail_graph string, attrs map<string,string>, origin string", "edge": "graph_id string, id string, src string, dst string, kind string, weight double, attrs map<string,string>, origin string"}
     come = lambda what: of(f"{what}:add").select(F.from_json("next", kinds[what]).alias("m")).select("m.*")
-    nodes = space.nodes.select(NODE).join(of("node:remove").select("id"), "id", "left_anti").select(NODE).unionByName(come("node"))
-    detail = of("node:detail").select("id", F.lit(True).alias("moved"), F.col("next").alias("to"))
-    put = of("node:attr").where("next is not null").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("key", "next"))).alias("put"))
-    cut = of("node:attr").groupBy("id").agg(F.collect_set("key").alias("cut"))
-    none = F.create_map().cast("map<string,string>")
-    nodes = nodes.join(detail, "id", "left").join(put, "id", "left").join(cut, "id", "left")
-    kept = F.map_filter(F.coalesce("attrs", none), lambda k, v: ~F.array_contains(F.coalesce("cut", F.array().cast("array<string>")), k))
-    attrs = F.map_concat(kept, F.coalesce("put", none))
-    nodes = nodes.select("graph_id", "id", "kind", "label", F.when(F.col("moved"), F.col("to")).otherwise(F.col("detail_graph")).alias("detail_graph"), F.when(F.col("cut").isNull(), F.col("attrs")).when(F.size(attrs) == 0, None).otherwise(attrs).alias("attrs"), "origin")
+    no, none = F.array().cast("array<string>"), F.create_map().cast("map<string,string>")
+    detail, attr = F.col("t") == "node:detail", F.col("t") == "node:attr"
+    put = F.map_from_entries(F.collect_list(F.when(attr & F.col("next").isNotNull(), F.struct("key", "next"))))
+    changes = of("node:detail", "node:attr").groupBy("id").agg(F.max(detail).alias("moved"), F.max(F.when(detail, F.col("next"))).alias("to"), put.alias("put"), F.collect_set(F.when(attr, F.col("key"))).alias("cut"))
+    # Nodes that stay and those that come are changed each for themselves: after their union all would be shuffled once more.
+    stay = space.nodes.select(NODE).join(of("node:remove").select("id"), "id", "left_anti").join(changes, "id", "left")
+    nodes = stay.unionByName(come("node").join(changes, "id", "left"))
+    cut = F.coalesce("cut", no)
+    attrs = F.map_concat(F.map_filter(F.coalesce("attrs", none), lambda k, v: ~F.array_contains(cut, k)), F.coalesce("put", none))
+    nodes = nodes.select("graph_id", "id", "kind", "label", F.when(F.col("moved"), F.col("to")).otherwise(F.col("detail_graph")).alias("detail_graph"), F.when(F.size(cut) == 0, F.col("attrs")).when(F.size(attrs) == 0, None).otherwise(attrs).alias("attrs"), "origin")
     edges = space.edges.select(EDGE).join(of("edge:remove").select("id"), "id", "left_anti").select(EDGE).unionByName(come("edge"))
     return space.with_(graphs=graphs, nodes=nodes, edges=edges)
 

@@ -149,11 +149,11 @@ def _(spark, d):
 @registered("apply_replay_equal", "SELECT 'there' AS way, 0::BIGINT AS left_over UNION ALL SELECT 'back', 0::BIGINT")
 def _(spark, d):
     a, b = _edited(spark, d)
-    ops = written(delta.diff(a, b), "ops")
-    rest = lambda way, df: df.agg(F.count("*").alias("left_over")).select(F.lit(way).alias("way"), "left_over")
-    there = delta.apply(a, ops)
-    there = there.with_(nodes=written(there.nodes, "nodes"), edges=written(there.edges, "edges"), graphs=written(there.graphs, "graphs"))
-    return rest("there", delta.diff(there, b)).unionByName(rest("back", delta.diff(delta.apply(there, delta.invert(ops)), a)))
+    steady = lambda s: s.with_(**{name: written(getattr(s, name), name) for name in ("graphs", "nodes", "edges")})
+    rest = lambda way, x, y: delta.diff(x, y, written).agg(F.count("*").alias("left_over")).select(F.lit(way).alias("way"), "left_over")
+    ops = delta.diff(a, b, written)
+    there = steady(delta.apply(a, ops))
+    return rest("there", there, b).unionByName(rest("back", steady(delta.apply(there, delta.invert(ops))), a))
 
 
 @registered("oplog_replay", "SELECT user_id::BIGINT AS id, arg_max(value, struct_pack(a := ts, b := event_id)) AS value FROM events GROUP BY 1 HAVING arg_max(event_type, struct_pack(a := ts, b := event_id)) <> 'error'")

@@ -2,13 +2,14 @@
 
 import base64
 import hashlib
+import time
 
 from pyspark.sql import functions as F
 
 from arborlake.functions.text import derived_id
 from arborlake.model import Space
-from arborlake.operators import cut, forest
-from arborlake.plans import tables
+from arborlake.operators import cut, delta, forest
+from arborlake.plans import scratch, tables
 from arborlake.sources import control_flow as cf
 
 SOURCE = "def f():\n  try:\n    return 1\n  finally:\n    c()\n  d()\ndef g(x):\n  while x:\n    return\n    a()\n  b()\n"
@@ -99,3 +100,55 @@ def test_a_derived_id_takes_few_conversions(spark):
     assert _plan(rows).count("conv(") == 3  # one for 60 bits, not one for each letter
     text = lambda i: base64.b32encode(hashlib.sha256(f"a\x1f{i}\x1fé".encode()).digest()[:16]).decode().lower()[:26]
     assert all(r["x"] == "n" + text(r["id"]) for r in rows.collect())
+
+
+def _versions(spark) -> tuple[Space, Space]:
+    nodes = [("g", f"n{i}", "k", "x", None) for i in range(6)]
+    edges = [("g", f"e{i}", f"n{i}", f"n{(i + 1) % 6}", "r", 1.0) for i in range(6)]
+    a = Space.of(spark, [("g", "g")], nodes, edges)
+    other = [("g", "n0", "k", "y", None), ("g", "n1", "k", "x", "g"), *nodes[2:5], ("g", "n7", "k", "x", None)]
+    return a, Space.of(spark, [("g", "h")], other, edges[:4])
+
+
+def test_a_diff_pairs_each_table_once(spark):
+    ops = delta.diff(*_versions(spark))
+    plan = _plan(ops)
+    assert [plan.count(x) for x in ("FullOuter", "LeftOuter", "RightOuter")] == [3, 1, 0]  # not once more for each kind of operation
+    found = sorted((r["phase"], r["id"]) for r in ops.collect())
+    assert found == [(1, "e0"), (1, "e4"), (1, "e5"), (2, "n0"), (2, "n5"), (5, "g"), (6, "n0"), (6, "n7"), (7, "n1"), (9, "e0")]
+
+
+def test_parts_of_a_diff_are_kept_one_after_the_other(spark):
+    plans = {}
+    keep = lambda df, name: plans.update({name: _plan(df)}) or scratch.written(df, name)
+    a, b = _versions(spark)
+    ops = delta.diff(a, b, keep)
+    assert list(plans) == ["graph_ops", "node_ops", "touched", "edge_ops"]
+    assert [plans[p].count("FullOuter") for p in plans] == [1, 1, 0, 1]  # what is kept isn't paired again
+    assert "Join" not in _plan(ops) and sorted(map(tuple, ops.collect()), key=str) == sorted(map(tuple, delta.diff(a, b).collect()), key=str)
+
+
+def test_changes_are_applied_without_another_shuffle_of_all_nodes(spark):
+    a, b = _versions(spark)
+    ops = scratch.written(delta.diff(a, b), "ops")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        after = delta.apply(a, ops).nodes
+        lines = _plan(after).splitlines()
+        assert not any("Exchange" in x and "Union" in y for x, y in zip(lines, lines[1:], strict=False))
+        found = {r["id"]: (r["label"], r["detail_graph"]) for r in after.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found == {"n0": ("y", None), "n1": ("x", "g"), "n7": ("x", None), **{x: ("x", None) for x in ("n2", "n3", "n4")}}
+
+
+def test_written_leaves_no_shuffle_files(spark):
+    files = lambda: {x for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if x.endswith(".data")}
+    was, setting = files(), spark.conf.get(scratch.CLEANUP, None)
+    kept = scratch.written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    until = time.monotonic() + 10
+    while files() - was and time.monotonic() < until:
+        time.sleep(0.1)
+    assert not files() - was  # else they stay until the driver collects its garbage
+    assert kept.count() == 7 and spark.conf.get(scratch.CLEANUP, None) == setting
